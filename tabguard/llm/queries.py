@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tabguard.llm import mixing
+from tabguard.llm import decontam, mixing, quality
 
 QUERIES = {
+    "op6_decontamination": decontam.op6_decontamination,
     "op9_mixing": mixing.op9_mixing,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLE_SQL = {
+    "op6_decontamination": decontam.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
 }
