@@ -205,7 +205,6 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(names).cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
         (F.size("hits") > 0).alias("contaminated"),
-        F.size(F.array_distinct("near")).cast("long").alias("n_near"),
     )
 
 
@@ -229,7 +228,7 @@ starts AS (
 found AS (
   SELECT s.r, s.k, s.n, x.item
   FROM (SELECT r, k, n, array_to_string(w[k:k + n - 1], ' ') AS phrase FROM starts) s JOIN windows x ON x.n = s.n AND x.phrase = s.phrase),
-hits AS (SELECT r, count(DISTINCT at) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS at FROM found) GROUP BY r),
+hits AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS place FROM found) GROUP BY r),
 named AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM found GROUP BY r)
 SELECT l.doc_id, CAST(len(l.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(m.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(m.names, '')) AS items_sha256, h.n_hit IS NOT NULL AS contaminated

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tabguard.llm import decontam, mixing, quality
+from tabguard.llm import decontam, mixing, neardup, quality
 
 QUERIES = {
+    "op3_near_duplicates": neardup.op3_near_duplicates,
     "op6_decontamination": decontam.op6_decontamination,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality": quality.op10_quality,
