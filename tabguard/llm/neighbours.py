@@ -27,7 +27,7 @@ from tabguard.llm.shared import saved, table
 NEAREST = 20
 SAMPLE = 16_384
 LISTS = 64
-PROBES = 0.7
+PROBES = 0.8
 SUBSPACES = 32
 CODES = 64
 BLOCK = 4_096
