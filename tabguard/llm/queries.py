@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tabguard.llm import decontam, mixing, neardup, neighbours, quality
+from tabguard.llm import brown, decontam, mixing, neardup, neighbours, quality
 
 QUERIES = {
     "op3_near_duplicates": neardup.op3_near_duplicates,
     "op6_decontamination": decontam.op6_decontamination,
     "op7_nearest": neighbours.op7_nearest,
+    "op8_language_model": brown.op8_language_model,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality": quality.op10_quality,
 }
