@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tabguard.llm import brown, decontam, mixing, neardup, neighbours, quality
+from tabguard.llm import brown, decontam, mixing, neardup, neighbours, pages, quality
 
 QUERIES = {
+    "op1_extract": pages.op1_extract,
     "op3_near_duplicates": neardup.op3_near_duplicates,
     "op6_decontamination": decontam.op6_decontamination,
     "op7_nearest": neighbours.op7_nearest,
