@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tabguard.llm import brown, decontam, mixing, neardup, neighbours, pages, quality
+from tabguard.llm import brown, decontam, mixing, neardup, neighbours, pages, quality, secrets
 
 QUERIES = {
     "op1_extract": pages.op1_extract,
+    "op2_secrets": secrets.op2_secrets,
     "op3_near_duplicates": neardup.op3_near_duplicates,
     "op6_decontamination": decontam.op6_decontamination,
     "op7_nearest": neighbours.op7_nearest,
