@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tabguard.llm import brown, decontam, mixing, neardup, neighbours, pages, quality, secrets
+from tabguard.llm import brown, decontam, mixing, neardup, neighbours, pages, quality, secrets, toxicity
 
 QUERIES = {
     "op1_extract": pages.op1_extract,
     "op2_secrets": secrets.op2_secrets,
     "op3_near_duplicates": neardup.op3_near_duplicates,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op6_decontamination": decontam.op6_decontamination,
     "op7_nearest": neighbours.op7_nearest,
     "op8_language_model": brown.op8_language_model,
