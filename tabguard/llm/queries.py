@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tabguard.llm import brown, decontam, mixing, neardup, neighbours, pages, quality, secrets, toxicity
+from tabguard.llm import brown, decontam, mixing, neardup, neighbours, pages, quality, secrets, substrings, toxicity
 
 QUERIES = {
     "op1_extract": pages.op1_extract,
     "op2_secrets": secrets.op2_secrets,
     "op3_near_duplicates": neardup.op3_near_duplicates,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_substrings": substrings.op5_substrings,
     "op6_decontamination": decontam.op6_decontamination,
     "op7_nearest": neighbours.op7_nearest,
     "op8_language_model": brown.op8_language_model,
