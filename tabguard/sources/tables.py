@@ -62,13 +62,24 @@ def table_key(file_name: str) -> str | None:
 
 
 def read_directory(spark: SparkSession, path: str, sep: str = ";") -> dict[str, DataFrame]:
-    """Tables by key, from the text files of a folder; files of one key are appended."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path", "length").collect()  # names alone, bounded by the folder
-    out: dict[str, list[DataFrame]] = {}
+    """Tables by key, from the text files of a folder.
+
+    A file, or a folder of part files as Spark writes it, is named by its key;
+    the files of one key are appended.  Only names reach the driver, and one
+    header line for each file or folder.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").load(path).select("path").collect()
+    named: dict[tuple[str, str], list[str]] = {}
     for f in sorted(r["path"] for r in files):
-        key = table_key(re.sub(r"%20", " ", f.rsplit("/", 1)[1]))
-        if key:
-            out.setdefault(key, []).append(read_delimited(spark, f, header_of(spark, f), sep))
+        parts = f.replace("%20", " ").split("/")
+        for i in range(len(parts) - 1, max(len(parts) - 3, -1), -1):
+            key = table_key(parts[i])
+            if key:
+                named.setdefault((key, "/".join(parts[: i + 1])), []).append(f)
+                break
+    out: dict[str, list[DataFrame]] = {}
+    for (key, _), paths in sorted(named.items()):
+        out.setdefault(key, []).append(read_delimited(spark, paths, header_of(spark, paths[0]), sep))
     return {k: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs) for k, dfs in out.items()}
 
 
