@@ -1,21 +1,23 @@
 """Operator 5: exact removal of long repeated substrings by merged suffix runs.
 
 Sorting every suffix would move the corpus some two hundred times over.  Here
-each stretch of ``LENGTH`` bytes is assigned to the rarest-looking (smallest
-hash) ``GRAM`` bytes in it, its anchor, so equal stretches have equal anchors at
-equal places, and consecutive stretches mostly share one.  A span is the run of
+each stretch of ``LENGTH`` bytes is assigned to the ``GRAM`` bytes in it with the
+smallest hash, its anchor, so equal stretches have equal anchors at equal
+places, and consecutive stretches mostly share one.  A span is the run of
 stretches of one anchor:
 
 1. anchors that occur once have no repeated stretch;
 2. spans that occur twice or more are repeated throughout;
-3. where an anchor occurs in different spans, the suffixes at all stretch starts
-   of these are sorted: tasks sort runs, drop equal suffixes, exchange them
-   front-coded by their first bytes, and loser trees merge them.  Neighbours
-   that agree in ``LENGTH`` bytes are repeated.
-
-Only one copy of each span is sorted, and a run sends each suffix once, so that
-a passage in a third of all documents costs what its different contexts cost.
-Texts, anchors and spans are told apart by 64-bit hashes; suffixes by bytes.
+3. where an anchor occurs in different spans, the suffixes at the anchors are
+   sorted: tasks sort runs, exchange them front-coded, and loser trees merge
+   them.  Neighbours that agree in ``GRAM`` bytes have one anchor, and their
+   stretches are compared place by place.
+
+Only one copy of each span is sorted.  Anchors of more than ``CROWD`` different
+spans are cut: each ``BLOCK`` consecutive stretches of a span go, as a suffix of
+their own, where spans with equal bytes common to these stretches meet.
+Texts, anchors and spans are told apart by 64-bit hashes, stretches in
+different spans by their bytes.
 """
 
 from __future__ import annotations
@@ -30,22 +32,25 @@ from pyspark.sql import functions as F
 
 from tabguard.llm.bytetext import mix, prefix_hash, slices, span_hash
 from tabguard.llm.shared import saved, table
-from tabguard.llm.suffixsort import encode_run, repeated
+from tabguard.llm.suffixsort import Run, encode_run, merge
 
 LENGTH = 200
 GRAM = 64
 PLACE_BITS = 24
-RUN = 20_000
-GROUP = 100_000
+RUN = 10_000
+GROUP = 10_000
+CROWD = 2_000
+BLOCK = 8
 
-ANCHORS = "anchor long, span long, key long, first int, last int"
+ANCHORS = "anchor long, span long, key long, first int, shape int"
 
 
-def anchored(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first start, last start, anchor hash, span hash) of all spans of a slice; starts are slice places."""
+def anchored(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, first start, last start, anchor place, anchor hash, span hash) of all spans of a slice; places are in the slice."""
     n = len(data)
+    none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     if n < LENGTH:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return none
     h = prefix_hash(data)
     at = np.arange(n - GRAM + 1)
     grams = span_hash(h, at, at + GRAM)
@@ -66,76 +71,104 @@ def anchored(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     valid = np.arange(len(chosen)) + LENGTH <= offsets[row + 1]
     place = np.flatnonzero(valid)
     if not len(place):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return none
     own, of = chosen[place], row[place]
     new = np.ones(len(place), bool)
     new[1:] = (own[1:] != own[:-1]) | (of[1:] != of[:-1])
     first = place[new]
     last = place[np.append(np.flatnonzero(new)[1:] - 1, len(place) - 1)]
-    return of[new], first, last, grams[own[new]], mix(span_hash(h, first, last + LENGTH))
+    return of[new], first, last, own[new], grams[own[new]], mix(span_hash(h, first, last + LENGTH))
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         key = batch.column("key").to_numpy()
         for lo, _, data, offsets in slices(batch.column("text"), 1_000_000):
-            row, first, last, anchor, span = anchored(data, offsets)
-            base = offsets[row]
+            row, first, last, place, anchor, span = anchored(data, offsets)
+            shape = (last - first) | (place - first) << 8  # both below 256
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(span.view(np.int64)), pa.array(key[lo + row]), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32))],
-                ["anchor", "span", "key", "first", "last"],
+                [pa.array(anchor.view(np.int64)), pa.array(span.view(np.int64)), pa.array(key[lo + row]), pa.array((first - offsets[row]).astype(np.int32)), pa.array(shape.astype(np.int32))],
+                ["anchor", "span", "key", "first", "shape"],
             )
 
 
-PIECES = "key long, start int, bucket int, run binary"
+TYPES = ("<i8", "<i4", "<u1", "<u1")
+
+
+def _suffixes(text: bytes, s: dict) -> Iterator[tuple[int, bytes, bytes, int, int]]:
+    """(bucket seed, suffix, bytes before it, first start, number of stretches) of a span, or of its blocks."""
+    first, n, anchor = s["first"], (s["shape"] & 255) + 1, s["first"] + (s["shape"] >> 8)
+    if not s["crowded"]:
+        yield s["anchor"], text[anchor : first + n - 1 + LENGTH], text[first:anchor], first, n
+        return
+    # cells of BLOCK places before the anchor; all stretches of a cell hold the same LENGTH - BLOCK + 1 bytes
+    low, high = anchor - first - n + 1, anchor - first
+    for cell in range(low // BLOCK, high // BLOCK + 1):
+        begin, end = anchor - min(high, cell * BLOCK + BLOCK - 1), anchor - max(low, cell * BLOCK)
+        at = anchor - cell * BLOCK
+        common = hashlib.blake2b(text[at : at - BLOCK + 1 + LENGTH], digest_size=8, salt=cell.to_bytes(4, "little")).digest()
+        yield int.from_bytes(common, "little", signed=True) ^ s["anchor"], text[at : end + LENGTH], text[begin:at], begin, end - begin + 1
 
 
 def _runs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Repeated starts within a run (key, start), and the run cut by bucket (bucket, run)."""
-    parts: list[np.ndarray] = []
-    keys: list[np.ndarray] = []
-    starts: list[np.ndarray] = []
-    asked: list[np.ndarray] = []
-    held = 0
+    """Sorted runs of the spans' suffixes, cut by bucket."""
+    held: list[tuple[int, bytes, bytes, int, int, int, bool]] = []
 
     def out() -> pa.RecordBatch:
-        rows, key, start, ask = np.concatenate(parts), np.concatenate(keys), np.concatenate(starts), np.concatenate(asked)
-        order = np.argsort(rows.view(f"S{LENGTH}").ravel(), kind="stable")
-        rows, key, start, ask = rows[order], key[order], start[order], ask[order]
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows[1:] != rows[:-1]).any(1)
-        first = np.flatnonzero(new)
-        times = np.diff(np.append(first, len(rows)))
-        twice = np.repeat(times > 1, times) & ask
-        flag = np.where(times > 1, 1, np.where(ask[first], 0, 2))
-        head = np.ascontiguousarray(rows[first, :16]).view(np.uint64)
-        bucket = (mix(mix(head[:, 0]) + head[:, 1]) % np.uint64(buckets)).astype(np.int64)
-        found = [(int(k), int(s), None, None) for k, s in zip(key[twice], start[twice], strict=True)]
-        for b in np.unique(bucket):
-            own = first[bucket == b]
-            found.append((None, None, int(b), encode_run(rows[own], key[own], start[own], flag[bucket == b])))
-        parts.clear(), keys.clear(), starts.clear(), asked.clear()
-        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["key", "start", "bucket", "run"])
+        wide = LENGTH
+        rows = np.frombuffer(b"".join(h[1].ljust(wide, b"\0") for h in held), np.uint8).reshape(-1, wide)
+        seed = np.array([h[0] for h in held], np.int64).view(np.uint64)
+        bucket = (mix(seed) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((rows.view(f"S{wide}").ravel(), bucket))
+        key, first = np.array([h[3] for h in held], np.int64), np.array([h[4] for h in held])
+        n, asked = np.array([h[5] for h in held]), np.array([h[6] for h in held])
+        found = []
+        edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            own = order[a:b]
+            # a stretch ends at most LENGTH bytes on, so the padding is never compared
+            found.append((int(bucket[own[0]]), encode_run(rows[own], ((key[own], TYPES[0]), (first[own], TYPES[1]), (n[own], TYPES[2]), (asked[own], TYPES[3])), [held[i][2] for i in own])))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.binary())], ["bucket", "run"])
 
     for batch in batches:
         for key, text, spans in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            data = np.frombuffer(text.encode(), np.uint8)
+            data = text.encode()
             for s in spans:
-                n = s["last"] - s["first"] + 1
-                parts.append(np.lib.stride_tricks.sliding_window_view(data[s["first"] : s["last"] + LENGTH], LENGTH).copy())
-                keys.append(np.full(n, key))
-                starts.append(np.arange(s["first"], s["last"] + 1))
-                asked.append(np.full(n, s["asked"]))
-                held += n
-                if held >= RUN:
+                held += [(seed, suffix, before, key, first, n, s["asked"]) for seed, suffix, before, first, n in _suffixes(data, s)]
+                if len(held) >= RUN:
                     yield out()
-                    held = 0
     if held:
         yield out()
 
 
+def _repeats(group: list[tuple]) -> Iterator[tuple[int, int]]:
+    """(key, start) of asked stretches that two entries of one anchor share, place by place."""
+    for place in range(max(len(before) for _, before, *_ in group), -LENGTH, -1):
+        seen: dict[bytes, list[tuple[int, int, int]]] = {}
+        for suffix, before, key, first, n, asked in group:
+            nth = len(before) - place
+            if 0 <= nth < n:
+                stretch = (before + suffix)[nth : nth + LENGTH]
+                seen.setdefault(stretch, []).append((key, first + nth, asked))
+        if place < 0 and not seen:
+            return
+        for own in seen.values():
+            if len(own) > 1:
+                yield from ((k, s) for k, s, asked in own if asked)
+
+
 def _merged(key: tuple, group: pa.Table) -> pa.Table:
-    found = list(repeated(group["run"].to_pylist()))
+    found: list[tuple[int, int]] = []
+    held: list[tuple] = []
+    for shared, entry in merge([Run(b, TYPES) for b in group["run"].to_pylist()]):
+        if held and shared < GRAM:
+            if len(held) > 1:
+                found += _repeats(held)
+            held = []
+        held.append(entry)
+    if len(held) > 1:
+        found += _repeats(held)
     return pa.table({"key": pa.array([f[0] for f in found], pa.int64()), "start": pa.array([f[1] for f in found], pa.int32())})
 
 
@@ -169,16 +202,17 @@ def holes(rows: DataFrame) -> DataFrame:
     # the repeated anchors are a share of the corpus, so both sides are shuffled
     twice = saved(spans.join(often.select("anchor", (F.col("lo") != F.col("hi")).alias("varied")).hint("merge"), "anchor"), "substrings-twice")
     varied = twice.where("varied")
-    forms = saved(varied.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "last")).alias("at")), "substrings-forms")
-    whole = twice.where("NOT varied").select("key", "first", "last").unionByName(varied.join(forms.where("n > 1").select("anchor", "span"), ["anchor", "span"], "left_semi").select("key", "first", "last"))
-    total = forms.agg(F.sum(F.col("at.last") - F.col("at.first") + 1)).first()[0] or 0
-    buckets = max(1, -(-int(total) // GROUP))
-    asked = forms.groupBy(F.col("at.key").alias("key")).agg(F.collect_list(F.struct(F.col("at.first").alias("first"), F.col("at.last").alias("last"), (F.col("n") == 1).alias("asked"))).alias("spans"))
+    forms = saved(varied.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "shape")).alias("at")), "substrings-forms")
+    crowds = saved(forms.groupBy("anchor").agg(F.count("*").alias("forms")).where(F.col("forms") > CROWD).select("anchor", F.lit(True).alias("crowded")), "substrings-crowds")
+    whole = twice.where("NOT varied").select("key", "first", "shape").unionByName(varied.join(forms.where("n > 1").select("anchor", "span"), ["anchor", "span"], "left_semi").select("key", "first", "shape"))
+    buckets = max(1, -(-forms.count() // GROUP))
+    one = F.struct("anchor", F.col("at.first").alias("first"), F.col("at.shape").alias("shape"), (F.col("n") == 1).alias("asked"), F.coalesce("crowded", F.lit(False)).alias("crowded"))
+    asked = forms.join(crowds, "anchor", "left").groupBy(F.col("at.key").alias("key")).agg(F.collect_list(one).alias("spans"))
     texts = rows.select("key", "text").join(asked.hint("merge"), "key").dropDuplicates(["key"])
-    pieces = saved(texts.mapInArrow(lambda it: _runs(it, buckets), PIECES), "substrings-runs")
-    merged = pieces.where("run IS NOT NULL").select("bucket", "run").groupBy("bucket").applyInArrow(_merged, "key long, start int")
-    single = pieces.where("start IS NOT NULL").select("key", "start").unionByName(merged)
-    every = whole.select("key", F.col("first").alias("a"), (F.col("last") + LENGTH).alias("b")).unionByName(single.select("key", F.col("start").alias("a"), (F.col("start") + LENGTH).alias("b")))
+    runs = texts.mapInArrow(lambda it: _runs(it, buckets), "bucket int, run binary")
+    single = runs.groupBy("bucket").applyInArrow(_merged, "key long, start int")
+    last = F.col("first") + F.col("shape").bitwiseAND(255)
+    every = whole.select("key", F.col("first").alias("a"), (last + LENGTH).alias("b")).unionByName(single.select("key", F.col("start").alias("a"), (F.col("start") + LENGTH).alias("b")))
     return saved(every.distinct().groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("holes")), "substrings-holes")
 
 

@@ -1,10 +1,11 @@
-"""Sorted, front-coded runs of fixed-length suffixes and a loser tree that merges them.
-
-A run lists distinct suffixes in order; each but the first is stored as the
-length of the prefix that it shares with the one before and its other bytes.
-The loser tree keeps, for every run, how much of its head agrees with the last
-suffix put out.  Of two heads the one that agrees in more bytes comes first, and
-only where both agree in equally many are bytes compared, from there on.
+"""Sorted, front-coded runs of suffixes and a loser tree that merges them.
+
+A run lists suffixes in order; each but the first is stored as the length of the
+prefix that it shares with the one before and its other bytes.  The loser tree
+keeps, for every run, how much of its head agrees with the last suffix put out.
+Of two heads the one that agrees in more bytes comes first, and only where both
+agree in equally many are bytes compared, from there on.  The merge so knows the
+common prefix of all neighbours without another look at the bytes.
 """
 
 from __future__ import annotations
@@ -15,27 +16,32 @@ from collections.abc import Iterator
 import numpy as np
 
 
-def encode_run(rows: np.ndarray, keys: np.ndarray, starts: np.ndarray, flags: np.ndarray) -> bytes:
-    """Rows of bytes in order, distinct, as one front-coded run with their owners."""
+def encode_run(rows: np.ndarray, parts: tuple[tuple[np.ndarray, str], ...], rest: list[bytes]) -> bytes:
+    """Sorted rows of bytes as one front-coded run, with columns of numbers (array, type) and a piece of bytes for each."""
     n, width = rows.shape
     shared = np.zeros(n, np.uint8)
     if n > 1:
-        shared[1:] = (rows[1:] != rows[:-1]).argmax(1)
+        differ = rows[1:] != rows[:-1]
+        shared[1:] = np.where(differ.any(1), differ.argmax(1), width)
     tails = rows[np.arange(width)[None, :] >= shared[:, None]]
-    return b"".join([struct.pack("<ii", n, width), keys.astype(np.int64).tobytes(), starts.astype(np.int32).tobytes(), flags.astype(np.uint8).tobytes(), shared.tobytes(), tails.tobytes()])
+    sizes = np.array([len(x) for x in rest], np.uint8)
+    return b"".join([struct.pack("<ii", n, width), *[a.astype(t).tobytes() for a, t in parts], sizes.tobytes(), shared.tobytes(), tails.tobytes(), *rest])
 
 
 class Run:
     """Reads a run; ``head`` is the next suffix, ``shared`` its prefix in common with the one before."""
 
-    def __init__(self, blob: bytes):
+    def __init__(self, blob: bytes, types: tuple[str, ...]):
         self.n, self.width = struct.unpack_from("<ii", blob)
-        at = 8
-        self.keys = np.frombuffer(blob, np.int64, self.n, at).tolist()
-        self.starts = np.frombuffer(blob, np.int32, self.n, at := at + 8 * self.n).tolist()
-        self.flags = np.frombuffer(blob, np.uint8, self.n, at := at + 4 * self.n).tolist()
-        self.common = np.frombuffer(blob, np.uint8, self.n, at := at + self.n).tolist()
-        self.blob, self.at, self.nth = blob, at + self.n, -1
+        at, self.columns = 8, []
+        for t in types:
+            self.columns.append(np.frombuffer(blob, t, self.n, at).tolist())
+            at += np.dtype(t).itemsize * self.n
+        sizes = np.frombuffer(blob, np.uint8, self.n, at).astype(np.int64)
+        self.common = np.frombuffer(blob, np.uint8, self.n, at + self.n).tolist()
+        self.blob, self.at, self.nth = blob, at + 2 * self.n, -1
+        ends = len(blob) - sizes.sum() + np.cumsum(sizes)
+        self.rest = list(zip((ends - sizes).tolist(), ends.tolist(), strict=True))
         self.head: bytes | None = b""
         self.shared = 0
         self.advance()
@@ -50,6 +56,11 @@ class Run:
         self.head = self.head[: self.shared] + self.blob[self.at : end]
         self.at = end
 
+    def entry(self) -> tuple:
+        """(suffix, further bytes, the columns' numbers)."""
+        a, b = self.rest[self.nth]
+        return self.head, self.blob[a:b], *[c[self.nth] for c in self.columns]
+
 
 def _agree(a: bytes, b: bytes, known: int) -> int:
     """Length of the common prefix, of which ``known`` bytes need no look."""
@@ -57,8 +68,10 @@ def _agree(a: bytes, b: bytes, known: int) -> int:
     return len(a) - (x.bit_length() + 7) // 8
 
 
-def merge(runs: list[Run]) -> Iterator[tuple[int, int, int, int]]:
-    """(prefix shared with the one before, key, start, flag) over all runs in order."""
+def merge(runs: list[Run]) -> Iterator[tuple[int, tuple]]:
+    """(prefix shared with the entry before, entry) over all runs in order."""
+    if not runs:
+        return
     k = 1
     while k < len(runs):
         k *= 2
@@ -67,7 +80,7 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, int, int, int]]:
     loser = [0] * k
 
     def first(a: int, b: int) -> tuple[int, int]:
-        """(winner, loser); the loser's prefix is then that shared with the winner."""
+        """(winner, loser); where bytes were compared the loser's prefix is that shared with the winner."""
         x, y = heads[a], heads[b]
         if y is None or y.head is None:
             return a, b
@@ -83,33 +96,17 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, int, int, int]]:
     winner = [0] * k + list(range(k))
     for node in range(k - 1, 0, -1):
         winner[node], loser[node] = first(winner[2 * node], winner[2 * node + 1])
-    top = winner[1] if k > 1 else 0
-    shared_out = 0
+    top = winner[1]
+    if k == 1:
+        top = 0
+    before = 0
     while heads[top] is not None and heads[top].head is not None:
         run = heads[top]
-        yield shared_out if k > 1 else run.shared, run.keys[run.nth], run.starts[run.nth], run.flags[run.nth]
+        yield before, run.entry()
         run.advance()
         shared[top] = run.shared
         node = (top + k) // 2
         while node:
             top, loser[node] = first(top, loser[node])
             node //= 2
-        shared_out = shared[top]
-
-
-def repeated(blobs: list[bytes]) -> Iterator[tuple[int, int]]:
-    """(key, start) of the suffixes of flag 0 that another run, or an entry of flag above 0, has too.
-
-    Flags: 0 met once in its run, 1 met before but reported already, 2 a
-    reference that is not asked about.
-    """
-    group: list[tuple[int, int, int]] = []
-    width = Run(blobs[0]).width if blobs else 0
-    for shared, key, start, flag in merge([Run(b) for b in blobs]):
-        if group and shared < width:
-            if len(group) > 1:
-                yield from ((k, s) for k, s, f in group if f == 0)
-            group = []
-        group.append((key, start, flag))
-    if len(group) > 1:
-        yield from ((k, s) for k, s, f in group if f == 0)
+        before = shared[top]
