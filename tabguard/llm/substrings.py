@@ -23,6 +23,7 @@ different spans by their bytes.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,18 +32,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabguard.llm.bytetext import mix, prefix_hash, slices, span_hash
-from tabguard.llm.shared import saved, table
+from tabguard.llm.shared import partitions, saved, table
 from tabguard.llm.suffixsort import Run, encode_run, merge
 
 LENGTH = 200
-GRAM = 64
+GRAM = 40
 PLACE_BITS = 24
 RUN = 10_000
 GROUP = 10_000
 CROWD = 2_000
 BLOCK = 8
 
-ANCHORS = "anchor long, span long, key long, first int, shape int"
+ANCHORS = "anchor long, span long, key long, place long"
 
 
 def anchored(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -80,16 +81,18 @@ def anchored(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return of[new], first, last, own[new], grams[own[new]], mix(span_hash(h, first, last + LENGTH))
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchors(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """The anchors of all spans, and with ``whole`` the spans: first start, stretches - 1 and anchor place in one number."""
     for batch in batches:
         key = batch.column("key").to_numpy()
         for lo, _, data, offsets in slices(batch.column("text"), 1_000_000):
-            row, first, last, place, anchor, span = anchored(data, offsets)
-            shape = (last - first) | (place - first) << 8  # both below 256
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(span.view(np.int64)), pa.array(key[lo + row]), pa.array((first - offsets[row]).astype(np.int32)), pa.array(shape.astype(np.int32))],
-                ["anchor", "span", "key", "first", "shape"],
-            )
+            row, first, last, at, anchor, span = anchored(data, offsets)
+            names, columns = ["anchor"], [pa.array(anchor.view(np.int64))]
+            if whole:
+                place = (first - offsets[row]) << 16 | (at - first) << 8 | (last - first)  # both below 256
+                names += ["span", "key", "place"]
+                columns += [pa.array(span.view(np.int64)), pa.array(key[lo + row]), pa.array(place)]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
 
 TYPES = ("<i8", "<i4", "<u1", "<u1")
@@ -97,7 +100,8 @@ TYPES = ("<i8", "<i4", "<u1", "<u1")
 
 def _suffixes(text: bytes, s: dict) -> Iterator[tuple[int, bytes, bytes, int, int]]:
     """(bucket seed, suffix, bytes before it, first start, number of stretches) of a span, or of its blocks."""
-    first, n, anchor = s["first"], (s["shape"] & 255) + 1, s["first"] + (s["shape"] >> 8)
+    first, n = s["place"] >> 16, (s["place"] & 255) + 1
+    anchor = first + (s["place"] >> 8 & 255)
     if not s["crowded"]:
         yield s["anchor"], text[anchor : first + n - 1 + LENGTH], text[first:anchor], first, n
         return
@@ -195,25 +199,32 @@ def _cut(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBa
         )
 
 
+def by_key(rows: DataFrame) -> DataFrame:
+    """The rows as a table bucketed by ``key``: joins on it need not shuffle the texts."""
+    spark = rows.sparkSession
+    name = f"tabguard_texts_{uuid.uuid4().hex}"
+    rows.write.bucketBy(partitions(spark), "key").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def holes(rows: DataFrame) -> DataFrame:
     """For (key, text) rows: (key, holes) of the texts with repeated stretches."""
-    spans = saved(rows.select("key", "text").mapInArrow(_anchors, ANCHORS), "substrings-anchors")
-    often = spans.groupBy("anchor").agg(F.count("*").alias("n"), F.min("span").alias("lo"), F.max("span").alias("hi")).where("n > 1")
+    texts = rows.select("key", "text")
+    often = saved(texts.mapInArrow(lambda it: _anchors(it, False), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "substrings-often")
     # the repeated anchors are a share of the corpus, so both sides are shuffled
-    twice = saved(spans.join(often.select("anchor", (F.col("lo") != F.col("hi")).alias("varied")).hint("merge"), "anchor"), "substrings-twice")
-    varied = twice.where("varied")
-    forms = saved(varied.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "shape")).alias("at")), "substrings-forms")
-    crowds = saved(forms.groupBy("anchor").agg(F.count("*").alias("forms")).where(F.col("forms") > CROWD).select("anchor", F.lit(True).alias("crowded")), "substrings-crowds")
-    whole = twice.where("NOT varied").select("key", "first", "shape").unionByName(varied.join(forms.where("n > 1").select("anchor", "span"), ["anchor", "span"], "left_semi").select("key", "first", "shape"))
-    buckets = max(1, -(-forms.count() // GROUP))
-    one = F.struct("anchor", F.col("at.first").alias("first"), F.col("at.shape").alias("shape"), (F.col("n") == 1).alias("asked"), F.coalesce("crowded", F.lit(False)).alias("crowded"))
-    asked = forms.join(crowds, "anchor", "left").groupBy(F.col("at.key").alias("key")).agg(F.collect_list(one).alias("spans"))
-    texts = rows.select("key", "text").join(asked.hint("merge"), "key").dropDuplicates(["key"])
-    runs = texts.mapInArrow(lambda it: _runs(it, buckets), "bucket int, run binary")
+    twice = saved(texts.mapInArrow(lambda it: _anchors(it, True), ANCHORS).join(often.hint("merge"), "anchor", "left_semi"), "substrings-twice")
+    forms = saved(twice.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("at")), "substrings-forms")
+    whole = twice.join(forms.where("n > 1").select("anchor", "span"), ["anchor", "span"], "left_semi").select("key", "place")
+    varied = saved(forms.groupBy("anchor").agg(F.count("*").alias("forms")).where("forms > 1").select("anchor", (F.col("forms") > CROWD).alias("crowded")), "substrings-varied")
+    open_forms = saved(forms.join(varied, "anchor"), "substrings-open")
+    buckets = max(1, -(-open_forms.count() // GROUP))
+    one = F.struct("anchor", F.col("at.place").alias("place"), (F.col("n") == 1).alias("asked"), "crowded")
+    asked = open_forms.groupBy(F.col("at.key").alias("key")).agg(F.collect_list(one).alias("spans"))
+    runs = texts.join(asked.hint("merge"), "key").dropDuplicates(["key"]).mapInArrow(lambda it: _runs(it, buckets), "bucket int, run binary")
     single = runs.groupBy("bucket").applyInArrow(_merged, "key long, start int")
-    last = F.col("first") + F.col("shape").bitwiseAND(255)
-    every = whole.select("key", F.col("first").alias("a"), (last + LENGTH).alias("b")).unionByName(single.select("key", F.col("start").alias("a"), (F.col("start") + LENGTH).alias("b")))
-    return saved(every.distinct().groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("holes")), "substrings-holes")
+    first = F.shiftright("place", 16).cast("int")
+    every = whole.select("key", first.alias("a"), (first + F.col("place").bitwiseAND(255).cast("int") + LENGTH).alias("b")).unionByName(single.select("key", F.col("start").alias("a"), (F.col("start") + LENGTH).alias("b")))
+    return saved(every.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("holes")), "substrings-holes")
 
 
 def deduplicated(docs: DataFrame, texts: bool = True) -> DataFrame:
@@ -224,7 +235,7 @@ def deduplicated(docs: DataFrame, texts: bool = True) -> DataFrame:
     text is removed from each.  An empty table has no rows.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
+    rows = by_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key")))
     out = rows.join(holes(rows).hint("merge"), "key", "left").select("doc_id", "text", "holes")
     return out.mapInArrow(lambda it: _cut(it, texts), CUT)
 
