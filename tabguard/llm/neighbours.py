@@ -155,7 +155,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, lists: int
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = len(head["v"][0])
     sample = np.array([v for v in head["v"].to_pylist() if len(v) == dim])
-    index = spark.sparkContext.broadcast(Index(sample, lists, SUBSPACES, CODES))
+    # small tables get fewer lists, so that a query finds candidates enough
+    index = spark.sparkContext.broadcast(Index(sample, max(1, min(lists, len(sample) // 64)), SUBSPACES, CODES))
     n = max(1, round(probes * len(index.value.coarse)))
     rows, asked = rows.where(F.size("v") == dim), asked.where(F.size("v") == dim)
     stored = saved(rows.mapInArrow(lambda it: _indexed(it, index.value), "vec_id long, v array<double>, list int, codes binary"), "ann-index")
