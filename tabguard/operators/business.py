@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabguard.functions.predicates import decimal_comma_double, is_missing, stripped
-from tabguard.operators.checks import Check, implies
+from tabguard.functions.predicates import is_missing, stripped
+from tabguard.operators.checks import Check, derived, implies, missing, needs
 
 
 def _n(field: str) -> Column:
-    return decimal_comma_double(F.col(field))
+    return derived("decimal", field)
 
 
 def _is(field: str, text: str) -> Column:
@@ -21,48 +21,48 @@ def _is(field: str, text: str) -> Column:
 
 
 def _empty(field: str) -> Column:
-    return is_missing(F.col(field))
+    return missing(field)
 
 
 def structural_subordination_rank(flag: str = "c0160", rank: str = "c0170") -> Check:
-    return implies("structural_subordination_rank", rank, _is(flag, "1"), _empty(rank))
+    return implies("structural_subordination_rank", rank, _is(flag, "1"), _empty(rank), needs=needs(missing=rank))
 
 
 def own_funds_rank_check(kind: str = "c0060", rank: str = "c0170") -> Check:
-    return implies("own_funds_rank_check", rank, stripped(F.col(kind)).isin("T1", "T2", "AT1"), _empty(rank))
+    return implies("own_funds_rank_check", rank, stripped(F.col(kind)).isin("T1", "T2", "AT1"), _empty(rank), needs=needs(missing=rank))
 
 
 def zero_coupon_accruals(rate: str = "c0110", accrued: str = "c0220") -> Check:
-    return implies("zero_coupon_accruals", accrued, _n(rate) == 0, _n(accrued) != 0)
+    return implies("zero_coupon_accruals", accrued, _n(rate) == 0, _n(accrued) != 0, needs=needs(decimal=[rate, accrued]))
 
 
 def non_structured_fields_empty(flag: str, fields: Sequence[str]) -> list[Check]:
     """One finding for each filled field."""
-    return [implies("non_structured_fields_empty", f, _is(flag, "0"), ~_empty(f)) for f in fields]
+    return [implies("non_structured_fields_empty", f, _is(flag, "0"), ~_empty(f), needs=needs(missing=f)) for f in fields]
 
 
 def unsecured_no_collateral(flag: str = "c0300", collateral: str = "c0310") -> Check:
-    return implies("unsecured_no_collateral", collateral, _is(flag, "0"), ~_empty(collateral))
+    return implies("unsecured_no_collateral", collateral, _is(flag, "0"), ~_empty(collateral), needs=needs(missing=collateral))
 
 
 def securities_count_consistency(amount: str = "c0410", count: str = "c0420") -> Check:
-    return implies("securities_count_consistency", count, _n(amount) > 0, _n(count) == 0)
+    return implies("securities_count_consistency", count, _n(amount) > 0, _n(count) == 0, needs=needs(decimal=[amount, count]))
 
 
 def ccp_cleared_stay_na(flag: str = "c0380", stay: str = "c0390") -> Check:
-    return implies("ccp_cleared_stay_na", stay, _is(flag, "1"), ~_empty(stay))
+    return implies("ccp_cleared_stay_na", stay, _is(flag, "1"), ~_empty(stay), needs=needs(missing=stay))
 
 
 def carrying_amount_plausibility(carrying: str = "c0070", principal: str = "c0080", factor: float = 1.5) -> Check:
-    return implies("carrying_amount_plausibility", carrying, _n(principal) > 0, F.abs(_n(carrying)) > factor * _n(principal))
+    return implies("carrying_amount_plausibility", carrying, _n(principal) > 0, F.abs(_n(carrying)) > factor * _n(principal), needs=needs(decimal=[principal, carrying]))
 
 
 def eur_exchange_rate_positive(rate: str = "c0060") -> Check:
-    return implies("eur_exchange_rate_positive", rate, F.lit(True), _n(rate) <= 0)
+    return implies("eur_exchange_rate_positive", rate, F.lit(True), _n(rate) <= 0, needs=needs(decimal=rate))
 
 
 def eur_currency_rate_one(currency: str = "c0020", rate: str = "c0060") -> Check:
-    return implies("eur_currency_rate_one", rate, F.upper(stripped(F.col(currency))) == "EUR", F.abs(_n(rate) - 1) > 0.0001)
+    return implies("eur_currency_rate_one", rate, F.upper(stripped(F.col(currency))) == "EUR", F.abs(_n(rate) - 1) > 0.0001, needs=needs(decimal=rate))
 
 
 def first_value_conflicts(df: DataFrame, key: str, value: str, order_by: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -71,7 +71,7 @@ def first_value_conflicts(df: DataFrame, key: str, value: str, order_by: Sequenc
     ``order_by`` must be a total order.  Keys with a single value never reach
     the window: the first value is found by a partial aggregate and joined.
     """
-    rows = df.where(~_empty(key) & ~_empty(value))
+    rows = df.where(~is_missing(F.col(key)) & ~is_missing(F.col(value)))
     order = F.struct(*order_by)
     firsts = rows.groupBy(key).agg(F.min_by(value, order).alias("_first"), F.min(value).alias("_lo"), F.max(value).alias("_hi")).where("_lo <> _hi").select(F.col(key).alias("_key"), "_first")
     return rows.join(firsts, rows[key] == firsts["_key"]).where(F.col(value) != F.col("_first")).select(*keep, key, F.col(value).alias("value"), F.col("_first").alias("first_value"))
@@ -80,4 +80,4 @@ def first_value_conflicts(df: DataFrame, key: str, value: str, order_by: Sequenc
 def first_value_conflicts_window(df: DataFrame, key: str, value: str, order_by: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """The same by a window, for keys of few rows."""
     w = W.partitionBy(key).orderBy(*order_by).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return df.where(~_empty(key) & ~_empty(value)).withColumn("_first", F.first(value).over(w)).where(F.col(value) != F.col("_first")).select(*keep, key, F.col(value).alias("value"), F.col("_first").alias("first_value"))
+    return df.where(~is_missing(F.col(key)) & ~is_missing(F.col(value))).withColumn("_first", F.first(value).over(w)).where(F.col(value) != F.col("_first")).select(*keep, key, F.col(value).alias("value"), F.col("_first").alias("first_value"))

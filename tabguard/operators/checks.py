@@ -1,5 +1,8 @@
 """Row checks, compiled to Columns and fused: one scan of a table runs all of them.
 
+Checks refer to what they need of a field (is it missing, its number, its date)
+by name; ``fuse`` computes each of these once per row, however many checks use it.
+
 A check is a Boolean Column with what it reports.  ``fuse`` puts the checks of
 a table into one array of optional findings and explodes what is left, so that
 N checks read the table once and shuffle nothing.
@@ -22,6 +25,24 @@ CHUNK = 50
 ALWAYS_ALLOWED = ("Not available", "Not applicable", "N/A", "NA", "")
 
 
+#: what checks share of a field
+DERIVED = {"missing": P.is_missing, "decimal": P.decimal_comma_double, "grouped": P.grouped_double, "day": P.parse_date}
+
+
+def derived(kind: str, field: str) -> Column:
+    """A shared value of a field; the check has to name it in ``needs``."""
+    return F.col(f"`{kind} of {field}`")
+
+
+def missing(field: str) -> Column:
+    return derived("missing", field)
+
+
+def needs(**kinds: str | Sequence[str | None] | None) -> tuple[tuple[str, str], ...]:
+    """(kind, field) of the shared values a check uses; fields that are None are left out."""
+    return tuple((k, f) for k, fs in kinds.items() for f in ([fs] if isinstance(fs, str) else fs or []) if f is not None)
+
+
 @dataclass(frozen=True)
 class Check:
     rule_id: str
@@ -34,6 +55,7 @@ class Check:
     template: str = ""
     message: str = ""
     explanation: str = ""
+    needs: tuple[tuple[str, str], ...] = ()
 
     def found(self, row: Column | None) -> Column:
         shown = self.value if self.value is not None else F.col(self.field)
@@ -46,6 +68,8 @@ class Check:
 def fuse(df: DataFrame, checks: Sequence[Check], keys: Sequence[str] = (), row: str | None = None) -> DataFrame:
     """``keys`` and the findings of all checks; ``row`` names the column that holds the row number."""
     parts = []
+    shared = sorted({n for c in checks for n in c.needs if n[1] in df.columns})
+    df = df.withColumns({f"{kind} of {field}": DERIVED[kind](F.col(field)) for kind, field in shared})
     for lo in range(0, len(checks), CHUNK):
         own = [F.when(F.coalesce(c.failed, F.lit(False)), c.found(F.col(row) if row else None)) for c in checks[lo : lo + CHUNK]]
         found = F.filter(F.array(*own), lambda x: x.isNotNull())
@@ -56,18 +80,19 @@ def fuse(df: DataFrame, checks: Sequence[Check], keys: Sequence[str] = (), row:
 
 
 def present(field: str) -> Column:
-    return ~P.is_missing(F.col(field))
+    """Shared too: the check has to name ``missing`` of the field in ``needs``."""
+    return ~missing(field)
 
 
 def mandatory(rule_id: str, field: str, condition: Column | None = None, **how) -> Check:
     """Filled wherever the condition holds."""
-    empty = P.is_missing(F.col(field))
-    return Check(rule_id, field, empty if condition is None else condition & empty, value=F.lit(""), rule_type="MANDATORY", **how)
+    empty = missing(field)
+    return Check(rule_id, field, empty if condition is None else condition & empty, value=F.lit(""), rule_type="MANDATORY", needs=needs(missing=field), **how)
 
 
 def format_check(rule_id: str, field: str, good: Column, value: Column | None = None, **how) -> Check:
     """A present value must be ``good``."""
-    return Check(rule_id, field, present(field) & ~F.coalesce(good, F.lit(False)), value=value, **{"rule_type": "FORMAT"} | how)
+    return Check(rule_id, field, present(field) & ~F.coalesce(good, F.lit(False)), value=value, **{"rule_type": "FORMAT", "needs": needs(missing=field)} | how)
 
 
 def codelist(rule_id: str, field: str, values: Sequence[str], **how) -> Check:
@@ -85,53 +110,52 @@ def isin_if_typed(rule_id: str, field: str, type_field: str | None, **how) -> Ch
 
 def compare(rule_id: str, field: str, bad: Column, **how) -> Check:
     """``bad`` over numbers that are null where they do not parse: those rows pass."""
-    return Check(rule_id, field, present(field) & F.coalesce(bad, F.lit(False)), **{"rule_type": "NUMERIC"} | how)
+    return Check(rule_id, field, present(field) & F.coalesce(bad, F.lit(False)), **{"rule_type": "NUMERIC", "needs": needs(missing=field, grouped=field)} | how)
 
 
 def greater_zero(rule_id: str, field: str, **how) -> Check:
-    return compare(rule_id, field, P.grouped_double(F.col(field)) <= 0, **how)
+    return compare(rule_id, field, derived("grouped", field) <= 0, **how)
 
 
 def not_negative(rule_id: str, field: str, **how) -> Check:
-    return compare(rule_id, field, P.grouped_double(F.col(field)) < 0, **how)
+    return compare(rule_id, field, derived("grouped", field) < 0, **how)
 
 
 def equal_zero(rule_id: str, field: str, tolerance: float = 0.01, **how) -> Check:
-    return compare(rule_id, field, F.abs(P.grouped_double(F.col(field))) > tolerance, **how)
+    return compare(rule_id, field, F.abs(derived("grouped", field)) > tolerance, **how)
 
 
 def whole_from_one(rule_id: str, field: str, **how) -> Check:
-    n = P.grouped_double(F.col(field))
+    n = derived("grouped", field)
     return compare(rule_id, field, n.isNull() | (n < 1) | (n != F.floor(n)), **how)
 
 
 def not_reported(rule_id: str, field: str, **how) -> Check:
     """Any value that is not missing is a finding."""
-    return Check(rule_id, field, present(field), **{"rule_type": "NOT_APPLICABLE"} | how)
+    return Check(rule_id, field, present(field), **{"rule_type": "NOT_APPLICABLE", "needs": needs(missing=field)} | how)
 
 
 def sum_formula(rule_id: str, result: str, terms: Sequence[tuple[int, str]], tolerance: float = 1.0, floor_zero: bool = False, **how) -> Check:
     """result = sum of signed terms, or at least zero of it; rows with a missing or unparsable operand pass."""
-    total = reduce(lambda a, b: a + b, [F.lit(float(s)) * P.grouped_double(F.col(f)) for s, f in terms])
+    total = reduce(lambda a, b: a + b, [F.lit(float(s)) * derived("grouped", f) for s, f in terms])
     expected = F.greatest(F.lit(0.0), total) if floor_zero else total
     expected = F.when(reduce(lambda a, b: a & b, [present(f) for _, f in terms]) & total.isNotNull(), expected)
-    got = P.grouped_double(F.col(result))
+    got = derived("grouped", result)
+    fields = [result, *[f for _, f in terms]]
     shown = F.concat(F.format_number(got, 2), F.lit(" (expected: "), F.format_number(expected, 2), F.lit(")"))
-    return compare(rule_id, result, F.abs(got - expected) > tolerance, value=shown, **{"severity": WARNING, "rule_type": "FORMULA"} | how)
+    return compare(rule_id, result, F.abs(got - expected) > tolerance, value=shown, **{"severity": WARNING, "rule_type": "FORMULA", "needs": needs(missing=fields, grouped=fields)} | how)
 
 
 def conditional_mandatory(rule_id: str, field: str, on: str, operator: str, given: str | None = None, **how) -> Check:
     """Filled where the condition column equals or differs from ``given``, is missing, or is not."""
     c = P.stripped(F.col(on))
     trigger = {"eq": present(on) & (c == F.lit(given)), "neq": present(on) & (c != F.lit(given)), "not_missing": present(on), "missing": ~present(on)}[operator]
-    return Check(rule_id, field, trigger & P.is_missing(F.col(field)), value=F.lit("<empty>"), **{"severity": WARNING, "rule_type": "CONDITIONAL_MANDATORY"} | how)
+    return Check(rule_id, field, trigger & missing(field), value=F.lit("<empty>"), **{"severity": WARNING, "rule_type": "CONDITIONAL_MANDATORY", "needs": needs(missing=[field, on])} | how)
 
 
 def plausibility(rule_id: str, operator: str, field: str, field2: str | None = None, field3: str | None = None, low: float = 0.0, high: float | None = None, **how) -> Check:
     """Numbers with decimal commas; a null operand lets the row pass."""
-    v = P.decimal_comma_double(F.col(field))
-    v2 = P.decimal_comma_double(F.col(field2)) if field2 else None
-    v3 = P.decimal_comma_double(F.col(field3)) if field3 else None
+    v, v2, v3 = (derived("decimal", f) if f else None for f in (field, field2, field3))
     if operator == "lte":
         bad = v > v2
     elif operator == "sum_lte":
@@ -152,13 +176,13 @@ def plausibility(rule_id: str, operator: str, field: str, field2: str | None = N
         bad = ~((v > low) & ((v <= high) if high is not None else F.lit(True)))
     else:
         raise ValueError(f"unknown plausibility operator {operator!r}")
-    return Check(rule_id, field, bad, **{"severity": WARNING, "rule_type": "PLAUSIBILITY"} | how)
+    return Check(rule_id, field, bad, **{"severity": WARNING, "rule_type": "PLAUSIBILITY", "needs": needs(missing=field2, decimal=[field, field2, field3])} | how)
 
 
 def date_order(rule_id: str, field: str, operator: str, other: Column, **how) -> Check:
     """``lte`` or ``gte`` another date (a column's, or a reference date); null on either side passes."""
-    d = P.parse_date(F.col(field))
-    return Check(rule_id, field, d > other if operator == "lte" else d < other, **{"severity": WARNING, "rule_type": "DATE"} | how)
+    d = derived("day", field)
+    return Check(rule_id, field, d > other if operator == "lte" else d < other, **{"severity": WARNING, "rule_type": "DATE", "needs": needs(day=field)} | how)
 
 
 def identifier_format(rule_id: str, field: str, kind: str, **how) -> Check:
@@ -176,7 +200,7 @@ def implies(rule_id: str, field: str, condition: Column, bad: Column, **how) ->
 def codelist_join(df: DataFrame, field: str, allowed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Codelist membership against a table of (value): for lists too long for literals."""
     value = P.stripped(F.col(field))
-    rows = df.where(present(field) & ~value.isin(*ALWAYS_ALLOWED)).select(*keys, value.alias("value"))
+    rows = df.where(~P.is_missing(F.col(field)) & ~value.isin(*ALWAYS_ALLOWED)).select(*keys, value.alias("value"))
     return rows.join(allowed.select("value").distinct(), "value", "left_anti").select(*keys, "value")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabguard.functions.predicates import grouped_double, is_missing, stripped
-from tabguard.operators.checks import Check, compare, present
+from tabguard.operators.checks import Check, compare, derived, missing, needs, present
 
 # fixed values: texts that stand for no reference
 SKIPPED_REFERENCES = ("Aggregated", "N/A", "Not applicable", "")
@@ -86,22 +86,23 @@ def needs_table(tables: Mapping[str, DataFrame], df: DataFrame, field: str, cont
 
 def rank_check(rule_id: str, field: str, **how) -> Check:
     """A non-negative integer; a fraction is cut first, so -0.5 passes."""
-    n = grouped_double(F.col(field))
+    n = derived("grouped", field)
     return compare(rule_id, field, n.isNull() | (n <= -1), **how)
 
 
 def derived_amount(rule_id: str, total: str, base: str, extra: str, kind: str | None, tolerance: float = 1.0, **how) -> Check:
     """total = base + extra (missing: 0) for plain products."""
-    plain = F.lit(True) if kind is None else F.when(is_missing(F.col(kind)), F.lit("")).otherwise(stripped(F.col(kind))).isin(*PLAIN_PRODUCTS)
-    more = F.when(is_missing(F.col(extra)), F.lit(0.0)).otherwise(grouped_double(F.col(extra)))
-    base_n = F.when(present(base), grouped_double(F.col(base)))
-    return compare(rule_id, total, plain & (F.abs(grouped_double(F.col(total)) - (base_n + more)) > tolerance), **how)
+    plain = F.lit(True) if kind is None else F.when(missing(kind), F.lit("")).otherwise(stripped(F.col(kind))).isin(*PLAIN_PRODUCTS)
+    more = F.when(missing(extra), F.lit(0.0)).otherwise(derived("grouped", extra))
+    base_n = F.when(present(base), derived("grouped", base))
+    fields = [total, base, extra]
+    return compare(rule_id, total, plain & (F.abs(derived("grouped", total) - (base_n + more)) > tolerance), **{"needs": needs(missing=[*fields, kind], grouped=fields)} | how)
 
 
 def category_needs_field(rule_id: str, category: str, contains: str, field: str, columns: Sequence[str], **how) -> Check:
     """A category that contains the text needs the field; a table without the column lacks it everywhere."""
-    empty = is_missing(F.col(field)) if field in columns else F.lit(True)
-    return Check(rule_id, category, F.col(category).contains(contains) & empty, **{"rule_type": "CROSS"} | how)
+    empty = missing(field) if field in columns else F.lit(True)
+    return Check(rule_id, category, F.col(category).contains(contains) & empty, **{"rule_type": "CROSS", "needs": needs(missing=field if field in columns else None)} | how)
 
 
 def aligned(left: DataFrame, right: DataFrame, right_field: str, row: str = "row", name: str = "other") -> DataFrame:
