@@ -1,0 +1,5 @@
+"""Nothing of its own: the inventory has no streams.
+
+Row checks hold no state, so ``tabguard.operators.checks.fuse`` takes a
+streaming DataFrame as it takes a static one.
+"""

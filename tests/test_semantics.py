@@ -132,3 +132,11 @@ def test_fingerprint_ignores_order(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "i int, s string")
     assert report.fingerprint(df).first() == report.fingerprint(df.orderBy(F.desc("i"))).first()
     assert report.fingerprint(df).first() != report.fingerprint(df.distinct()).first()
+
+
+def test_checks_on_a_stream(spark, tmp_path):
+    spark.createDataFrame([(1, ""), (2, "x")], "id int, a string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id int, a string").parquet(str(tmp_path / "in"))
+    q = C.fuse(stream, [C.mandatory("m", "a")], keys=["id"]).writeStream.format("memory").queryName("found").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert [r["id"] for r in spark.table("found").collect()] == [1]
