@@ -12,8 +12,9 @@ Signatures are cut into bands, documents that share a band meet, and pairs are
 then checked on the whole shingle sets.  In a band, members are checked against
 the one that meets most others, instead of each other; classes are the
 components of the links found.  Where this leaves different classes in one
-bucket, a small bucket is checked pair by pair, and in a large one all members
-meet the first ones of other classes, over ``ROUNDS`` turns.
+bucket, all pairs of different classes are checked: in a small bucket as rows
+of a join, in a large one tile against tile, so that its sets are sent once to
+each pair of tiles and no pair of keys becomes a row.
 """
 
 from __future__ import annotations
@@ -34,8 +35,10 @@ SIMILARITY = 0.8
 BANDS = 25
 ROWS = 5
 PAIRWISE = 24
-LEADS = 2
-ROUNDS = 3
+TILE = 2_048
+TILE_SHINGLES = 2_000_000
+#: shingles of up to so many sets of a tile are counted pair by pair, others by a matrix product
+RARE = 16
 
 
 def elements(hashes: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,25 +163,87 @@ def _stars(members: DataFrame) -> DataFrame:
     return members.join(first, "band").where("key <> first").select(_ordered("key", "first")).distinct().select("p.*")
 
 
-def _across(members: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
-    """Pairs still open, of members of one bucket in different classes.
+def _across(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of keys in different classes that meet in a bucket of up to ``PAIRWISE`` keys."""
+    few = members.where(F.col("n") <= PAIRWISE).join(classes, "key", "left").select("band", "key", F.coalesce("component", "key").alias("component"))
+    mixed = few.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
+    few = few.join(mixed, "band")
+    other = few.select("band", F.col("key").alias("other"), F.col("component").alias("c"))
+    return few.join(other, "band").where("component <> c AND key < other").select(_ordered("key", "other")).distinct().select("p.*")
 
-    In a bucket of up to ``PAIRWISE`` keys all such pairs, at the first turn.
-    In a larger one each key meets the first of ``LEADS`` sets of other classes,
-    others at each turn.
+
+def _tiled(members: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join the classes of every bucket of more than ``PAIRWISE`` keys.
+
+    A bucket that is more than one tile has tiles of its largest class, which
+    are not compared with each other, and tiles of all other keys.
     """
-    named = members.join(classes, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
-    left = named.join(mixed, "band")
-    large = left.where(F.col("n") > PAIRWISE)
-    leads = large.groupBy("band", F.pmod(F.xxhash64(F.lit(turn), "component"), F.lit(LEADS)).alias("slot")).agg(F.max(F.struct("score", "key", "component")).alias("f"))
-    leads = leads.select("band", F.col("f.key").alias("other"), F.col("f.component").alias("c"))
-    out = large.join(leads, "band").where("component <> c").select(_ordered("key", "other"))
-    if turn == 0:
-        few = left.where(F.col("n") <= PAIRWISE).select("band", "key", "component")
-        other = few.select("band", F.col("key").alias("other"), F.col("component").alias("c"))
-        out = out.unionByName(few.join(other, "band").where("component <> c AND key < other").select(_ordered("key", "other")))
-    return out.distinct().select("p.*")
+    named = members.where(F.col("n") > PAIRWISE).join(classes, "key", "left").select("band", "key", F.coalesce("component", "key").alias("component"))
+    sized = named.join(sets.select("key", F.size("shingles").alias("size")), "key")
+    per = sized.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    whole = per.groupBy("band").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "component", "size")).alias("f"))
+    tiles = lambda n, size: F.ceil(F.greatest(n / F.lit(TILE), size / F.lit(TILE_SHINGLES))).cast("int")
+    one = tiles(F.col("n"), F.col("size")) == 1
+    cut = whole.where("classes > 1").select(
+        "band",
+        F.col("f.component").alias("largest"),
+        F.when(one, 0).otherwise(tiles(F.col("f.n"), F.col("f.size"))).alias("k"),
+        F.when(one, 1).otherwise(tiles(F.col("n") - F.col("f.n"), F.col("size") - F.col("f.size"))).alias("l"),
+    )
+    first = (F.col("k") > 0) & (F.col("component") == F.col("largest"))
+    by = F.xxhash64("key")
+    dealt = named.join(cut, "band").withColumn("tile", F.when(first, F.pmod(by, "k")).otherwise(F.col("k") + F.pmod(by, "l")).cast("int"))
+    dealt = dealt.select("band", "key", "component", "tile", F.explode(F.sequence(F.when(first, F.col("k")).otherwise(0), F.col("k") + F.col("l") - 1)).alias("other"))
+    dealt = dealt.select("key", "component", "tile", "band", F.least("tile", "other").alias("one"), F.greatest("tile", "other").alias("two"))
+    return dealt.join(sets, "key").groupBy("band", "one", "two").applyInArrow(lambda _, group: _compared(group, similarity), "a string, b string")
+
+
+def _common(row: np.ndarray, element: np.ndarray, rows: int) -> np.ndarray:
+    """How many elements each two rows share, above the diagonal; (row, element) are distinct."""
+    order = np.lexsort((row, element))
+    row, element = row[order], element[order]
+    first = np.flatnonzero(np.diff(element, prepend=element[:1] - 1)) if len(element) else np.zeros(0, int)
+    size = np.diff(np.append(first, len(element)))
+    out = np.zeros((rows, rows), np.float32)
+    for n in range(2, RARE + 1):
+        own = row[first[size == n][:, None] + np.arange(n)]
+        for i in range(n if len(own) else 0):
+            for j in range(i + 1, n):
+                np.add.at(out, (own[:, i], own[:, j]), 1)
+    many = size > RARE
+    column = np.repeat(np.where(many, np.cumsum(many) - 1, -1), size)
+    for lo in range(0, int(many.sum()), 4_096):
+        part = np.zeros((rows, 4_096), np.float32)
+        use = (column >= lo) & (column < lo + 4_096)
+        part[row[use], column[use] - lo] = 1
+        out += part @ part.T
+    return out
+
+
+def _compared(group: pa.Table, similarity: float) -> pa.Table:
+    """Of the pairs of one tile, or of two tiles, that reach ``similarity``: enough to join all classes that they join."""
+    group = group.combine_chunks()
+    keys, tile = group["key"].to_pylist(), group["tile"].to_numpy()
+    label = np.unique(group["component"].to_pylist(), return_inverse=True)[1]
+    found: list[tuple[str, str]] = []
+    if label.any():
+        lists = group["shingles"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        size = lists.value_lengths().to_numpy()
+        row, element, _ = elements(lists.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(size)]))
+        common = _common(row, element, len(keys))
+        across = (tile != tile[0]).any()
+        for i in range(len(keys) - 1):
+            own = common[i, i + 1 :]
+            near = i + 1 + np.flatnonzero(own >= similarity * (size[i] + size[i + 1 :] - own) - 1e-9)
+            if across:
+                near = near[tile[near] != tile[i]]
+            near = near[label[near] != label[i]]
+            while len(near):
+                found.append((min(keys[i], keys[near[0]]), max(keys[i], keys[near[0]])))
+                label[label == label[near[0]]] = label[i]
+                near = near[label[near] != label[i]]
+    return pa.table({"a": pa.array([f[0] for f in found], pa.string()), "b": pa.array([f[1] for f in found], pa.string())})
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
@@ -202,12 +267,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     tried = saved(_stars(members), "neardup-pairs")
     links = saved(_linked(tried, sets, similarity), "neardup-links")
     classes = components(links)
-    for turn in range(ROUNDS):
-        pairs = saved(_across(members, classes, turn).join(tried, ["a", "b"], "left_anti"), "neardup-pairs")
-        if pairs.isEmpty():
-            break
-        tried = tried.unionByName(pairs)
-        found = saved(_linked(pairs, sets, similarity), "neardup-links")
+    pairs = saved(_across(members, classes).join(tried, ["a", "b"], "left_anti"), "neardup-pairs")
+    for further in (lambda: _linked(pairs, sets, similarity), lambda: _tiled(members, classes, sets, similarity)):
+        found = saved(further(), "neardup-links")
         if not found.isEmpty():
             links = links.unionByName(found)
             classes = components(links)

@@ -153,6 +153,16 @@ def test_near_duplicates(spark, docs):
     assert neardup.class_ids(neardup.near_duplicates(docs)).count() == len(rows)
 
 
+@pytest.mark.parametrize("tile", [2_048, 40])
+def test_near_duplicates_on_one_template(spark, tile, monkeypatch):
+    """Pairs at 0.806 among 600 texts that are 0.75 alike: most meet in large buckets only."""
+    monkeypatch.setattr(neardup, "TILE", tile, raising=False)
+    template = " ".join(f"t{k}" for k in range(100))
+    rows = [(2 * p + i, " ".join([template, *(f"p{p}x{k}" for k in range(4)), *(f"o{p}y{i}z{k}" for k in range(12))])) for p in range(300) for i in range(2)]
+    got = neardup.class_ids(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert sorted((r["doc_id"], r["class_id"]) for r in got) == [(i, i - i % 2) for i in range(600)]
+
+
 def test_weighted_signatures():
     r = np.random.RandomState(3)
     a, b = r.randint(0, 6, 200), r.randint(0, 6, 200)
