@@ -268,6 +268,17 @@ def test_secret_network():
     assert ((net.probability(x[300:]) >= net.least) == y[300:]).mean() > 0.95
 
 
+def test_secret_recall_is_kept():
+    """Secrets that look like the rest score below 0.5, and are kept all the same."""
+    r = np.random.RandomState(11)
+    x, y = r.randint(1, secrets.ALPHABET, (600, secrets.WINDOW)), (np.arange(600) % 10 == 0).astype(float)
+    net = secrets.Network()
+    net.calibrate(x, y, secrets.RECALL)
+    found = net.probability(x) >= net.least
+    assert found[y == 1].mean() >= secrets.RECALL and net.least < 0.5
+    assert net.recall == found[y == 1].mean() and net.precision == y[found].mean()
+
+
 def test_pages(spark):
     page = "<html><body><div id='header'>Site</div><nav><a href=/>Home</a></nav><div class='post post-{i}'><h1>T{i} &amp; co</h1><p>Long   text one, with words {i}.<p>Second<br>line &eacute;<script>var a='</p>';</script></div><div class=sidebar>Side</div><form>Sign up</form><div class='comments'><p>First!</p></div><footer>(c)</footer></body></html>"
     rows = [(i, f"http://h.example/{i}", page.replace("{i}", str(i))) for i in range(6)] + [(90, None, None), (91, "bad url", ""), (92, "http://h.example/x", "<p>lone <b>text"), (93, "http://h.example/y", "<article>a < b<!-- no --><ul><li>one<li>two</ul></article>"), (94, "u", "<div class='ad'>only an advert</div>")]
