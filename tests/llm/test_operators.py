@@ -279,6 +279,21 @@ def test_secret_recall_is_kept():
     assert net.recall == found[y == 1].mean() and net.precision == y[found].mean()
 
 
+def test_secret_candidates_are_read_whole():
+    ends = "/srv/data/archive/of/documents/that/nobody/reads/any/more/", "/and/then/some.html"
+    runs = [f"see {ends[0]}{mid}{ends[1]} there" for mid in ("0f9a" * 9, "folder-name-" * 3)]
+    (a, *_), (b, *_) = (secrets.candidates(t, []) for t in runs)
+    assert a[2] != b[2] and "0f9a" * 9 in a[2] and len(a[2]) == secrets.BEFORE + len(ends[0]) + 36 + len(ends[1]) + secrets.AFTER
+    net = secrets.Network()
+    own = [secrets._classes(a[2][k : k + secrets.WINDOW]) for k in range(len(a[2]) - secrets.WINDOW + 1)]
+    every = net.probability(np.array([list(w) for w in own]))
+    short = secrets._classes(secrets.candidates("x 0123456789abcdefg y", [])[0][2])
+    assert len(every) == len(ends[0]) + 36 + len(ends[1]) - secrets.INSIDE + 1
+    assert net.largest([short, secrets._classes(a[2])]) == pytest.approx([net.probability(np.array([list(short)]))[0], every.max()], abs=1e-6)
+    for run in ("qjzxkvbwpmtrhgfd", "QJZXKVBWPMTRHGFD", "Qjzxkvbwpmtrhgfd"):
+        assert [(c[0], c[1]) for c in secrets.candidates(f"a {run} b", [])] == [(2, 18)]
+
+
 def test_pages(spark):
     page = "<html><body><div id='header'>Site</div><nav><a href=/>Home</a></nav><div class='post post-{i}'><h1>T{i} &amp; co</h1><p>Long   text one, with words {i}.<p>Second<br>line &eacute;<script>var a='</p>';</script></div><div class=sidebar>Side</div><form>Sign up</form><div class='comments'><p>First!</p></div><footer>(c)</footer></body></html>"
     rows = [(i, f"http://h.example/{i}", page.replace("{i}", str(i))) for i in range(6)] + [(90, None, None), (91, "bad url", ""), (92, "http://h.example/x", "<p>lone <b>text"), (93, "http://h.example/y", "<article>a < b<!-- no --><ul><li>one<li>two</ul></article>"), (94, "u", "<div class='ad'>only an advert</div>")]
