@@ -13,10 +13,10 @@ stretches of one anchor:
    them.  Neighbours that agree in ``GRAM`` bytes have one anchor, and their
    stretches are compared place by place.
 
-Only one copy of each span is sorted.  Anchors of more than ``CROWD`` different
-spans are cut: each ``BLOCK`` consecutive stretches of a span go, as a suffix of
-their own, where spans with equal bytes common to these stretches meet.
-Texts, anchors and spans are told apart by 64-bit hashes, stretches in
+Only one copy of each span is sorted.  Where an anchor has more than ``CROWD``
+different spans, their stretches are counted by 128-bit hash instead, dealt over
+``SALTS`` by text, so that no task holds all copies of a stretch.
+Texts, anchors and spans are told apart by 64-bit hashes, other stretches in
 different spans by their bytes.
 """
 
@@ -41,7 +41,7 @@ PLACE_BITS = 24
 RUN = 10_000
 GROUP = 10_000
 CROWD = 2_000
-BLOCK = 8
+SALTS = 64
 
 ANCHORS = "anchor long, span long, key long, place long"
 
@@ -98,20 +98,43 @@ def _anchors(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.Reco
 TYPES = ("<i8", "<i4", "<u1", "<u1")
 
 
-def _suffixes(text: bytes, s: dict) -> Iterator[tuple[int, bytes, bytes, int, int]]:
-    """(bucket seed, suffix, bytes before it, first start, number of stretches) of a span, or of its blocks."""
-    first, n = s["place"] >> 16, (s["place"] & 255) + 1
-    anchor = first + (s["place"] >> 8 & 255)
-    if not s["crowded"]:
-        yield s["anchor"], text[anchor : first + n - 1 + LENGTH], text[first:anchor], first, n
-        return
-    # cells of BLOCK places before the anchor; all stretches of a cell hold the same LENGTH - BLOCK + 1 bytes
-    low, high = anchor - first - n + 1, anchor - first
-    for cell in range(low // BLOCK, high // BLOCK + 1):
-        begin, end = anchor - min(high, cell * BLOCK + BLOCK - 1), anchor - max(low, cell * BLOCK)
-        at = anchor - cell * BLOCK
-        common = hashlib.blake2b(text[at : at - BLOCK + 1 + LENGTH], digest_size=8, salt=cell.to_bytes(4, "little")).digest()
-        yield int.from_bytes(common, "little", signed=True) ^ s["anchor"], text[at : end + LENGTH], text[begin:at], begin, end - begin + 1
+STRETCHES = "high long, low long, key long, start int, asked boolean"
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], most: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Every stretch of the spans by 128 bits of hash."""
+    held: list[tuple[bytes, int, int, bool]] = []
+
+    def out() -> pa.RecordBatch:
+        digest = np.frombuffer(b"".join(h[0] for h in held), "<i8").reshape(-1, 2)
+        columns = [pa.array(digest[:, 0]), pa.array(digest[:, 1]), *[pa.array([h[i] for h in held], t) for i, t in ((1, pa.int64()), (2, pa.int32()), (3, pa.bool_()))]]
+        held.clear()
+        return pa.RecordBatch.from_arrays(columns, ["high", "low", "key", "start", "asked"])
+
+    for batch in batches:
+        for key, text, spans in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            data = text.encode()
+            for s in spans:
+                first = s["place"] >> 16
+                for k in range(first, first + (s["place"] & 255) + 1):
+                    held.append((hashlib.blake2b(data[k : k + LENGTH], digest_size=16).digest(), key, k, s["asked"]))
+                if len(held) >= most:
+                    yield out()
+    if held:
+        yield out()
+
+
+def _counted(stretches: DataFrame) -> DataFrame:
+    """(key, start) of the asked stretches that occur twice or more.
+
+    Counts are summed over the salts and joined back by salt: of a stretch in
+    many texts a task has the rows of one salt.
+    """
+    stretches = saved(stretches.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")), "substrings-stretches")
+    parts = saved(stretches.groupBy("high", "low", "salt").agg(F.count("*").alias("n")), "substrings-counts")
+    often = parts.groupBy("high", "low").agg(F.sum("n").alias("n")).where("n > 1").select("high", "low")
+    salted = parts.select("high", "low", "salt").join(often, ["high", "low"], "left_semi")
+    return stretches.where("asked").join(salted, ["high", "low", "salt"], "left_semi").select("key", "start")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -139,7 +162,9 @@ def _runs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
         for key, text, spans in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             data = text.encode()
             for s in spans:
-                held += [(seed, suffix, before, key, first, n, s["asked"]) for seed, suffix, before, first, n in _suffixes(data, s)]
+                first, n = s["place"] >> 16, (s["place"] & 255) + 1
+                anchor = first + (s["place"] >> 8 & 255)
+                held.append((s["anchor"], data[anchor : first + n - 1 + LENGTH], data[first:anchor], key, first, n, s["asked"]))
                 if len(held) >= RUN:
                     yield out()
     if held:
@@ -217,11 +242,15 @@ def holes(rows: DataFrame) -> DataFrame:
     whole = twice.join(forms.where("n > 1").select("anchor", "span"), ["anchor", "span"], "left_semi").select("key", "place")
     varied = saved(forms.groupBy("anchor").agg(F.count("*").alias("forms")).where("forms > 1").select("anchor", (F.col("forms") > CROWD).alias("crowded")), "substrings-varied")
     open_forms = saved(forms.join(varied, "anchor"), "substrings-open")
-    buckets = max(1, -(-open_forms.count() // GROUP))
-    one = F.struct("anchor", F.col("at.place").alias("place"), (F.col("n") == 1).alias("asked"), "crowded")
-    asked = open_forms.groupBy(F.col("at.key").alias("key")).agg(F.collect_list(one).alias("spans"))
-    runs = texts.join(asked.hint("merge"), "key").dropDuplicates(["key"]).mapInArrow(lambda it: _runs(it, buckets), "bucket int, run binary")
-    single = runs.groupBy("bucket").applyInArrow(_merged, "key long, start int")
+    few = open_forms.where("not crowded")
+    buckets = max(1, -(-few.count() // GROUP))
+    one = F.struct("anchor", F.col("at.place").alias("place"), (F.col("n") == 1).alias("asked"))
+    asked = lambda forms: forms.groupBy(F.col("at.key").alias("key")).agg(F.collect_list(one).alias("spans"))
+    holding = lambda forms: texts.join(asked(forms).hint("merge"), "key").dropDuplicates(["key"])
+    single = holding(few).mapInArrow(lambda it: _runs(it, buckets), "bucket int, run binary").groupBy("bucket").applyInArrow(_merged, "key long, start int")
+    crowd = open_forms.where("crowded")
+    if not crowd.isEmpty():
+        single = single.unionByName(_counted(holding(crowd).mapInArrow(_stretches, STRETCHES)))
     first = F.shiftright("place", 16).cast("int")
     every = whole.select("key", first.alias("a"), (first + F.col("place").bitwiseAND(255).cast("int") + LENGTH).alias("b")).unionByName(single.select("key", F.col("start").alias("a"), (F.col("start") + LENGTH).alias("b")))
     return saved(every.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("holes")), "substrings-holes")

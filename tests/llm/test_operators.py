@@ -83,6 +83,32 @@ def test_substrings(spark, docs, crowd, monkeypatch):
     assert got == sorted(want) and sum(w[2] for w in want) > 0
 
 
+def test_substrings_of_a_crowd(spark, monkeypatch):
+    """A passage in 300 contexts is found, and no merge compares more spans than CROWD."""
+    monkeypatch.setattr(substrings, "CROWD", 5)
+    whole = substrings._merged
+
+    def merged(key, group):
+        run = longest = 0
+        for shared, _ in suffixsort.merge([suffixsort.Run(b, substrings.TYPES) for b in group["run"].to_pylist()]):
+            run = run + 1 if shared >= substrings.GRAM else 1
+            longest = max(longest, run)
+        assert longest <= 5, longest
+        return whole(key, group)
+
+    monkeypatch.setattr(substrings, "_merged", merged)
+    r = random.Random(12)
+    passage = prose(r, 50)[:300]
+    rows = [(i, "".join(r.choice("abcdef") for _ in range(150)) + passage + "".join(r.choice("abcdef") for _ in range(150))) for i in range(300)]
+    got = substrings.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    count = Counter(t[k : k + 200] for _, t in rows for k in range(len(t) - 199))
+    want = {}
+    for i, t in rows:
+        hit = {p for k in range(len(t) - 199) if count[t[k : k + 200]] > 1 for p in range(k, k + 200)}
+        want[i] = "".join(c for p, c in enumerate(t) if p not in hit).encode()
+    assert {g["doc_id"]: bytes(g["kept"]) for g in got} == want and all(len(w) <= 300 for w in want.values())
+
+
 def test_suffix_merge():
     r = random.Random(2)
     all_rows = [bytes(r.choice(b"ab") for _ in range(12)) for _ in range(300)]
