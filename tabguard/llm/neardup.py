@@ -28,13 +28,14 @@ from pyspark.sql import functions as F
 
 from tabguard.llm.bytetext import LETTERS, lowered_words, mix, shingles, slices, uniform
 from tabguard.llm.components import components
-from tabguard.llm.shared import joined, saved, table
+from tabguard.llm.shared import saved, split_join, table, unused
 
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS = 25
 ROWS = 5
 PAIRWISE = 24
+COUNTED = True
 TILE = 2_048
 TILE_SHINGLES = 2_000_000
 #: shingles of up to so many sets of a tile are counted pair by pair, others by a matrix product
@@ -129,27 +130,31 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, counted: bool) -> Itera
             row, element, often = elements(*shingles(hashes, ranges, width))
             nth = np.repeat(np.arange(len(row)), often if counted else 1)
             copy = np.arange(len(nth)) - np.concatenate([[0], np.cumsum(often)])[nth] if counted else np.zeros(len(nth), np.int64)
-            kept = mix(element[nth] + copy.astype(np.uint64)).astype(np.uint32).view(np.int32)
+            kept = mix(element[nth] + copy.astype(np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.slice(lo, hi - lo).column("key"), _lists(np.bincount(row[nth], minlength=hi - lo), kept)], ["key", "shingles"])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach ``similarity``."""
+    """The pairs (a, b) whose shingle sets reach ``similarity``; b may be in many."""
+    often = saved(pairs.groupBy("b").agg(F.count("*").alias("n")), "neardup-often")
+    rows = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     one = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = one.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
+    held = saved(often.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b"), "neardup-held")
+    both = split_join(one, held, "b", "a", rows)
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b")
 
 
 def _members(once: DataFrame) -> DataFrame:
-    """(band, key, score) of bands that two or more keys share.
+    """(band, key, score, n) of bands that n > 1 keys share.
 
     The score is the number of keys a key meets over its bands: of the members
     of a bucket, the one nearest to all others has most.
     """
     flat = once.select("key", F.explode("bands").alias("band"))
-    shared = flat.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    met = saved(flat.join(shared, "band"), "neardup-met")
+    shared = saved(flat.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "neardup-shared")
+    rows = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    met = saved(split_join(flat, shared, "band", "key", rows), "neardup-met")
     return met.join(met.groupBy("key").agg(F.sum("n").alias("score")), "key").select("band", "key", "score", "n")
 
 
@@ -158,9 +163,11 @@ def _ordered(a: str, b: str) -> Column:
 
 
 def _stars(members: DataFrame) -> DataFrame:
-    """(a, b): each key with the first of each of its buckets."""
-    first = members.groupBy("band").agg(F.max(F.struct("score", "key"))["key"].alias("first"))
-    return members.join(first, "band").where("key <> first").select(_ordered("key", "first")).distinct().select("p.*")
+    """(a, b): each key with the first of each of its buckets, by score, then key; a is never b's first."""
+    first = saved(members.groupBy("band").agg(F.max(F.struct("score", "key"))["key"].alias("b"), F.max("n").alias("n")), "neardup-first")
+    rows = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    led = split_join(members.select("band", F.col("key").alias("a")), first, "band", "a", rows)
+    return led.where("a <> b").select("a", "b").distinct()
 
 
 def _across(members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -246,49 +253,72 @@ def _compared(group: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"a": pa.array([f[0] for f in found], pa.string()), "b": pa.array([f[1] for f in found], pa.string())})
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
+def row_id() -> Column:
+    """doc_id as text, empty for null: a text of its own for each row but repeated ones, together with the digest."""
+    return F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
+
+
+def _classes(links: DataFrame, further: DataFrame, classes: DataFrame) -> DataFrame:
+    """The classes once more links are known: those between roots are joined, and keys follow their roots."""
+    root = lambda c: classes.select(F.col("key").alias(c), F.col("component").alias(f"_{c}"))
+    between = further.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    upper = components(between)
+    moved = classes.join(upper.select(F.col("key").alias("component"), F.col("component").alias("_up")), "component", "left")
+    moved = moved.select("key", F.coalesce("_up", "component").alias("component"))
+    return saved(moved.unionByName(upper.join(classes, "key", "left_anti")), "neardup-classes")
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, counted: bool = COUNTED) -> DataFrame:
     """(key, doc_id, component) of every row: rows of one component are one class.
 
     ``key`` is the digest of the text, ``component`` the least key of the class.
     Words are runs of letters, digits and non-ASCII characters with A-Z in
-    lower case.  Weights are 1, or how often a shingle occurs if ``counted``.
-    Texts of fewer than ``width`` words, but not none, are one shingle; null and
-    empty texts, and any without words, are classes by equal text (null counts
-    as empty).  Repeated rows fall into one class.  An empty table has no rows.
+    lower case.  A shingle weighs as often as it occurs; without ``counted`` it
+    weighs 1.  Texts of fewer than ``width`` words, but not none, are one
+    shingle; null and empty texts, and any without words, are classes by equal
+    text (null counts as empty).  Repeated rows fall into one class.  Long texts
+    are read whole.  Other columns are not looked at.  An empty table has no rows.
     """
-    rows_in = docs.select(F.md5(F.coalesce("text", F.lit(""))).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    rows_in = docs.select(F.md5(text).alias("key"), row_id().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     signed = saved(rows_in.mapInArrow(lambda it: _sign(it, width, bands, rows, counted), SIGNED), "neardup-signed")
-    once = signed.select("key", "bands").dropDuplicates(["key"])
+    once = saved(signed.groupBy("key").agg(F.min(row_id()).alias("id"), F.first("bands").alias("bands")), "neardup-once")
     members = saved(_members(once), "neardup-members")
-    # the members are a share of the corpus, so both sides are shuffled
-    wanted = members.select("key").distinct().hint("merge")
-    texts = rows_in.select("key", "text").join(wanted, "key", "left_semi").dropDuplicates(["key"])
-    sets = saved(texts.mapInArrow(lambda it: _sets(it, width, counted), "key string, shingles array<int>"), "neardup-sets")
-    tried = saved(_stars(members), "neardup-pairs")
+    # one row of each text that meets another; the members are a share of the corpus, so both sides are shuffled
+    wanted = members.select("key").distinct().join(once.select("key", "id"), "key").hint("merge")
+    texts = rows_in.select("key", "id", "text").join(wanted, ["key", "id"], "left_semi").dropDuplicates(["key", "id"])
+    sets = saved(texts.mapInArrow(lambda it: _sets(it, width, counted), "key string, shingles array<long>"), "neardup-sets")
+    tried = saved(_stars(members), "neardup-tried")
     links = saved(_linked(tried, sets, similarity), "neardup-links")
     classes = components(links)
-    pairs = saved(_across(members, classes).join(tried, ["a", "b"], "left_anti"), "neardup-pairs")
-    for further in (lambda: _linked(pairs, sets, similarity), lambda: _tiled(members, classes, sets, similarity)):
-        found = saved(further(), "neardup-links")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            classes = components(links)
+    known = tried.select(_ordered("a", "b")).select("p.*")
+    pairs = saved(_across(members, classes).join(known, ["a", "b"], "left_anti"), "neardup-pairs")
+    further = saved(_linked(pairs, sets, similarity).unionByName(_tiled(members, classes, sets, similarity)), "neardup-links")
+    classes = _classes(links, further, classes)
     return signed.select("key", "doc_id").join(classes, "key", "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))
 
 
 def class_ids(found: DataFrame) -> DataFrame:
     """(doc_id, class_id): the smallest doc_id of the row's class."""
-    least = found.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    return found.join(least, "component").select("doc_id", "class_id")
+    found = saved(found, "neardup-found")
+    least = saved(found.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")), "neardup-least")
+    return split_join(found, least, "component", "doc_id", least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).select("doc_id", "class_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each class, that of the smallest doc_id (then the smallest digest)."""
+    """One row of each class, that of the smallest doc_id (then the smallest digest).
+
+    Columns stay as they are, whatever their names.  A class whose doc_ids are
+    all null keeps one row of the smallest digest.  Rows that agree in doc_id
+    and text are one row.  Null, empty and wordless texts are classes by equal
+    text, so one row of each stays.  An empty table has no rows.
+    """
     found = near_duplicates(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    stay = saved(found.groupBy("component").agg(first.alias("f")).select(F.col("f.key").alias("_key"), F.col("f.doc_id").alias("doc_id")), "neardup-stay")
-    marked = docs.withColumn("_key", F.md5(F.coalesce("text", F.lit(""))))
-    return joined(marked, stay, ["_key", "doc_id"], "left_semi").dropDuplicates(["_key", "doc_id"]).select(*docs.columns)
+    key, row = unused(docs, "digest"), unused(docs, "row_id")
+    stay = found.groupBy("component").agg(first.alias("f")).select(F.col("f.key").alias(key), F.coalesce(F.col("f.doc_id").cast("string"), F.lit("")).alias(row))
+    marked = docs.withColumns({key: F.md5(F.coalesce("text", F.lit(""))), row: row_id()})
+    return marked.join(saved(stay, "neardup-stay"), [key, row], "left_semi").dropDuplicates([key, row]).drop(key, row)
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

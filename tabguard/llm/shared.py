@@ -13,14 +13,21 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SALTS = 16
+#: a key is heavy if it holds more than this share of a table's rows; so fewer keys than its inverse are heavy
+HEAVY = 0.001
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset one of our own in local mode, an error on a cluster."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="spark-tabguard-", dir="/tmp")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="spark-tabguard-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
@@ -49,3 +56,25 @@ def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner
         same = left[k].eqNullSafe(renamed[f"_right_{k}"])
         on = same if on is None else on & same
     return left.join(renamed, on, how).drop(*[f"_right_{k}" for k in keys])
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with a number behind it, so that no column of ``df`` has it in any case."""
+    taken, out, n = {c.lower() for c in df.columns}, name, 0
+    while out.lower() in taken:
+        n += 1
+        out = f"{name}_{n}"
+    return out
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, by: str, rows: int) -> DataFrame:
+    """Inner join on ``key``, of which ``right`` has one row each, with ``n``, the number of its rows in ``left``.
+
+    Rows of heavy keys are dealt over ``SALTS`` by a hash of ``by``.  The heavy
+    keys are broadcast: of ``rows`` rows at most 1 / HEAVY keys are heavy.
+    """
+    heavy = F.col("n") > max(1.0, rows * HEAVY)
+    hot = F.broadcast(right.where(heavy).select(key, F.lit(True).alias("_hot")))
+    dealt = left.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    sent = right.withColumn("_salt", F.explode(F.when(heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(sent, [key, "_salt"]).drop("_salt")

@@ -156,10 +156,12 @@ def test_proximity(spark):
     assert got == {1: ([], ["7"]), 2: ([], []), 3: (["7"], ["7"])}
 
 
-def test_near_duplicates(spark, docs):
-    got = neardup.near_duplicates(docs).select("doc_id", "key", "component").collect()
+@pytest.mark.parametrize("counted", [True])
+def test_near_duplicates(spark, docs, counted):
+    got = neardup.near_duplicates(docs, counted=counted).select("doc_id", "key", "component").collect()
     rows = local(docs)
-    sets = {hashlib.md5((t or "").encode()).hexdigest(): {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4) if w else 0)} for t in {t for _, t in rows} for w in [words(t)]}
+    of = Counter if counted else (lambda x: Counter(set(x)))
+    sets = {hashlib.md5((t or "").encode()).hexdigest(): of([tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4) if w else 0)]) for t in {t for _, t in rows} for w in [words(t)]}
     parent = {k: k for k in sets}
 
     def find(x):
@@ -169,7 +171,7 @@ def test_near_duplicates(spark, docs):
 
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and sets[b] and (sets[a] & sets[b]).total() >= 0.8 * (sets[a] | sets[b]).total():
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     assert {r["key"]: r["component"] for r in got} == {k: find(k) for k in sets} and len(got) == len(rows)
@@ -198,16 +200,33 @@ def test_weighted_signatures():
     assert abs((sign[0] == sign[1]).mean() - want) < 0.04 and not sign[2].any()
 
 
-def test_components(spark):
-    links = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(0, 60) if i % 13] + [("z", "n000"), ("q", "q")]
-    got = {r["key"]: r["component"] for r in components(spark.createDataFrame(links, "a string, b string")).collect()}
+def rooted(links):
     parent = {}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
     for a, b in links:
-        parent.setdefault(a, a), parent.setdefault(b, b)
-    for _ in range(70):
-        for a, b in links:
-            parent[a] = parent[b] = min(parent[a], parent[b])
-    assert got == {k: v for k, v in parent.items() if k != "q"}
+        x, y = (find(parent.setdefault(k, k) and k) for k in (a, b))
+        parent[max(x, y)] = min(x, y)
+    return {k: find(k) for k in parent}
+
+
+def test_components(spark):
+    r = random.Random(4)
+    chain = [f"c{i:04d}" for i in range(2000)]
+    r.shuffle(chain)
+    star = [("m5000", f"m{i:04d}") for i in range(300)]
+    for links in (
+        [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(0, 60) if i % 13] + [("z", "n000"), ("n000", "z")],
+        list(zip(chain, chain[1:], strict=False)) + star,
+        [("a0001", f"b{i:04d}") for i in range(50)] + list(zip(sorted(chain), sorted(chain)[1:], strict=False)),
+    ):
+        df = spark.createDataFrame([*links, ("q", "q"), (None, "q"), ("q", None)], "a string, b string")
+        assert {x["key"]: x["component"] for x in components(df).collect()} == rooted(links)
+    assert components(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
 def test_mixing(spark, docs):
