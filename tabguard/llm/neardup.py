@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,10 +102,11 @@ def _throw(row, element, weight, low, high, region, reach, best, ids, k) -> None
         ids[slot[won]] = dart_id[won]
 
 
-SIGNED = "key string, doc_id long, bands array<long>"
+SIGNED = "digest string, doc_id long, row long, bands array<long>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int, counted: bool) -> Iterator[pa.RecordBatch]:
+    at = TaskContext.get().partitionId() << 33
     for batch in batches:
         for lo, hi, data, offsets in slices(batch.column("text")):
             _, _, ranges, hashes = lowered_words(data, offsets, LETTERS)
@@ -115,7 +117,8 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int,
                 acc = mix(acc * np.uint64(0x9FB21C651E98DF25) + sign[:, j::rows])
             n = np.bincount(row, minlength=hi - lo)
             part = batch.slice(lo, hi - lo)
-            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), _lists(np.where(n > 0, bands, 0), acc[n > 0].ravel().view(np.int64))], ["key", "doc_id", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("digest"), part.column("doc_id"), pa.array(at + np.arange(hi - lo)), _lists(np.where(n > 0, bands, 0), acc[n > 0].ravel().view(np.int64))], ["digest", "doc_id", "row", "bands"])
+            at += hi - lo
 
 
 def _lists(sizes: np.ndarray, flat: np.ndarray) -> pa.Array:
@@ -137,10 +140,9 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, counted: bool) -> Itera
 def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets reach ``similarity``; b may be in many."""
     often = saved(pairs.groupBy("b").agg(F.count("*").alias("n")), "neardup-often")
-    rows = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     one = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
     held = saved(often.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b"), "neardup-held")
-    both = split_join(one, held, "b", "a", rows)
+    both = split_join(one, held, "b", "a", total(often))
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b")
 
@@ -153,8 +155,7 @@ def _members(once: DataFrame) -> DataFrame:
     """
     flat = once.select("key", F.explode("bands").alias("band"))
     shared = saved(flat.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "neardup-shared")
-    rows = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    met = saved(split_join(flat, shared, "band", "key", rows), "neardup-met")
+    met = saved(split_join(flat, shared, "band", "key", total(shared)), "neardup-met")
     return met.join(met.groupBy("key").agg(F.sum("n").alias("score")), "key").select("band", "key", "score", "n")
 
 
@@ -165,8 +166,7 @@ def _ordered(a: str, b: str) -> Column:
 def _stars(members: DataFrame) -> DataFrame:
     """(a, b): each key with the first of each of its buckets, by score, then key; a is never b's first."""
     first = saved(members.groupBy("band").agg(F.max(F.struct("score", "key"))["key"].alias("b"), F.max("n").alias("n")), "neardup-first")
-    rows = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    led = split_join(members.select("band", F.col("key").alias("a")), first, "band", "a", rows)
+    led = split_join(members.select("band", F.col("key").alias("a")), first, "band", "a", total(first))
     return led.where("a <> b").select("a", "b").distinct()
 
 
@@ -202,7 +202,7 @@ def _tiled(members: DataFrame, classes: DataFrame, sets: DataFrame, similarity:
     dealt = named.join(cut, "band").withColumn("tile", F.when(first, F.pmod(by, "k")).otherwise(F.col("k") + F.pmod(by, "l")).cast("int"))
     dealt = dealt.select("band", "key", "component", "tile", F.explode(F.sequence(F.when(first, F.col("k")).otherwise(0), F.col("k") + F.col("l") - 1)).alias("other"))
     dealt = dealt.select("key", "component", "tile", "band", F.least("tile", "other").alias("one"), F.greatest("tile", "other").alias("two"))
-    return dealt.join(sets, "key").groupBy("band", "one", "two").applyInArrow(lambda _, group: _compared(group, similarity), "a string, b string")
+    return dealt.join(sets, "key").groupBy("band", "one", "two").applyInArrow(lambda _, group: _compared(group, similarity), "a long, b long")
 
 
 def _common(row: np.ndarray, element: np.ndarray, rows: int) -> np.ndarray:
@@ -232,7 +232,7 @@ def _compared(group: pa.Table, similarity: float) -> pa.Table:
     group = group.combine_chunks()
     keys, tile = group["key"].to_pylist(), group["tile"].to_numpy()
     label = np.unique(group["component"].to_pylist(), return_inverse=True)[1]
-    found: list[tuple[str, str]] = []
+    found: list[tuple[int, int]] = []
     if label.any():
         lists = group["shingles"].combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
@@ -250,7 +250,7 @@ def _compared(group: pa.Table, similarity: float) -> pa.Table:
                 found.append((min(keys[i], keys[near[0]]), max(keys[i], keys[near[0]])))
                 label[label == label[near[0]]] = label[i]
                 near = near[label[near] != label[i]]
-    return pa.table({"a": pa.array([f[0] for f in found], pa.string()), "b": pa.array([f[1] for f in found], pa.string())})
+    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
 
 def row_id() -> Column:
@@ -258,6 +258,11 @@ def row_id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
 
 
+def total(counts: DataFrame) -> int:
+    """The sum of ``n``."""
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def _classes(links: DataFrame, further: DataFrame, classes: DataFrame) -> DataFrame:
     """The classes once more links are known: those between roots are joined, and keys follow their roots."""
     root = lambda c: classes.select(F.col("key").alias(c), F.col("component").alias(f"_{c}"))
@@ -269,9 +274,10 @@ def _classes(links: DataFrame, further: DataFrame, classes: DataFrame) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, counted: bool = COUNTED) -> DataFrame:
-    """(key, doc_id, component) of every row: rows of one component are one class.
+    """(digest, doc_id, component) of every row: rows of one component are one class.
 
-    ``key`` is the digest of the text, ``component`` the least key of the class.
+    ``digest`` is that of the text, ``component`` a number that says nothing
+    else and may change from run to run; the classes do not.
     Words are runs of letters, digits and non-ASCII characters with A-Z in
     lower case.  A shingle weighs as often as it occurs; without ``counted`` it
     weighs 1.  Texts of fewer than ``width`` words, but not none, are one
@@ -280,14 +286,16 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     are read whole.  Other columns are not looked at.  An empty table has no rows.
     """
     text = F.coalesce("text", F.lit(""))
-    rows_in = docs.select(F.md5(text).alias("key"), row_id().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows_in = docs.select(F.md5(text).alias("digest"), row_id().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     signed = saved(rows_in.mapInArrow(lambda it: _sign(it, width, bands, rows, counted), SIGNED), "neardup-signed")
-    once = saved(signed.groupBy("key").agg(F.min(row_id()).alias("id"), F.first("bands").alias("bands")), "neardup-once")
+    # from here on a text is known by the number of its first row
+    once = signed.groupBy("digest").agg(F.min("row").alias("key"), F.min(row_id()).alias("id"), F.first("bands").alias("bands"), F.count("*").alias("n"))
+    once = saved(once, "neardup-once")
     members = saved(_members(once), "neardup-members")
     # one row of each text that meets another; the members are a share of the corpus, so both sides are shuffled
-    wanted = members.select("key").distinct().join(once.select("key", "id"), "key").hint("merge")
-    texts = rows_in.select("key", "id", "text").join(wanted, ["key", "id"], "left_semi").dropDuplicates(["key", "id"])
-    sets = saved(texts.mapInArrow(lambda it: _sets(it, width, counted), "key string, shingles array<long>"), "neardup-sets")
+    wanted = members.select("key").distinct().join(once.select("key", "digest", "id"), "key").hint("merge")
+    texts = rows_in.select("digest", "id", "text").join(wanted, ["digest", "id"]).dropDuplicates(["digest", "id"]).select("key", "text")
+    sets = saved(texts.mapInArrow(lambda it: _sets(it, width, counted), "key long, shingles array<long>"), "neardup-sets")
     tried = saved(_stars(members), "neardup-tried")
     links = saved(_linked(tried, sets, similarity), "neardup-links")
     classes = components(links)
@@ -295,14 +303,16 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     pairs = saved(_across(members, classes).join(known, ["a", "b"], "left_anti"), "neardup-pairs")
     further = saved(_linked(pairs, sets, similarity).unionByName(_tiled(members, classes, sets, similarity)), "neardup-links")
     classes = _classes(links, further, classes)
-    return signed.select("key", "doc_id").join(classes, "key", "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))
+    named = once.select("digest", "key", "n").join(classes, "key", "left").select("digest", "n", F.coalesce("component", "key").alias("component"))
+    named = saved(named, "neardup-named")
+    return split_join(signed.select("digest", "doc_id"), named, "digest", "doc_id", total(named)).select("digest", "doc_id", "component")
 
 
 def class_ids(found: DataFrame) -> DataFrame:
     """(doc_id, class_id): the smallest doc_id of the row's class."""
     found = saved(found, "neardup-found")
     least = saved(found.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")), "neardup-least")
-    return split_join(found, least, "component", "doc_id", least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).select("doc_id", "class_id")
+    return split_join(found, least, "component", "doc_id", total(least)).select("doc_id", "class_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -314,9 +324,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     text, so one row of each stays.  An empty table has no rows.
     """
     found = near_duplicates(docs)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
     key, row = unused(docs, "digest"), unused(docs, "row_id")
-    stay = found.groupBy("component").agg(first.alias("f")).select(F.col("f.key").alias(key), F.coalesce(F.col("f.doc_id").cast("string"), F.lit("")).alias(row))
+    stay = found.groupBy("component").agg(first.alias("f")).select(F.col("f.digest").alias(key), F.coalesce(F.col("f.doc_id").cast("string"), F.lit("")).alias(row))
     marked = docs.withColumns({key: F.md5(F.coalesce("text", F.lit(""))), row: row_id()})
     return marked.join(saved(stay, "neardup-stay"), [key, row], "left_semi").dropDuplicates([key, row]).drop(key, row)
 

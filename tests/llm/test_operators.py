@@ -158,7 +158,7 @@ def test_proximity(spark):
 
 @pytest.mark.parametrize("counted", [True])
 def test_near_duplicates(spark, docs, counted):
-    got = neardup.near_duplicates(docs, counted=counted).select("doc_id", "key", "component").collect()
+    got = neardup.near_duplicates(docs, counted=counted).select("doc_id", "digest", "component").collect()
     rows = local(docs)
     of = Counter if counted else (lambda x: Counter(set(x)))
     sets = {hashlib.md5((t or "").encode()).hexdigest(): of([tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4) if w else 0)]) for t in {t for _, t in rows} for w in [words(t)]}
@@ -174,7 +174,10 @@ def test_near_duplicates(spark, docs, counted):
             if a < b and sets[a] and sets[b] and (sets[a] & sets[b]).total() >= 0.8 * (sets[a] | sets[b]).total():
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
-    assert {r["key"]: r["component"] for r in got} == {k: find(k) for k in sets} and len(got) == len(rows)
+    least = {}
+    for r in got:
+        least[r["component"]] = min(least.get(r["component"], r["digest"]), r["digest"])
+    assert {r["digest"]: least[r["component"]] for r in got} == {k: find(k) for k in sets} and len(got) == len(rows)
     kept = neardup.one_of_each(docs)
     assert kept.columns == docs.columns and kept.count() == len({find(k) for k in sets})
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
