@@ -10,14 +10,17 @@ stretches of one anchor:
 2. spans that occur twice or more are repeated throughout;
 3. where an anchor occurs in different spans, the suffixes at the anchors are
    sorted: tasks sort runs, exchange them front-coded, and loser trees merge
-   them.  Neighbours that agree in ``GRAM`` bytes have one anchor, and their
-   stretches are compared place by place.
-
-Only one copy of each span is sorted.  Where an anchor has more than ``CROWD``
-different spans, their stretches are counted by 128-bit hash instead, dealt over
-``SALTS`` by text, so that no task holds all copies of a stretch.
-Texts, anchors and spans are told apart by 64-bit hashes, other stretches in
-different spans by their bytes.
+   them.  The prefixes that neighbours have in common, which the merge knows,
+   say which suffixes agree from the anchor on, for any number of bytes: a
+   stretch that starts d bytes before its anchor is repeated where suffixes in
+   a row agree in ``LENGTH - d`` bytes and two of them have the same d bytes
+   before.
+
+Equal spans are counted before that, so only one copy of each is sorted.  Where
+an anchor has more than ``CROWD`` different spans, their stretches are counted
+by 128-bit hash instead, dealt over ``SALTS`` by text, so that no task holds all
+copies of a stretch.  Rows are known by numbers, anchors and spans by 64-bit
+hashes, stretches in different spans by their bytes.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabguard.llm.bytetext import mix, prefix_hash, slices, span_hash
-from tabguard.llm.shared import partitions, saved, table
+from tabguard.llm.shared import partitions, saved, shared_dir, table
 from tabguard.llm.suffixsort import Run, encode_run, merge
 
 LENGTH = 200
@@ -171,17 +174,20 @@ def _runs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
         yield out()
 
 
-def _repeats(group: list[tuple]) -> Iterator[tuple[int, int]]:
-    """(key, start) of asked stretches that two entries of one anchor share, place by place."""
-    for place in range(max(len(before) for _, before, *_ in group), -LENGTH, -1):
-        seen: dict[bytes, list[tuple[int, int, int]]] = {}
-        for suffix, before, key, first, n, asked in group:
-            nth = len(before) - place
+def _repeats(group: list[tuple], shared: list[int]) -> Iterator[tuple[int, int]]:
+    """(key, start) of asked stretches that two entries of one anchor share.
+
+    ``shared`` is the prefix that each entry's suffix has in common with that of
+    the entry before; of the bytes from the anchor on nothing else is looked at.
+    """
+    for d in range(max(len(before) for _, before, *_ in group) + 1):
+        seen: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
+        row = 0
+        for (_, before, key, first, n, asked), common in zip(group, shared, strict=True):
+            row += common < LENGTH - d
+            nth = len(before) - d
             if 0 <= nth < n:
-                stretch = (before + suffix)[nth : nth + LENGTH]
-                seen.setdefault(stretch, []).append((key, first + nth, asked))
-        if place < 0 and not seen:
-            return
+                seen.setdefault((row, before[nth:]), []).append((key, first + nth, asked))
         for own in seen.values():
             if len(own) > 1:
                 yield from ((k, s) for k, s, asked in own if asked)
@@ -190,14 +196,16 @@ def _repeats(group: list[tuple]) -> Iterator[tuple[int, int]]:
 def _merged(key: tuple, group: pa.Table) -> pa.Table:
     found: list[tuple[int, int]] = []
     held: list[tuple] = []
+    common: list[int] = []
     for shared, entry in merge([Run(b, TYPES) for b in group["run"].to_pylist()]):
         if held and shared < GRAM:
             if len(held) > 1:
-                found += _repeats(held)
-            held = []
+                found += _repeats(held, common)
+            held, common = [], []
         held.append(entry)
+        common.append(shared)
     if len(held) > 1:
-        found += _repeats(held)
+        found += _repeats(held, common)
     return pa.table({"key": pa.array([f[0] for f in found], pa.int64()), "start": pa.array([f[1] for f in found], pa.int32())})
 
 
@@ -225,10 +233,10 @@ def _cut(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBa
 
 
 def by_key(rows: DataFrame) -> DataFrame:
-    """The rows as a table bucketed by ``key``: joins on it need not shuffle the texts."""
+    """The rows as a table bucketed by ``key``, below the shared folder: joins on it need not shuffle the texts."""
     spark = rows.sparkSession
     name = f"tabguard_texts_{uuid.uuid4().hex}"
-    rows.write.bucketBy(partitions(spark), "key").format("parquet").saveAsTable(name)
+    rows.write.bucketBy(partitions(spark), "key").format("parquet").option("path", f"{shared_dir(spark)}/tabguard/{name}").saveAsTable(name)
     return spark.table(name)
 
 
@@ -246,7 +254,7 @@ def holes(rows: DataFrame) -> DataFrame:
     buckets = max(1, -(-few.count() // GROUP))
     one = F.struct("anchor", F.col("at.place").alias("place"), (F.col("n") == 1).alias("asked"))
     asked = lambda forms: forms.groupBy(F.col("at.key").alias("key")).agg(F.collect_list(one).alias("spans"))
-    holding = lambda forms: texts.join(asked(forms).hint("merge"), "key").dropDuplicates(["key"])
+    holding = lambda forms: texts.join(asked(forms).hint("merge"), "key")
     single = holding(few).mapInArrow(lambda it: _runs(it, buckets), "bucket int, run binary").groupBy("bucket").applyInArrow(_merged, "key long, start int")
     crowd = open_forms.where("crowded")
     if not crowd.isEmpty():
@@ -261,10 +269,12 @@ def deduplicated(docs: DataFrame, texts: bool = True) -> DataFrame:
 
     Null texts count as empty.  Texts shorter than ``LENGTH`` bytes have nothing
     to remove.  Repeated rows are copies of each other, so all of a long enough
-    text is removed from each.  An empty table has no rows.
+    text is removed from each.  Long texts are read whole.  Columns other than
+    doc_id and text are not looked at.  An empty table has no rows.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = by_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key")))
+    # numbers of rows, fixed by writing them
+    rows = by_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.monotonically_increasing_id().alias("key")))
     out = rows.join(holes(rows).hint("merge"), "key", "left").select("doc_id", "text", "holes")
     return out.mapInArrow(lambda it: _cut(it, texts), CUT)
 
