@@ -1,22 +1,30 @@
 """Operator 8: language-model scores from a Brown class bigram model.
 
-Tokens are the words of a text and one end.  The ``HEAD`` most frequent tokens
-of the training texts are put into ``CLASSES`` classes by the exchange
-algorithm: words move, one at a time, to the class that raises the likelihood
-of the class bigrams most, until few move.  All other tokens, seen or not, fall
-into open classes by their shape.  A token's probability is
+Tokens are the words of a text and one end.  Classes come from the exchange
+algorithm, which moves a word to the class that raises the likelihood of the
+class bigrams most:
+
+1. the ``HEAD`` most frequent tokens move one at a time, in up to ``EXCHANGES``
+   rounds, until few move;
+2. every other token of the ``COMMON`` most frequent that occurs ``LEAST`` times
+   or more moves once, from the open class of its shape to the class that gains
+   most by it.  Spark counts the classes before and after each such word, and
+   tasks work out the gains of the words they hold.
+
+All other tokens, seen or not, stay in the open classes of their shapes.  A
+token's probability is
 
     P(class | class before) * P(token | class)
 
 with additive smoothing on both.  Each open class keeps room for one more,
 unseen token.
 
-Three passes read the texts: token counts, pair counts over head words and open
-classes, scores.  Counts of all training tokens are gathered by Spark.  What is
-broadcast or reaches the driver is bounded: counts of the ``COMMON`` most frequent
-tokens at most, and pair counts of (HEAD + open classes) squared.  Counts of all
-other tokens are joined to the documents' tokens by shuffle.  Tokens are told apart
-by hashes of their bytes.
+Five passes read the texts: token counts, pair counts of the head, classes
+around words, pair counts of classes, scores.  All training texts are counted.
+What is broadcast or reaches the driver is bounded: counts and classes of
+``COMMON`` tokens, pair counts of (HEAD + open classes) squared.  Counts of all
+other tokens are joined to the documents' tokens by shuffle.  Tokens are told
+apart by hashes of their bytes.
 """
 
 from __future__ import annotations
@@ -34,6 +42,7 @@ from tabguard.llm.shared import saved, table
 
 HEAD = 1_024
 COMMON = 300_000
+LEAST = 3
 CLASSES = 64
 EXCHANGES = 6
 SMOOTH = 0.1
@@ -109,40 +118,89 @@ def _counted(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterat
 
 
 class Model:
-    """Counts of common tokens; head words with classes; class bigrams; smoothing."""
+    """Counts of common tokens, classes of most of them, class bigrams, smoothing.
+
+    Class 0 stands before a text, 1 to ``inner`` are classes of words, the rest
+    are the open classes by shape.
+    """
 
     def __init__(self, common: np.ndarray, count: np.ndarray, heads: int):
         order = np.argsort(common)
-        self.common, count = common[order], count[order].astype(np.float64)
-        self.emit = np.log10(count + SMOOTH)
-        first = np.sort(np.lexsort((self.common, -count))[:heads])
-        self.head, self.count = self.common[first], count[first]
-
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        """1 to H for head words, H + 1 and up for open classes; 0 stands before a text."""
-        at = np.minimum(np.searchsorted(self.head, h), max(len(self.head) - 1, 0))
-        known = self.head[at] == h if len(self.head) else np.zeros(len(h), bool)
-        return np.where(known, at + 1, len(self.head) + 1 + (h & np.uint64(15)).astype(np.int64))
+        self.common, self.count = common[order], count[order].astype(np.float64)
+        self.emit = np.log10(self.count + SMOOTH)
+        self.first = np.sort(np.lexsort((self.common, -self.count))[:heads])
+        self.inner = max(1, min(CLASSES, len(self.first)))
+        self.width = self.inner + 1 + OPEN
+        self.of_common = np.zeros(len(self.common), np.int64)  # 0: no class of its own
+
+    def at(self, h: np.ndarray) -> np.ndarray:
+        """Places among the common tokens, -1 for others."""
+        if not len(self.common):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.common, h), len(self.common) - 1)
+        return np.where(self.common[at] == h, at, -1)
+
+    def classes(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+        shape = self.inner + 1 + (h & np.uint64(15)).astype(np.int64)
+        own = self.of_common[at] if len(self.of_common) else np.zeros(len(h), np.int64)
+        return np.where((at >= 0) & (own > 0), own, shape)
 
     @property
-    def width(self) -> int:
-        return len(self.head) + OPEN + 1
-
-    def fit(self, pairs: np.ndarray, n: np.ndarray, tail_count: np.ndarray, tail_types: np.ndarray) -> None:
-        w = self.width
-        left, right = pairs // w, pairs % w
-        own = exchange(left, right, n.astype(np.float64), len(self.head), w, CLASSES)
-        self.of = own
-        k = own.max() + 1
-        bigram = np.zeros((k, k))
-        np.add.at(bigram, (own[left], own[right]), n)
-        self.step = np.log10((bigram + SMOOTH) / (bigram.sum(1, keepdims=True) + SMOOTH * k))
-        total, types = np.zeros(k), np.zeros(k)
-        np.add.at(total, own[1 : len(self.head) + 1], self.count)
-        np.add.at(types, own[1 : len(self.head) + 1], 1)
-        opened = own[len(self.head) + 1 :]
-        total[opened] += tail_count
-        types[opened] += tail_types + 1
+    def head_width(self) -> int:
+        return len(self.first) + OPEN + 1
+
+    def head_ids(self, h: np.ndarray) -> np.ndarray:
+        """1 to H for head words, H + 1 and up for open classes."""
+        at = self.at(h)
+        place = np.minimum(np.searchsorted(self.first, at), max(len(self.first) - 1, 0))
+        known = self.first[place] == at if len(self.first) else np.zeros(len(h), bool)
+        return np.where(known, place + 1, len(self.first) + 1 + (h & np.uint64(15)).astype(np.int64))
+
+    def cluster(self, pairs: np.ndarray, n: np.ndarray) -> None:
+        """Classes of the head, and the class bigrams where all other tokens are in open classes."""
+        w = self.head_width
+        own = exchange(pairs // w, pairs % w, n.astype(np.float64), len(self.first), w, CLASSES)
+        self.of_common[self.first] = own[1 : len(self.first) + 1]
+        self.grid = np.zeros((self.width, self.width))
+        np.add.at(self.grid, (own[pairs // w], own[pairs % w]), n)
+
+    def moves(self, at: np.ndarray, back: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+        """The class that each word, now in an open class, gains most by; of equal ones the smallest, its own class last."""
+        f = lambda x: x * np.log(np.maximum(x, 1e-300))
+        shape = self.inner + 1 + (self.common[at] & np.uint64(15)).astype(np.int64)
+        i, inner = np.arange(len(at)), np.arange(1, self.inner + 1)
+        candidates = np.concatenate([np.broadcast_to(inner, (len(at), self.inner)), shape[:, None]], 1)
+        # the grid without the word: its neighbours' cells of its open class
+        rows, cols = self.grid[candidates], self.grid.T[candidates]
+        rows[i[:, None], np.arange(candidates.shape[1])[None, :], shape[:, None]] -= back[i[:, None], candidates]
+        cols[i[:, None], np.arange(candidates.shape[1])[None, :], shape[:, None]] -= ahead[i[:, None], candidates]
+        rows[:, -1] -= ahead
+        cols[:, -1] -= back
+        np.maximum(rows, 0, out=rows)
+        np.maximum(cols, 0, out=cols)
+        gain = (f(rows + ahead[:, None, :]) - f(rows)).sum(2) + (f(cols + back[:, None, :]) - f(cols)).sum(2)
+        pick = lambda x: x[i[:, None], candidates]
+        corner = np.take_along_axis(rows, candidates[:, :, None], 2)[:, :, 0]
+        a, b = pick(ahead), pick(back)
+        gain += f(corner + a + b) - f(corner + a) - f(corner + b) + f(corner)
+        row_sum, col_sum = np.maximum(self.grid.sum(1)[candidates], 0), np.maximum(self.grid.sum(0)[candidates], 0)
+        row_sum[:, -1] -= ahead.sum(1)
+        col_sum[:, -1] -= back.sum(1)
+        np.maximum(row_sum, 0, out=row_sum)
+        np.maximum(col_sum, 0, out=col_sum)
+        gain -= f(row_sum + ahead.sum(1)[:, None]) - f(row_sum) + f(col_sum + back.sum(1)[:, None]) - f(col_sum)
+        return candidates[i, np.round(gain, 6).argmax(1)]
+
+    def fit(self, pairs: np.ndarray, n: np.ndarray, open_count: np.ndarray, open_types: np.ndarray) -> None:
+        """Smoothed logarithms from the class bigrams, and counts and kinds of the tokens that are not common by shape."""
+        self.grid = np.zeros((self.width, self.width))
+        self.grid.flat[pairs] = n
+        with np.errstate(divide="ignore"):
+            self.step = np.log10((self.grid + SMOOTH) / (self.grid.sum(1, keepdims=True) + SMOOTH * (self.width - 1)))
+        own = self.classes(self.common, np.arange(len(self.common)))
+        total, types = (np.bincount(own, weights=w, minlength=self.width).astype(float) for w in (self.count, np.ones(len(own))))
+        total[self.inner + 1 :] += open_count
+        types[self.inner + 1 :] += open_types + 1
         self.room = -np.log10(np.maximum(total + SMOOTH * types, SMOOTH))
 
 
@@ -196,17 +254,74 @@ def exchange(left: np.ndarray, right: np.ndarray, n: np.ndarray, heads: int, wid
     return own
 
 
-def _paired(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    for h, ranges in _training(batches):
-        right = model.ids(h)
-        left = np.concatenate([[BEGIN], right[:-1]]) if len(right) else right
-        left[ranges[:-1][ranges[:-1] < len(left)]] = BEGIN
-        pair, n = np.unique(left * model.width + right, return_counts=True)
+def _before(ids: np.ndarray, ranges: np.ndarray) -> np.ndarray:
+    left = np.concatenate([[BEGIN], ids[:-1]]) if len(ids) else ids
+    left[ranges[:-1][ranges[:-1] < len(left)]] = BEGIN
+    return left
+
+
+def _summed(parts: Iterator[np.ndarray], most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Occurrences as (pair, n), summed as far as ``most`` kinds go."""
+    empty = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    held = empty
+    for part in parts:
+        pair, n = np.unique(part, return_counts=True)
         held = _grow(held, (pair, n.astype(np.int64)))
+        if len(held[0]) > most:
+            yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["pair", "n"])
+            held = empty
     yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["pair", "n"])
 
 
+def _head_pairs(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    def parts():
+        for h, ranges in _training(batches):
+            ids = model.head_ids(h)
+            yield _before(ids, ranges) * model.head_width + ids
+
+    return _summed(parts())
+
+
+def _class_pairs(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    def parts():
+        for h, ranges in _training(batches):
+            own = model.classes(h, model.at(h))
+            yield _before(own, ranges) * model.width + own
+
+    return _summed(parts())
+
+
+def _around(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """(pair, n): how often a class stands before (even) or after (odd) a common word without a class; not the word itself."""
+    def parts():
+        for h, ranges in _training(batches):
+            at = model.at(h)
+            own = model.classes(h, at)
+            left = _before(own, ranges)
+            wanted = (at >= 0) & (model.count[at] >= LEAST) & (model.of_common[at] == 0) if len(model.count) else at >= 0
+            last = np.zeros(len(h), bool)
+            last[ranges[1:][ranges[1:] > ranges[:-1]] - 1] = True
+            same = np.zeros(len(h), bool)
+            same[1:] = (at[1:] == at[:-1]) & ~last[:-1]
+            before = wanted & ~same
+            after = wanted[:-1] & ~last[:-1] & ~same[1:] if len(h) else wanted
+            yield np.concatenate([(at[before] * 2) * model.width + left[before], (at[:-1][after] * 2 + 1) * model.width + own[1:][after]])
+
+    return _summed(parts())
+
+
+def _moved(batches: Iterator[pa.RecordBatch], model: Model, some: int = 200) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at, cells, counts = batch.column("at").to_numpy(), batch.column("cells"), batch.column("counts")
+        for lo in range(0, len(at), some):
+            own = at[lo : lo + some]
+            dense = np.zeros((len(own), 2 * model.width))
+            part = cells.slice(lo, some)
+            row = np.repeat(np.arange(len(own)), part.value_lengths().to_numpy())
+            np.add.at(dense, (row, part.flatten().to_numpy()), counts.slice(lo, some).flatten().to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(model.moves(own, dense[:, : model.width], dense[:, model.width :]))], ["at", "class"])
+
+
 SCORED = "doc_id long, row long, held_out boolean, n_tokens long, n_common long, common_log double, score_log double, tail array<long>"
 
 
@@ -218,14 +333,12 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
         out = held_out(batch.column("doc_id"))
         for lo, hi, data, offsets in slices(batch.column("text")):
             h, ranges = tokens(data, offsets)
-            ids = model.ids(h)
-            own = model.of[ids]
-            before = np.concatenate([[0], own[:-1]])
-            before[ranges[:-1]] = 0
-            at_common = np.minimum(np.searchsorted(model.common, h), max(len(model.common) - 1, 0))
-            common = model.common[at_common] == h if len(model.common) else np.zeros(len(h), bool)
+            at_common = model.at(h)
+            own = model.classes(h, at_common)
+            before = _before(own, ranges)
+            common = at_common >= 0
             row = np.repeat(np.arange(hi - lo), np.diff(ranges))
-            emit = np.zeros(len(ids))
+            emit = np.zeros(len(h))
             emit[common] = model.emit[at_common[common]]
             total = lambda x: np.bincount(row, weights=x, minlength=hi - lo)
             tail = np.bincount(row[~common], minlength=hi - lo)
@@ -258,30 +371,49 @@ def _least_common(counts: DataFrame, most: int) -> int:
     return least
 
 
+def fitted(rows: DataFrame, head: int = HEAD, common: int = COMMON) -> tuple[Model, DataFrame]:
+    """The model of (doc_id, text) rows, and the counts of all training tokens as (token, n)."""
+    spark = rows.sparkSession
+    counts = saved(rows.mapInArrow(_counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "lm-counts")
+    least = _least_common(counts, common)
+    often = counts.where(F.col("n") >= least).toPandas()  # at most ``common`` rows
+    model = Model(often["token"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64), head)
+
+    def counted(f, known: Model) -> DataFrame:
+        sent = spark.sparkContext.broadcast(known)
+        return rows.mapInArrow(lambda it: f(it, sent.value), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+    pairs = counted(_head_pairs, model).toPandas()
+    model.cluster(pairs["pair"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64))
+    wide = F.lit(2 * model.width)
+    around = counted(_around, model).select(F.expr(f"pair div {2 * model.width}").alias("at"), (F.col("pair") % wide).alias("cell"), "n")
+    around = around.groupBy("at").agg(F.collect_list(F.struct("cell", "n")).alias("c")).select("at", F.col("c.cell").alias("cells"), F.col("c.n").alias("counts"))
+    sent = spark.sparkContext.broadcast(model)
+    moved = around.mapInArrow(lambda it: _moved(it, sent.value), "at long, class long").toPandas()  # at most ``common`` rows
+    model.of_common[moved["at"].to_numpy(np.int64)] = np.where(moved["class"] <= model.inner, moved["class"], 0)
+    pairs = counted(_class_pairs, model).toPandas()
+    shapes = counts.where(F.col("n") < least).groupBy(F.col("token").bitwiseAND(15).alias("shape")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).toPandas()
+    opened, types = np.zeros(OPEN), np.zeros(OPEN)
+    opened[shapes["shape"]], types[shapes["shape"]] = shapes["n"], shapes["types"]
+    model.fit(pairs["pair"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64), opened, types)
+    return model, counts
+
+
 def language_scores(docs: DataFrame, head: int = HEAD, common: int = COMMON) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every document.
 
     Null texts count as empty and have one token, the end.  A null doc_id is
-    never held out.  Repeated rows are each counted and scored.  Without
-    training texts no token is known: N and V are 0, and scores are those of
-    smoothing alone.  An empty table gives no rows.
+    never held out.  Repeated rows are each counted and scored.  Long texts are
+    read whole.  Without training texts no token is known: N and V are 0, and
+    scores are those of smoothing alone.  Columns other than doc_id and text are
+    not looked at.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    counts = saved(rows.mapInArrow(_counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "lm-counts")
+    model, counts = fitted(rows, head, common)
     all_n, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    first = counts.where(F.col("n") >= _least_common(counts, common)).toPandas()
-    model = Model(first["token"].to_numpy(np.int64).view(np.uint64), first["n"].to_numpy(np.int64), head)
     sent = spark.sparkContext.broadcast(model)
-    pairs = rows.mapInArrow(lambda it: _paired(it, sent.value), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    seen, n = pairs["pair"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64)
-    in_head = F.broadcast(spark.createDataFrame([(int(x),) for x in model.head.view(np.int64)], "token long"))
-    shapes = counts.join(in_head, "token", "left_anti").groupBy(F.col("token").bitwiseAND(15).alias("shape")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).toPandas()
-    opened, tail_types = np.zeros(OPEN), np.zeros(OPEN)
-    opened[shapes["shape"]], tail_types[shapes["shape"]] = shapes["n"], shapes["types"]
-    model.fit(seen, n, opened, tail_types)
-    fitted = spark.sparkContext.broadcast(model)
-    scored = saved(rows.mapInArrow(lambda it: _scored(it, fitted.value), SCORED), "lm-scores")
+    scored = saved(rows.mapInArrow(lambda it: _scored(it, sent.value), SCORED), "lm-scores")
     floor = float(np.log10(SMOOTH))
     tail = scored.select("row", F.explode("tail").alias("token")).groupBy("row", "token").agg(F.count("*").alias("times"))
     joined = tail.join(counts, "token").groupBy("row").agg(F.sum("times").alias("n_tail"), F.sum(F.col("times") * (F.log10(F.col("n") + F.lit(SMOOTH)) - F.lit(floor))).alias("tail_log"))
