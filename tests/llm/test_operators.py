@@ -149,6 +149,17 @@ def test_decontamination(spark, docs, texts, block_words):
     assert decontam.decontaminate(docs.limit(0), bench).count() == 0
 
 
+def test_one_index_for_two_benchmarks(spark, docs, texts, monkeypatch):
+    index = decontam.positional_index(docs)
+    monkeypatch.setattr(decontam, "_indexed", None)  # the documents are not read again
+    stored = index.collect()
+    assert sum(len(r["doc_id"]) for r in stored) == docs.count() and sum(len(r["postings"]) for r in stored) == sum(len(words(t)) for _, t in local(docs))
+    for item in (texts[4], texts[8][200:900]):
+        bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+        found = decontam.search(index, bench)
+        assert found.where("size(hits) > 0").count() > 0 and found.count() == docs.count()
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "c x a y b z"), (2, "a b q q q q q q q q q q q q q q q q q q q q q c"), (3, "a b c")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "a b c")], "item_id long, text string")
