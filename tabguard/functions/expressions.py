@@ -21,14 +21,24 @@ class Val:
     value: Column
     err: Column
     kind: str = "text"  # text, number or truth
+    needs: tuple[tuple[str, str], ...] = ()  # what ``checks.fuse`` has to supply
 
 
 def text(c: Column) -> Val:
     return Val(c, F.lit(False))
 
 
+def field(name: str) -> Val:
+    """A column of the table that is checked; where the table lacks it, evaluation fails."""
+    return Val(F.col(f"`{name}`"), F.col(f"`absent of {name}`"), needs=(("absent", name),))
+
+
+def _needs(*parts: Val) -> tuple[tuple[str, str], ...]:
+    return tuple(n for p in parts for n in p.needs)
+
+
 def truth(c: Column, *parts: Val) -> Val:
-    return Val(F.coalesce(c, F.lit(False)), reduce(lambda a, b: a | b, [p.err for p in parts], F.lit(False)), "truth")
+    return Val(F.coalesce(c, F.lit(False)), reduce(lambda a, b: a | b, [p.err for p in parts], F.lit(False)), "truth", _needs(*parts))
 
 
 def num(v: Val) -> Column:
@@ -95,12 +105,12 @@ def add(a: Val, b: Val) -> Val:
     """The sum of two numbers as text, or the texts one after the other (null adds nothing)."""
     x, y = num(a), num(b)
     joined = F.concat(F.coalesce(_text(a), F.lit("")), F.coalesce(_text(b), F.lit("")))
-    return Val(F.when(x.isNotNull() & y.isNotNull(), (x + y).cast("string")).otherwise(joined), a.err | b.err)
+    return Val(F.when(x.isNotNull() & y.isNotNull(), (x + y).cast("string")).otherwise(joined), a.err | b.err, needs=_needs(a, b))
 
 
 def _arithmetic(value: Column, *parts: Val) -> Val:
     bad = reduce(lambda p, q: p | q, [p.err | num(p).isNull() for p in parts])
-    return Val(value, bad | value.isNull(), "number")
+    return Val(value, bad | value.isNull(), "number", _needs(*parts))
 
 
 def sub(a: Val, b: Val) -> Val:
@@ -131,21 +141,21 @@ def truthy(v: Val) -> Column:
 
 def and_(a: Val, b: Val) -> Val:
     """The right side can fail only where the left is true."""
-    return Val(truthy(a) & truthy(b), a.err | (truthy(a) & b.err), "truth")
+    return Val(truthy(a) & truthy(b), a.err | (truthy(a) & b.err), "truth", _needs(a, b))
 
 
 def or_(a: Val, b: Val) -> Val:
-    return Val(truthy(a) | truthy(b), a.err | (~truthy(a) & b.err), "truth")
+    return Val(truthy(a) | truthy(b), a.err | (~truthy(a) & b.err), "truth", _needs(a, b))
 
 
 def not_(a: Val) -> Val:
-    return Val(~truthy(a), a.err, "truth")
+    return Val(~truthy(a), a.err, "truth", a.needs)
 
 
 def is_null(a: Val) -> Val:
     """Null or blank; 'N/A' is a value."""
     blank = stripped(a.value) == "" if a.kind == "text" else F.lit(False)
-    return Val(a.value.isNull() | F.coalesce(blank, F.lit(False)), a.err, "truth")
+    return Val(a.value.isNull() | F.coalesce(blank, F.lit(False)), a.err, "truth", a.needs)
 
 
 def is_not_null(a: Val) -> Val:
@@ -169,15 +179,20 @@ def greatest(*parts: Val) -> Val:
 
 
 def length(a: Val) -> Val:
-    return Val(F.coalesce(F.length(_text(a)), F.lit(0)), a.err, "number")
+    return Val(F.coalesce(F.length(_text(a)), F.lit(0)), a.err, "number", a.needs)
 
 
 def lower(a: Val) -> Val:
-    return Val(F.lower(F.coalesce(_text(a), F.lit(""))), a.err)
+    return Val(F.lower(F.coalesce(_text(a), F.lit(""))), a.err, needs=a.needs)
 
 
 def upper(a: Val) -> Val:
-    return Val(F.upper(F.coalesce(_text(a), F.lit(""))), a.err)
+    return Val(F.upper(F.coalesce(_text(a), F.lit(""))), a.err, needs=a.needs)
+
+
+def holds(condition: Val) -> Column:
+    """Where the condition is evaluated and true."""
+    return ~condition.err & truthy(condition)
 
 
 def violated(condition: Val | None, assertion: Val | None) -> Column:
@@ -188,4 +203,4 @@ def violated(condition: Val | None, assertion: Val | None) -> Column:
     if assertion is None:
         return F.lit(False)
     broken = ~assertion.err & ~truthy(assertion)
-    return broken if condition is None else ~condition.err & truthy(condition) & broken
+    return broken if condition is None else holds(condition) & broken

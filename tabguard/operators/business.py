@@ -1,11 +1,13 @@
-"""Named business rules: parameter sets of "if this then not that"."""
+"""Named business rules: parameter sets of "if this then not that".
+
+A table that lacks a rule's condition column passes it.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabguard.functions.predicates import is_missing, stripped
@@ -25,11 +27,11 @@ def _empty(field: str) -> Column:
 
 
 def structural_subordination_rank(flag: str = "c0160", rank: str = "c0170") -> Check:
-    return implies("structural_subordination_rank", rank, _is(flag, "1"), _empty(rank), needs=needs(missing=rank))
+    return implies("structural_subordination_rank", rank, _is(flag, "1"), _empty(rank), needs=needs(missing=[rank, flag]))
 
 
 def own_funds_rank_check(kind: str = "c0060", rank: str = "c0170") -> Check:
-    return implies("own_funds_rank_check", rank, stripped(F.col(kind)).isin("T1", "T2", "AT1"), _empty(rank), needs=needs(missing=rank))
+    return implies("own_funds_rank_check", rank, stripped(F.col(kind)).isin("T1", "T2", "AT1"), _empty(rank), needs=needs(missing=[rank, kind]))
 
 
 def zero_coupon_accruals(rate: str = "c0110", accrued: str = "c0220") -> Check:
@@ -38,11 +40,11 @@ def zero_coupon_accruals(rate: str = "c0110", accrued: str = "c0220") -> Check:
 
 def non_structured_fields_empty(flag: str, fields: Sequence[str]) -> list[Check]:
     """One finding for each filled field."""
-    return [implies("non_structured_fields_empty", f, _is(flag, "0"), ~_empty(f), needs=needs(missing=f)) for f in fields]
+    return [implies("non_structured_fields_empty", f, _is(flag, "0"), ~_empty(f), needs=needs(missing=[f, flag])) for f in fields]
 
 
 def unsecured_no_collateral(flag: str = "c0300", collateral: str = "c0310") -> Check:
-    return implies("unsecured_no_collateral", collateral, _is(flag, "0"), ~_empty(collateral), needs=needs(missing=collateral))
+    return implies("unsecured_no_collateral", collateral, _is(flag, "0"), ~_empty(collateral), needs=needs(missing=[collateral, flag]))
 
 
 def securities_count_consistency(amount: str = "c0410", count: str = "c0420") -> Check:
@@ -50,7 +52,7 @@ def securities_count_consistency(amount: str = "c0410", count: str = "c0420") ->
 
 
 def ccp_cleared_stay_na(flag: str = "c0380", stay: str = "c0390") -> Check:
-    return implies("ccp_cleared_stay_na", stay, _is(flag, "1"), ~_empty(stay), needs=needs(missing=stay))
+    return implies("ccp_cleared_stay_na", stay, _is(flag, "1"), ~_empty(stay), needs=needs(missing=[stay, flag]))
 
 
 def carrying_amount_plausibility(carrying: str = "c0070", principal: str = "c0080", factor: float = 1.5) -> Check:
@@ -62,7 +64,7 @@ def eur_exchange_rate_positive(rate: str = "c0060") -> Check:
 
 
 def eur_currency_rate_one(currency: str = "c0020", rate: str = "c0060") -> Check:
-    return implies("eur_currency_rate_one", rate, F.upper(stripped(F.col(currency))) == "EUR", F.abs(_n(rate) - 1) > 0.0001, needs=needs(decimal=rate))
+    return implies("eur_currency_rate_one", rate, F.upper(stripped(F.col(currency))) == "EUR", F.abs(_n(rate) - 1) > 0.0001, needs=needs(decimal=rate, missing=currency))
 
 
 def first_value_conflicts(df: DataFrame, key: str, value: str, order_by: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -75,9 +77,3 @@ def first_value_conflicts(df: DataFrame, key: str, value: str, order_by: Sequenc
     order = F.struct(*order_by)
     firsts = rows.groupBy(key).agg(F.min_by(value, order).alias("_first"), F.min(value).alias("_lo"), F.max(value).alias("_hi")).where("_lo <> _hi").select(F.col(key).alias("_key"), "_first")
     return rows.join(firsts, rows[key] == firsts["_key"]).where(F.col(value) != F.col("_first")).select(*keep, key, F.col(value).alias("value"), F.col("_first").alias("first_value"))
-
-
-def first_value_conflicts_window(df: DataFrame, key: str, value: str, order_by: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """The same by a window, for keys of few rows."""
-    w = W.partitionBy(key).orderBy(*order_by).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return df.where(~is_missing(F.col(key)) & ~is_missing(F.col(value))).withColumn("_first", F.first(value).over(w)).where(F.col(value) != F.col("_first")).select(*keep, key, F.col(value).alias("value"), F.col("_first").alias("first_value"))

@@ -1,15 +1,18 @@
 """Row checks, compiled to Columns and fused: one scan of a table runs all of them.
 
-Checks refer to what they need of a field (is it missing, its number, its date)
-by name; ``fuse`` computes each of these once per row, however many checks use it.
-
-A check is a Boolean Column with what it reports.  ``fuse`` puts the checks of
-a table into one array of optional findings and explodes what is left, so that
-N checks read the table once and shuffle nothing.
+Checks refer to what they need of a field (is it missing, its number, its date,
+does the table lack it) by name; ``fuse`` computes each of these once per row,
+however many checks use it.  A field that a table lacks is null in every row.
+
+A check is a Boolean Column with what it reports.  ``fuse`` makes the checks of
+a table into one array of the numbers of those that a row fails, explodes it,
+and only then writes findings: clean rows cost the Booleans alone, N checks
+read the table once, and nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -18,14 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabguard.functions import predicates as P
-from tabguard.issues import ERROR, WARNING, issue_struct, no_issues
+from tabguard.functions.expressions import Val, holds
+from tabguard.issues import ERROR, ISSUE_COLUMNS, WARNING, issue_struct, no_issues
 
-#: generated code of one projection stays below the JVM's method limit
-CHUNK = 50
 ALWAYS_ALLOWED = ("Not available", "Not applicable", "N/A", "NA", "")
 
 
-#: what checks share of a field
+#: what checks share of a field; ``absent`` is known without looking at rows
 DERIVED = {"missing": P.is_missing, "decimal": P.decimal_comma_double, "grouped": P.grouped_double, "day": P.parse_date}
 
 
@@ -57,26 +59,41 @@ class Check:
     explanation: str = ""
     needs: tuple[tuple[str, str], ...] = ()
 
-    def found(self, row: Column | None) -> Column:
-        shown = self.value if self.value is not None else F.col(self.field)
-        return issue_struct(
-            row=row, value=shown, rule_id=self.rule_id, rule_level=self.rule_level, rule_type=self.rule_type, template=self.template,
-            severity=self.severity, field_code=self.field, message=self.message, explanation=self.explanation,
-        )
+    @property
+    def shown(self) -> Column:
+        return self.value if self.value is not None else F.col(self.field)
+
+
+def absent(field: str) -> Column:
+    """Whether the table lacks the field; shared too."""
+    return derived("absent", field)
+
+
+def prepared(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
+    """The table with what its checks share; columns that they name and it lacks are null texts."""
+    wanted = sorted({n for c in checks for n in c.needs})
+    have = {c.lower() for c in df.columns}
+    lacking = {f for _, f in wanted if f.lower() not in have}
+    df = df.withColumns({f: F.lit(None).cast("string") for f in sorted(lacking)})
+    return df.withColumns({f"{kind} of {field}": F.lit(field in lacking) if kind == "absent" else DERIVED[kind](F.col(f"`{field}`")) for kind, field in wanted})
 
 
 def fuse(df: DataFrame, checks: Sequence[Check], keys: Sequence[str] = (), row: str | None = None) -> DataFrame:
     """``keys`` and the findings of all checks; ``row`` names the column that holds the row number."""
-    parts = []
-    shared = sorted({n for c in checks for n in c.needs if n[1] in df.columns})
-    df = df.withColumns({f"{kind} of {field}": DERIVED[kind](F.col(field)) for kind, field in shared})
-    for lo in range(0, len(checks), CHUNK):
-        own = [F.when(F.coalesce(c.failed, F.lit(False)), c.found(F.col(row) if row else None)) for c in checks[lo : lo + CHUNK]]
-        found = F.filter(F.array(*own), lambda x: x.isNotNull())
-        parts.append(df.select(*keys, F.explode(found).alias("_i")).select(*keys, "_i.*"))
-    if not parts:
+    if not checks:
         return df.limit(0).select(*keys).join(no_issues(df.sparkSession)) if keys else no_issues(df.sparkSession)
-    return reduce(DataFrame.unionByName, parts)
+    flags = F.array(*[F.when(c.failed, F.lit(i)).otherwise(F.lit(-1)) for i, c in enumerate(checks)])
+    hit = prepared(df, checks).withColumn("check of row", F.explode(F.array_remove(flags, F.lit(-1))))
+    nth = F.col("check of row")
+    names = ("rule_id", "rule_level", "rule_type", "template", "severity", "field", "message", "explanation")
+    told = F.from_json(F.lit(json.dumps([{n: getattr(c, n) for n in names} for c in checks])), f"array<struct<{','.join(f'{n}:string' for n in names)}>>")  # one constant
+    of = F.element_at(told, nth + 1)
+    shown = F.coalesce(*[F.when(nth == i, P.issue_value(c.shown)) for i, c in enumerate(checks)])
+    found = issue_struct(
+        row=F.col(row) if row else None, value=shown, field_code=of["field"],
+        **{n: of[n] for n in ("rule_id", "rule_level", "rule_type", "template", "severity", "message", "explanation")},
+    )
+    return hit.select(*keys, *[found[n].alias(n) for n in ISSUE_COLUMNS])
 
 
 def present(field: str) -> Column:
@@ -103,9 +120,12 @@ def codelist(rule_id: str, field: str, values: Sequence[str], **how) -> Check:
 
 
 def isin_if_typed(rule_id: str, field: str, type_field: str | None, **how) -> Check:
-    """An ISIN, where the type column says ISIN; everywhere if there is none."""
+    """An ISIN, where the type column says ISIN; everywhere if no type column is named or the table lacks it."""
     c = format_check(rule_id, field, P.is_isin(F.col(field)), **how)
-    return c if type_field is None else Check(**{**c.__dict__, "failed": c.failed & F.upper(F.col(type_field)).contains("ISIN")})
+    if type_field is None:
+        return c
+    typed = absent(type_field) | F.upper(F.col(type_field)).contains("ISIN")
+    return Check(**{**c.__dict__, "failed": c.failed & typed, "needs": (*c.needs, *needs(absent=type_field))})
 
 
 def compare(rule_id: str, field: str, bad: Column, **how) -> Check:
@@ -146,11 +166,19 @@ def sum_formula(rule_id: str, result: str, terms: Sequence[tuple[int, str]], tol
     return compare(rule_id, result, F.abs(got - expected) > tolerance, value=shown, **{"severity": WARNING, "rule_type": "FORMULA", "needs": needs(missing=fields, grouped=fields)} | how)
 
 
+def gated(check: Check, condition: Val) -> Check:
+    """The check where the condition is evaluated and true; a row whose condition fails, as for want of a column, is passed over.
+
+    A condition on another table's row names the column that ``cross.aligned`` has added.
+    """
+    return Check(**{**check.__dict__, "failed": holds(condition) & F.coalesce(check.failed, F.lit(False)), "needs": (*check.needs, *condition.needs)})
+
+
 def conditional_mandatory(rule_id: str, field: str, on: str, operator: str, given: str | None = None, **how) -> Check:
-    """Filled where the condition column equals or differs from ``given``, is missing, or is not."""
+    """Filled where the condition column equals or differs from ``given``, is missing, or is not; a table without that column passes."""
     c = P.stripped(F.col(on))
     trigger = {"eq": present(on) & (c == F.lit(given)), "neq": present(on) & (c != F.lit(given)), "not_missing": present(on), "missing": ~present(on)}[operator]
-    return Check(rule_id, field, trigger & missing(field), value=F.lit("<empty>"), **{"severity": WARNING, "rule_type": "CONDITIONAL_MANDATORY", "needs": needs(missing=[field, on])} | how)
+    return Check(rule_id, field, ~absent(on) & trigger & missing(field), value=F.lit("<empty>"), **{"severity": WARNING, "rule_type": "CONDITIONAL_MANDATORY", "needs": needs(missing=[field, on], absent=on)} | how)
 
 
 def plausibility(rule_id: str, operator: str, field: str, field2: str | None = None, field3: str | None = None, low: float = 0.0, high: float | None = None, **how) -> Check:
@@ -179,10 +207,10 @@ def plausibility(rule_id: str, operator: str, field: str, field2: str | None = N
     return Check(rule_id, field, bad, **{"severity": WARNING, "rule_type": "PLAUSIBILITY", "needs": needs(missing=field2, decimal=[field, field2, field3])} | how)
 
 
-def date_order(rule_id: str, field: str, operator: str, other: Column, **how) -> Check:
-    """``lte`` or ``gte`` another date (a column's, or a reference date); null on either side passes."""
-    d = derived("day", field)
-    return Check(rule_id, field, d > other if operator == "lte" else d < other, **{"severity": WARNING, "rule_type": "DATE", "needs": needs(day=field)} | how)
+def date_order(rule_id: str, field: str, operator: str, other: Column | str, **how) -> Check:
+    """``lte`` or ``gte`` another date (a reference date, or that of the column of this name); null on either side passes."""
+    d, e = derived("day", field), derived("day", other) if isinstance(other, str) else other
+    return Check(rule_id, field, d > e if operator == "lte" else d < e, **{"severity": WARNING, "rule_type": "DATE", "needs": needs(day=[field, other if isinstance(other, str) else None])} | how)
 
 
 def identifier_format(rule_id: str, field: str, kind: str, **how) -> Check:
@@ -207,5 +235,3 @@ def codelist_join(df: DataFrame, field: str, allowed: DataFrame, keys: Sequence[
 def columns_missing(df: DataFrame, checks: Sequence[Check]) -> list[Check]:
     """Mandatory checks whose column the table lacks; others of that kind are silently dropped by the caller."""
     return [c for c in checks if c.field not in df.columns and c.rule_type == "MANDATORY"]
-
-

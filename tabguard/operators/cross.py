@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tabguard.functions.predicates import grouped_double, is_missing, stripped
 from tabguard.operators.checks import Check, compare, derived, missing, needs, present
+from tabguard.sources.tables import resolve_column
 
 # fixed values: texts that stand for no reference
 SKIPPED_REFERENCES = ("Aggregated", "N/A", "Not applicable", "")
@@ -77,6 +78,20 @@ def overlapping(a: DataFrame, b: DataFrame, field: str, keep: Sequence[str]) ->
     return rows.join(ids, "value", "left_semi").select(*keep, "value")
 
 
+def counted_twice(tables: Mapping[str, DataFrame], base: str, field: str, keep: Sequence[str]) -> DataFrame | None:
+    """Overlap of a table's two submissions: ids of ``_TypeB`` that ``_TypeA`` has, or the plain table where there is no ``_TypeA``.
+
+    None where a side, or the field in one of them, was not delivered.
+    """
+    a, b = tables.get(f"{base}_TypeA", tables.get(base)), tables.get(f"{base}_TypeB")
+    if a is None or b is None:
+        return None
+    in_a, in_b = resolve_column(a, field), resolve_column(b, field)
+    if in_a is None or in_b is None:
+        return None
+    return overlapping(a.select(F.col(f"`{in_a}`").alias(in_b)), b, in_b, keep)
+
+
 def needs_table(tables: Mapping[str, DataFrame], df: DataFrame, field: str, contains: str, names: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """Rows that speak of something for which none of the named tables is loaded."""
     if any(n in tables for n in names):

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabguard.issues import ERROR, WARNING
 
-# fixed values: what levels are called
+# fixed values: the name space of run ids, and what levels are called
+RUN_NAMESPACE = uuid.UUID("3c7f9a1e-8a3f-4ad6-9e6e-2a8b7c8e3a4e")
 LEVEL_LABELS = {
     "L1": "L1 - Completeness",
     "L2": "L2 - Consistency",
@@ -86,30 +89,59 @@ def coverage(rules: DataFrame, issues: DataFrame) -> DataFrame:
     return rules.join(found, "rule_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def manifest(issues: DataFrame, run_id: str, tables: Sequence[str], catalog_version: str, rule_count: int, input_hash: str = "") -> DataFrame:
-    """One row that records a run, fields and keys in order; no clock is read."""
+def run_id(input_path: str, started_at: str) -> str:
+    """The same for the same input and start."""
+    return str(uuid.uuid5(RUN_NAMESPACE, f"{input_path}|{started_at}"))
+
+
+def manifest(
+    issues: DataFrame, tables: Sequence[str], catalog_version: str, rule_count: int, input_path: str = "", source_type: str = "", input_hash: str = "",
+    started_at: str = "", finished_at: str = "", de_annex: bool = False,
+) -> DataFrame:
+    """One row that records a run, fields and keys in order.
+
+    Times are the caller's; no clock is read.  The run's id follows from its
+    input and start.
+    """
     by = issues.groupBy("severity").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("severity", "n")))).alias("by_severity"), F.coalesce(F.sum("n"), F.lit(0)).alias("count"))
     names = F.array(*map(F.lit, sorted(tables))) if tables else F.array().cast("array<string>")
     return by.select(
-        F.struct(F.lit(rule_count).alias("rule_count"), F.lit(catalog_version).alias("version")).alias("catalog"),
-        F.struct(F.lit(input_hash).alias("hash")).alias("input"),
+        F.struct(F.lit(de_annex).alias("de_annex"), F.lit(rule_count).alias("rule_count"), F.lit(catalog_version).alias("version")).alias("catalog"),
+        F.lit(finished_at).alias("finished_at"),
+        F.struct(F.lit(input_hash).alias("hash"), F.lit(input_path).alias("path"), F.lit(source_type).alias("source_type")).alias("input"),
         F.struct("by_severity", "count").alias("issues"),
-        F.lit(run_id).alias("run_id"),
+        F.lit(run_id(input_path, started_at)).alias("run_id"),
+        F.lit(started_at).alias("started_at"),
         names.alias("templates_loaded"),
     )
 
 
+def _digest(text: Column) -> Column:
+    """Of all texts of a group, in any order: the sums of two halves of 64 bits of their hashes."""
+    half = lambda at: F.coalesce(F.sum(F.conv(F.substring(F.sha2(text, 256), at, 16), 16, 10).cast("decimal(20,0)").cast("decimal(38,0)")), F.lit(0)).cast("string")
+    return F.concat(half(1), F.lit(":"), half(17))
+
+
+def _framed(c: Column) -> Column:
+    """A cell with its length before it, so that neighbours cannot run together; null has none."""
+    text = c.cast("string")
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
-    """(n, digest): the same for the same rows in any order; repeated rows count."""
-    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in df.columns])
-    part = F.conv(F.substring(F.sha2(row, 256), 1, 10), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(part), F.lit(0)).cast("string").alias("digest"))
+    """(n, digest): the same for the same rows in any order; repeated rows count, null is no text."""
+    return df.agg(F.count("*").alias("n"), _digest(F.concat(*[_framed(F.col(f"`{c}`")) for c in df.columns])).alias("digest"))
 
 
-def file_fingerprint(spark, path: str) -> DataFrame:
-    """(files, digest) over the files below a path, ordered by name."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.sha2("content", 256).alias("d"))
-    return files.agg(F.count("*").alias("files"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "d"))), lambda x: x["d"]), ","), 256).alias("digest"))
+def file_fingerprint(spark: SparkSession, path: str, name: Column | None = None) -> DataFrame:
+    """(files, digest) over the names and contents of all files below a path, in any order.
+
+    ``name`` is what a file is known by, as an expression of ``path``; by default
+    what follows the given path.  No files, no digest but 0:0.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    own = name if name is not None else F.element_at(F.split("path", re.escape(path.rstrip("/").split(":", 1)[-1].lstrip("/")) + "/", 2), -1)
+    return files.agg(F.count("*").alias("files"), _digest(F.concat(_framed(own), F.sha2("content", 256))).alias("digest"))
 
 
 def issue_diff(expected: DataFrame, actual: DataFrame, key: Sequence[str] = ISSUE_KEY) -> DataFrame:

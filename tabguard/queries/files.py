@@ -11,7 +11,7 @@ from tabguard.operators import checks as C
 from tabguard.operators import report as R
 from tabguard.plans.validation import validate
 from tabguard.queries.views import ORDERS_SQL, dirty_orders, miss, table
-from tabguard.queries.wide import RUN, run_findings
+from tabguard.queries.wide import RUN, RUN_ID, digest_sql, run_findings
 from tabguard.sources import catalog, sinks, tables
 from tabguard.sources.scratch import scratch_path
 
@@ -37,6 +37,7 @@ def _delivered(spark: SparkSession, d: str) -> str:
     out(rows.where("`0010` % 2 = 0"), "B02.00_TypeA")
     out(rows.where("`0010` % 2 = 1").drop("c0030"), "B02.00 TypeA")
     out(rows, "B03.00")
+    rows.limit(0).select(F.lit("").alias("value")).coalesce(1).write.text(f"{base}/B04.00.csv")  # an empty file
     return base
 
 
@@ -150,15 +151,37 @@ def issue_sink(spark, d):
 
 @query(
     "k02_manifest_sink",
-    f"""SELECT '{{"catalog":{{"rule_count":3,"version":"1.0"}},"input":{{"hash":""}},"issues":{{"by_severity":{{"ERROR":' || e || ',"WARNING":' || w || '}},"count":' || (e + w) || '}},"run_id":"run-1","templates_loaded":["B01.00","B02.00"]}}' AS value
+    f"""SELECT '{{"catalog":{{"de_annex":false,"rule_count":3,"version":"1.0"}},"finished_at":"","input":{{"hash":"","path":"in","source_type":"csv_dir"}},"issues":{{"by_severity":{{"ERROR":' || e || ',"WARNING":' || w || '}},"count":' || (e + w) || '}},"run_id":"{RUN_ID}","started_at":"2024-01-31T08:00:00Z","templates_loaded":["B01.00","B02.00"]}}' AS value
     FROM (SELECT count(*) FILTER (severity = 'ERROR') AS e, count(*) FILTER (severity = 'WARNING') AS w FROM {RUN} r)""",
 )
 def manifest_sink(spark, d):
     path = scratch_path(spark, "manifest")
-    sinks.write_manifest(R.manifest(run_findings(spark, d), "run-1", ["B02.00", "B01.00"], "1.0", 3), path)
+    sinks.write_manifest(R.manifest(run_findings(spark, d), ["B02.00", "B01.00"], "1.0", 3, "in", "csv_dir", started_at="2024-01-31T08:00:00Z"), path)
     return spark.read.text(path)
 
 
+_FILES = "SELECT c_mktsegment AS s, string_agg(c_name, chr(10) ORDER BY c_custkey) || chr(10) AS content FROM customer GROUP BY 1"
+_FILE = "length('segment=' || s) || ':segment=' || s || sha256(content)"
+
+
+@query("a11_file_fingerprint", f"SELECT count(*) AS files, {digest_sql(_FILE)} AS digest FROM ({_FILES}) q")
+def file_fingerprint(spark, d):
+    """A file for each market segment, known by its folder."""
+    path = scratch_path(spark, "segments")
+    rows = table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), "c_custkey", "c_name")
+    rows.repartition("segment").sortWithinPartitions("segment", "c_custkey").select("segment", "c_name").write.partitionBy("segment").text(path)
+    return R.file_fingerprint(spark, path, F.element_at(F.split("path", "/"), -2))
+
+
+@query("t01_empty_delivery", f"SELECT 'empty' AS delivery, 'SYS_001' AS rule_id, '' AS template, 1 AS n UNION ALL SELECT 'full', 'm1', 'B02.00', count(*) FROM {ORDERS_SQL} t WHERE {miss('amount')}")
+def empty_delivery(spark, d):
+    """Nothing else is said of a delivery without tables, whatever is required or checked."""
+    checks = {"B02.00": [C.mandatory("m1", "amount")]}
+    given = {"empty": {}, "full": {"B02.00": dirty_orders(spark, d), "B99.00": table(spark, d, "customer")}}
+    found = [validate(spark, t, checks, required=["B99.00"]).select(F.lit(k).alias("delivery"), "rule_id", "template") for k, t in given.items()]
+    return found[0].unionByName(found[1]).groupBy("delivery", "rule_id", "template").agg(F.count("*").alias("n"))
+
+
 @query(
     "t02_contract_run",
     "SELECT * FROM (VALUES ('SYS_002', 'B99.00', '', 'ERROR', 1), ('STRUCT_001', 'B77.99', '', 'WARNING', 1), ('STRUCT_002', 'B02.00_TypeA', 'cust', 'WARNING', 1), ('STRUCT_003', 'B02.00_TypeA', 'c0030', 'ERROR', 1), ('gone', 'B02.00_TypeA', 'nowhere', 'ERROR', 1)) v(rule_id, template, field_code, severity, n)"

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabguard.functions import expressions as E
 from tabguard.functions import predicates as P
 from tabguard.operators import business as B
 from tabguard.operators import checks as C
@@ -67,8 +68,15 @@ def build() -> None:
     value_query("p15_issue_value", "substr(coalesce(amount, ''), 1, 200) AS v", v=lambda: P.issue_value(c("amount")))
 
     check_query("r01_mandatory", (lambda: C.mandatory("r1", "amount"), "r1 amount ERROR", miss("amount"), "''"), (lambda: C.mandatory("r1c", "day", F.lower(c("category")).contains("urgent")), "r1c day ERROR", f"lower(category) LIKE '%urgent%' AND {miss('day')}", "''"))
-    gate = lambda: (c("flag") == "1") & c("category").isin("1-URGENT", "2-HIGH") & (c("idtype") != "CUSIP")
-    check_query("r02_conditional_gate", (lambda: C.mandatory("r2", "amount3", gate()), "r2 amount3 ERROR", f"flag = '1' AND category IN ('1-URGENT', '2-HIGH') AND idtype <> 'CUSIP' AND {miss('amount3')}", "''"))
+    said = lambda *v: [E.text(F.lit(x)) for x in v]
+    gate = lambda: E.and_(E.and_(E.eq(E.field("flag"), *said("1")), E.is_in(E.field("category"), said("1-URGENT", "2-HIGH"))), E.ne(E.field("idtype"), *said("CUSIP")))
+    open_gate = f"flag = '1' AND lower({strip('category')}) IN ('1-urgent', '2-high') AND coalesce(lower({strip('idtype')}) <> 'cusip', true)"
+    check_query(
+        "r02_conditional_gate",
+        (lambda: C.gated(C.mandatory("r2", "amount3"), gate()), "r2 amount3 ERROR", f"{open_gate} AND {miss('amount3')}", "''"),
+        (lambda: C.gated(C.not_negative("r2n", "amount"), E.not_(gate())), "r2n amount ERROR", f"NOT ({open_gate}) AND {filled('amount')} AND {grouped('amount')} < 0"),
+        (lambda: C.gated(C.mandatory("r2u", "amount"), E.eq(E.field("unheard of"), *said("1"))), "r2u amount ERROR", "false", "''"),
+    )
     allowed = listed({*PRIORITIES, *C.ALWAYS_ALLOWED})
     check_query("r03_codelist", (lambda: C.codelist("r3", "category", PRIORITIES), "r3 category ERROR", f"{filled('category')} AND {strip('category')} NOT IN {allowed}"))
     check_query("r05_lei_format", (lambda: C.format_check("r5", "lei", P.is_lei(c("lei"))), "r5 lei ERROR", f"{filled('lei')} AND NOT {full('upper(lei)', '[0-9A-Z]{20}')}"))
@@ -95,6 +103,16 @@ def build() -> None:
     cond = [("eq", f"{filled('flag')} AND {strip('flag')} = '1'"), ("neq", f"{filled('flag')} AND {strip('flag')} <> '1'"), ("not_missing", filled("amount2")), ("missing", miss("amount2"))]
     check_query("r20_conditional_mandatory", *[(lambda o=o: C.conditional_mandatory(f"r20{o}", "amount", "flag" if "eq" in o else "amount2", o, "1"), f"r20{o} amount WARNING", f"{w} AND {miss('amount')}", "'<empty>'") for o, w in cond])
     v, v2, v3 = decimal("amount"), decimal("amount2"), decimal("amount3")
+    unheard = {"field2": "unheard of", "field3": "nor this"}
+    check_query(
+        "r21_absent_columns",
+        *[(lambda o=o: C.plausibility(f"r21{o}", o, "amount", **unheard), f"r21{o} amount WARNING", "false") for o in ("lte", "sum_lte", "gte_zero_if", "gt_zero_if", "equals_diff", "opposite_sign_or_zero")],
+        *[(lambda o=o: C.conditional_mandatory(f"r20{o}", "amount", "unheard of", o, "1"), f"r20{o} amount WARNING", "false") for o in ("eq", "neq", "not_missing", "missing")],
+        (lambda: C.isin_if_typed("r10", "isin", "unheard of"), "r10 isin ERROR", f"{filled('isin')} AND NOT {isin}"),
+        (lambda: C.date_order("r31", "day", "lte", "unheard of"), "r31 day WARNING", "false"),
+        (lambda: C.sum_formula("r18", "result", [(1, "part_a"), (1, "unheard of")]), "r18 result WARNING", "false"),
+        (lambda: B.unsecured_no_collateral("unheard of", "amount"), "unsecured_no_collateral amount WARNING", "false"),
+    )
     for name, op, kw, where in (
         ("r21_lte", "lte", {"field2": "amount2"}, f"{v} > {v2}"),
         ("r22_sum_lte", "sum_lte", {"field2": "amount2", "field3": "amount3"}, f"{v} + {v2} > {v3}"),
@@ -109,7 +127,7 @@ def build() -> None:
         check_query(name, (lambda name=name, op=op, kw=kw: C.plausibility(name[:3], op, "amount", **kw), f"{name[:3]} amount WARNING", where))
     ref = lambda: F.lit("2024-01-31").cast("date")
     check_query("r30_reference_date", (lambda: C.date_order("r30a", "day", "lte", ref()), "r30a day WARNING", f"{date('day')} > DATE '2024-01-31'"), (lambda: C.date_order("r30b", "day", "gte", ref()), "r30b day WARNING", f"{date('day')} < DATE '2024-01-31'"))
-    check_query("r31_date_order", (lambda: C.date_order("r31a", "day", "lte", P.parse_date(c("day2"))), "r31a day WARNING", f"{date('day')} > {date('day2')}"), (lambda: C.date_order("r31b", "day", "gte", P.parse_date(c("day2"))), "r31b day WARNING", f"{date('day')} < {date('day2')}"))
+    check_query("r31_date_order", (lambda: C.date_order("r31a", "day", "lte", "day2"), "r31a day WARNING", f"{date('day')} > {date('day2')}"), (lambda: C.date_order("r31b", "day", "gte", "day2"), "r31b day WARNING", f"{date('day')} < {date('day2')}"))
     forms = (("ISIN", "isin", "[A-Z]{2}[A-Z0-9]{10}"), ("LEI", "lei", "[0-9A-Z]{20}"), ("ISO3166_ALPHA2", "country", "[A-Z]{2}"), ("BIC", "bic", "[A-Z]{4}[A-Z]{2}[A-Z0-9]{2}([A-Z0-9]{3})?"))
     check_query("r32_identifier_format", *[(lambda k=k, f=f: C.identifier_format(f"r32{k}", f, k), f"r32{k} {f} WARNING", f"{filled(f)} AND NOT {full(f, p)}") for k, f, p in forms])
 

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabguard.functions import expressions as E
-from tabguard.issues import ISSUE_COLUMNS
 from tabguard.operators import business as B
 from tabguard.operators import checks as C
 from tabguard.operators import cross as X
@@ -74,13 +73,18 @@ def unmatched(spark, d):
     return X.unmatched(table(spark, d, "orders"), "o_orderkey", table(spark, d, "lineitem"), "l_orderkey", ["o_orderkey"])
 
 
-@query(
-    "x06_overlapping",
-    "SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_orderkey AS STRING) AS value FROM lineitem b WHERE l_linestatus = 'F' AND EXISTS (SELECT 1 FROM lineitem a WHERE a.l_linestatus = 'O' AND a.l_orderkey = b.l_orderkey)",
-)
+_TWICE = "SELECT '{0}' AS delivery, l_orderkey AS c0020, l_linenumber, l_partkey, CAST(l_orderkey AS STRING) AS value FROM lineitem b WHERE l_linestatus = 'F' AND EXISTS (SELECT 1 FROM lineitem a WHERE {1} AND a.l_orderkey = b.l_orderkey)"
+
+
+@query("x06_overlapping", f"{_TWICE.format('both', chr(97) + '.l_linestatus = ' + repr('O'))} UNION ALL {_TWICE.format('plain', 'a.l_returnflag = ' + repr('R'))}")
 def overlapping(spark, d):
-    line = table(spark, d, "lineitem")
-    return X.overlapping(line.where("l_linestatus = 'O'"), line.where("l_linestatus = 'F'"), "l_orderkey", ["l_orderkey", "l_linenumber", "l_partkey"])
+    """A delivery with both submissions, and one with the plain table in place of the first."""
+    line = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "c0020")
+    b = {"B02.00_TypeB": line.where("l_linestatus = 'F'")}
+    plain = line.where("l_returnflag = 'R'").withColumnRenamed("c0020", "0020")
+    given = {"both": b | {"B02.00_TypeA": line.where("l_linestatus = 'O'"), "B02.00": line}, "plain": b | {"B02.00": plain}}
+    found = [X.counted_twice(t, "B02.00", "c0020", ["c0020", "l_linenumber", "l_partkey"]).select(F.lit(k).alias("delivery"), "*") for k, t in given.items()]
+    return found[0].unionByName(found[1])
 
 
 @query("x07_needs_table", f"SELECT id, category AS value FROM {ORDERS_SQL} t WHERE category LIKE '%HIGH%'")
@@ -203,6 +207,22 @@ def table_assertion(spark, d):
     return _asserted(first, None, E.eq(E.text(F.col(A)), E.text(F.lit("never"))))
 
 
+@query("r02_cross_table_gate", f"SELECT id, 'gated' AS rule_id, '' AS value FROM {ALIGNED} q WHERE other IS NOT NULL AND {miss(A)}")
+def cross_table_gate(spark, d):
+    check = C.gated(C.mandatory("gated", A), E.is_not_null(E.field("other")))
+    return C.fuse(_aligned(spark, d), [check], keys=["id"]).select("id", "rule_id", "value")
+
+
+@query("e10_unknown_column", f"SELECT {_FOUND} FROM {ORDERS_SQL} t WHERE flag = '1' AND {_BLANK}")
+def unknown_column(spark, d):
+    """A condition that needs an unknown column is decided by what stands before it, or the row is passed over."""
+    said = lambda x: E.text(F.lit(x))
+    unknown = E.eq(E.field("unheard of"), said("1"))
+    claim = E.is_not_null(E.field(A))
+    checks = [assertion("asserted", A, E.or_(E.eq(E.field("flag"), said("1")), unknown), claim), assertion("never", A, unknown, claim), assertion("nor", "unheard of", None, unknown)]
+    return C.fuse(dirty_orders(spark, d), checks, keys=["id"]).select("id", "rule_id", "value")
+
+
 @query("e12_cross_assertion", f"SELECT {_FOUND} FROM {ALIGNED} q WHERE other IS NOT NULL AND NOT (amount IS NOT NULL AND {strip(A)} <> '')")
 def cross_assertion(spark, d):
     return _asserted(_aligned(spark, d), E.is_not_null(E.text(F.col("other"))), E.is_not_null(E.text(F.col(A))))
@@ -216,28 +236,30 @@ def mandatory_assertion(spark, d):
 # ---- reports over the findings of a run ---------------------------------------------
 
 
-def run_findings(spark: SparkSession, d: str) -> DataFrame:
+def run_findings(spark: SparkSession, d: str, allowed=PRIORITIES, high: int = 100) -> DataFrame:
     """A fused run over all orders: three rules of three levels and both severities."""
     checks = [
         C.mandatory("m1", "amount", rule_level="L1", template="B01.00"),
-        C.codelist("m2", "category", PRIORITIES, rule_level="CL", template="B02.00", explanation=""),
-        C.plausibility("m3", "range_exclusive_min", "amount", low=0.0, high=100.0, rule_level="DQ", template="B02.00"),
+        C.codelist("m2", "category", allowed, rule_level="CL", template="B02.00", explanation=""),
+        C.plausibility("m3", "range_exclusive_min", "amount", low=0.0, high=float(high), rule_level="DQ", template="B02.00"),
     ]
     return C.fuse(dirty_orders(spark, d), checks, row="id")
 
 
-def _run_sql() -> str:
-    allowed = ", ".join(f"'{v}'" for v in sorted({*PRIORITIES, *C.ALWAYS_ALLOWED}))
+def _run_sql(values=PRIORITIES, high: int = 100) -> str:
+    allowed = ", ".join(f"'{v}'" for v in sorted({*values, *C.ALWAYS_ALLOWED}))
     v = decimal(A)
     rules = [
         ("m1", "L1", "MANDATORY", "B01.00", "ERROR", "amount", "''", miss(A)),
         ("m2", "CL", "CODELIST_CHECK", "B02.00", "ERROR", "category", "category", f"NOT {miss('category')} AND {strip('category')} NOT IN ({allowed})"),
-        ("m3", "DQ", "PLAUSIBILITY", "B02.00", "WARNING", "amount", "amount", f"NOT ({v} > 0 AND {v} <= 100)"),
+        ("m3", "DQ", "PLAUSIBILITY", "B02.00", "WARNING", "amount", "amount", f"NOT ({v} > 0 AND {v} <= {high})"),
     ]
     return "(" + " UNION ALL ".join(f"SELECT '{i}' AS rule_id, '{lv}' AS rule_level, '{ty}' AS rule_type, '{te}' AS template, '{se}' AS severity, CAST(id AS BIGINT) AS row, '{fi}' AS field_code, substr(coalesce({va}, ''), 1, 200) AS value FROM {ORDERS_SQL} t WHERE {wh}" for i, lv, ty, te, se, fi, va, wh in rules) + ")"
 
 
 RUN = _run_sql()
+#: run_id("in", "2024-01-31T08:00:00Z")
+RUN_ID = "03945168-f205-5565-b14d-bf36366a5841"
 _ORDER = "severity <> 'ERROR', template, coalesce(row, 0), rule_id, field_code, value"
 
 query("a01_totals", f"SELECT count(*) AS total, count(*) FILTER (severity = 'ERROR') AS errors, count(*) FILTER (severity = 'WARNING') AS warnings FROM {RUN} r")(lambda s, d: R.totals(run_findings(s, d)))
@@ -252,7 +274,16 @@ query("a08_labels", f"SELECT rule_level, CASE rule_level WHEN 'L1' THEN 'L1 - Co
 query("a09_coverage", f"SELECT p.rule_id, count(r.rule_id) AS n FROM (SELECT DISTINCT 'm' || CAST(o_custkey % 6 AS STRING) AS rule_id FROM orders) p LEFT JOIN {RUN} r USING (rule_id) GROUP BY ALL")(
     lambda s, d: R.coverage(table(s, d, "orders").selectExpr("'m' || CAST(o_custkey % 6 AS STRING) AS rule_id").distinct(), run_findings(s, d))
 )
-query("a11_fingerprint", "SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(sha256(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), '~'), coalesce(CAST(quality AS VARCHAR), '~'), coalesce(CAST(toxic AS VARCHAR), '~'))), 1, 10) AS BIGINT)) AS VARCHAR) AS digest FROM labels")(lambda s, d: R.fingerprint(table(s, d, "labels")))
+
+
+def digest_sql(text: str) -> str:
+    half = lambda at: f"CAST(coalesce(sum(CAST(CAST('0x' || substr(sha256({text}), {at}, 16) AS UBIGINT) AS HUGEINT)), 0) AS VARCHAR)"
+    return f"{half(1)} || ':' || {half(17)}"
+
+
+_SIGNED = ("id", "amount", "amount2", "day", "category", "bic")
+_ROW = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in _SIGNED)
+query("a11_fingerprint", f"SELECT count(*) AS n, {digest_sql(_ROW)} AS digest FROM {ORDERS_SQL} t")(lambda s, d: R.fingerprint(dirty_orders(s, d).select(*_SIGNED)))
 
 
 @query("a05_numbered", f"SELECT row_number() OVER (ORDER BY {_ORDER}) AS seq, rule_id, row, value FROM {RUN} r")
@@ -264,16 +295,19 @@ def numbered(spark, d):
     return R.numbered(run_findings(spark, d)).select(F.col("seq").cast("bigint").alias("seq"), "rule_id", "row", "value")
 
 
-@query("a10_manifest", f"SELECT 'run-1' AS run_id, count(*) AS n, count(*) FILTER (severity = 'ERROR') AS errors, count(*) FILTER (severity = 'WARNING') AS warnings, 'B01.00,B02.00' AS templates FROM {RUN} r")
+@query("a10_manifest", f"SELECT '{RUN_ID}' AS run_id, '2024-01-31T08:00:00Z' AS started_at, '2024-01-31T08:05:00Z' AS finished_at, 'in' AS path, true AS de_annex, count(*) AS n, count(*) FILTER (severity = 'ERROR') AS errors, count(*) FILTER (severity = 'WARNING') AS warnings, 'B01.00,B02.00' AS templates FROM {RUN} r")
 def run_manifest(spark, d):
-    m = R.manifest(run_findings(spark, d), "run-1", ["B02.00", "B01.00"], "1.0", 3)
-    return m.select("run_id", F.col("issues.count").alias("n"), F.col("issues.by_severity")["ERROR"].alias("errors"), F.col("issues.by_severity")["WARNING"].alias("warnings"), F.array_join("templates_loaded", ",").alias("templates"))
+    m = R.manifest(run_findings(spark, d), ["B02.00", "B01.00"], "1.0", 3, "in", "csv_dir", "0:0", "2024-01-31T08:00:00Z", "2024-01-31T08:05:00Z", True)
+    return m.select("run_id", "started_at", "finished_at", F.col("input.path").alias("path"), F.col("catalog.de_annex").alias("de_annex"), F.col("issues.count").alias("n"), F.col("issues.by_severity")["ERROR"].alias("errors"), F.col("issues.by_severity")["WARNING"].alias("warnings"), F.array_join("templates_loaded", ",").alias("templates"))
 
 
 _KEYS = "rule_id, template, row, field_code, severity"
 
 
-@query("a12_issue_diff", f"SELECT {_KEYS}, 'expected' AS side FROM (SELECT {_KEYS} FROM {RUN} a WHERE row % 2 = 0 EXCEPT ALL SELECT {_KEYS} FROM {RUN} b WHERE row % 3 = 0) UNION ALL SELECT {_KEYS}, 'actual' FROM (SELECT {_KEYS} FROM {RUN} b WHERE row % 3 = 0 EXCEPT ALL SELECT {_KEYS} FROM {RUN} a WHERE row % 2 = 0)")
+_LATER = _run_sql(PRIORITIES[:2], 50)
+
+
+@query("a12_issue_diff", f"SELECT {_KEYS}, 'expected' AS side FROM (SELECT {_KEYS} FROM {RUN} a EXCEPT ALL SELECT {_KEYS} FROM {_LATER} b) UNION ALL SELECT {_KEYS}, 'actual' FROM (SELECT {_KEYS} FROM {_LATER} b EXCEPT ALL SELECT {_KEYS} FROM {RUN} a)")
 def issue_diff(spark, d):
-    found = run_findings(spark, d).select(*ISSUE_COLUMNS)
-    return R.issue_diff(found.where("row % 2 = 0"), found.where("row % 3 = 0"))
+    """A run against one with a shorter code list and a lower limit."""
+    return R.issue_diff(run_findings(spark, d), run_findings(spark, d, PRIORITIES[:2], 50))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -38,20 +39,30 @@ def resolve_column(df: DataFrame, code: str) -> str | None:
     return None
 
 
-def read_delimited(spark: SparkSession, paths: str | Sequence[str], header: str, sep: str = ";") -> DataFrame:
+def read_delimited(spark: SparkSession, paths: str | Sequence[str], header: str, sep: str = ";", quoted_breaks: bool = False) -> DataFrame:
     """All-text rows of files with one header line; a byte order mark and blank lines are dropped, blanks are null.
 
     ``header`` is the header line, read once by ``header_of``; every file of
-    ``paths`` has it.
+    ``paths`` has it.  Line breaks in quoted fields need ``quoted_breaks``, with
+    which Spark no longer splits files.
     """
     names = normalised_names(header.removeprefix("﻿").split(sep))
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = spark.read.schema(schema).option("sep", sep).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").csv(paths)
+    raw = spark.read.schema(schema).option("sep", sep).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").option("multiLine", quoted_breaks).csv(paths)
     return raw.select(*[blank_to_null(F.col(f"`{n}`")).alias(n) for n in names])
 
 
-def header_of(spark: SparkSession, path: str) -> str:
-    return spark.read.text(path).head()[0]
+def header_of(spark: SparkSession, path: str) -> str | None:
+    """The first line; none of an empty file."""
+    return headers_of(spark, [path]).get(path)
+
+
+def headers_of(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
+    """The first lines of files by path, in one job that reads the start of each; empty files are left out."""
+    if not paths:
+        return {}
+    first = [spark.read.text(p).limit(1).select(F.lit(p).alias("path"), "value") for p in paths]
+    return {r["path"]: r["value"] for r in reduce(DataFrame.unionByName, first).collect() if r["value"].strip("\ufeff \t")}
 
 
 def table_key(file_name: str) -> str | None:
@@ -61,15 +72,17 @@ def table_key(file_name: str) -> str | None:
     return None if m is None else m[1] + (m[2] if m[2].startswith("_") else "_" + m[2].lstrip(" -") if m[2].strip(" -") else "")
 
 
-def read_directory(spark: SparkSession, path: str, sep: str = ";") -> dict[str, DataFrame]:
+def read_directory(spark: SparkSession, path: str, sep: str = ";", quoted_breaks: bool = False) -> dict[str, DataFrame]:
     """Tables by key, from the text files of a folder.
 
     A file, or a folder of part files as Spark writes it, is named by its key;
     the files of one key are appended.  Only names reach the driver, and one
-    header line for each file or folder.
+    header line for each file or folder.  Empty files are left out, files
+    without a header with a warning.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").load(path).select("path").collect()
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").load(path).select("path", "length").collect()
     named: dict[tuple[str, str], list[str]] = {}
+    filled = {r["path"] for r in files if r["length"]}
     for f in sorted(r["path"] for r in files):
         parts = f.replace("%20", " ").split("/")
         for i in range(len(parts) - 1, max(len(parts) - 3, -1), -1):
@@ -77,9 +90,14 @@ def read_directory(spark: SparkSession, path: str, sep: str = ";") -> dict[str,
             if key:
                 named.setdefault((key, "/".join(parts[: i + 1])), []).append(f)
                 break
+    named = {k: [p for p in paths if p in filled] for k, paths in named.items()}
+    headers = headers_of(spark, [paths[0] for paths in named.values() if paths])
     out: dict[str, list[DataFrame]] = {}
-    for (key, _), paths in sorted(named.items()):
-        out.setdefault(key, []).append(read_delimited(spark, paths, header_of(spark, paths[0]), sep))
+    for (key, place), paths in sorted(named.items()):
+        if not paths or paths[0] not in headers:
+            warnings.warn(f"{place} has no header and is left out", stacklevel=2)
+            continue
+        out.setdefault(key, []).append(read_delimited(spark, paths, headers[paths[0]], sep, quoted_breaks))
     return {k: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs) for k, dfs in out.items()}
 
 
@@ -106,7 +124,7 @@ def with_row_numbers(df: DataFrame, name: str = "row", first: int = 2) -> DataFr
     sizes = place.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_low"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a split
     starts = sizes.select("_file", "_block", "_low", before.alias("_before"))
-    return place.join(F.broadcast(starts), ["_file", "_block"]).withColumn(name, F.col("_before") + F.col("_id") - F.col("_low") + first).drop("_file", "_block", "_id", "_low", "_before")
+    return place.join(starts, ["_file", "_block"]).withColumn(name, F.col("_before") + F.col("_id") - F.col("_low") + first).drop("_file", "_block", "_id", "_low", "_before")
 
 
 def reference_date(tables: Mapping[str, DataFrame], given: str | None = None, table: str = "B99.00", field: str = "c0070", row: str = "row") -> str | None:

@@ -9,7 +9,7 @@ from tabguard.issues import ISSUE_COLUMNS
 from tabguard.operators import business as B
 from tabguard.operators import checks as C
 from tabguard.operators import contract, cross, report
-from tabguard.plans.validation import validate
+from tabguard.plans.validation import assertion, validate
 from tabguard.sources import tables
 
 
@@ -70,14 +70,35 @@ def test_formula_with_negative_operands(spark):
 
 def test_first_value_conflicts(spark):
     df = spark.createDataFrame([(1, "k", "a"), (2, "k", "b"), (3, "k", "a"), (4, None, "z"), (5, "q", "N/A")], "row int, k string, v string")
-    for f in (B.first_value_conflicts, B.first_value_conflicts_window):
-        assert [(r["row"], r["value"]) for r in f(df, "k", "v", ["row"], ["row"]).collect()] == [(2, "b")]
+    assert [(r["row"], r["value"]) for r in B.first_value_conflicts(df, "k", "v", ["row"], ["row"]).collect()] == [(2, "b")]
 
 
 def test_overlap_four_cases(spark):
-    a, b = (spark.createDataFrame([(x,) for x in ids], "id string") for ids in (["ID-1", "ID-2"], ["ID-2", "ID-3"]))
-    assert [r["value"] for r in cross.overlapping(a, b, "id", []).collect()] == ["ID-2"]
-    assert cross.overlapping(a.limit(0), b, "id", []).count() == 0
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "c0020 string")
+    found = lambda **t: cross.counted_twice({f"B02.00{k.removeprefix('plain')}": v for k, v in t.items()}, "B02.00", "c0020", [])
+    values = lambda df: [r["value"] for r in df.collect()]
+    assert values(found(_TypeA=ids("ID-1", "ID-2"), _TypeB=ids("ID-2", "ID-3"))) == ["ID-2"]
+    assert values(found(_TypeA=ids("ID-1", "ID-2"), _TypeB=ids("ID-3", "ID-4"))) == []
+    assert found(_TypeA=ids("ID-1", "ID-2")) is None
+    assert values(found(plain=ids("ID-9"), _TypeB=ids("ID-9"))) == ["ID-9"]
+    assert values(found(plain=ids("ID-9"), _TypeA=ids("ID-1"), _TypeB=ids("ID-9"))) == []
+    assert values(cross.overlapping(ids(), ids("ID-2"), "c0020", [])) == []
+
+
+def test_absent_columns(spark):
+    """A run over a table that lacks what its rules look at besides their own field."""
+    df = spark.createDataFrame([(2, "5", "x"), (3, None, "1")], "row bigint, a string, b string")
+    t = lambda x: E.text(F.lit(x))
+    checks = [C.plausibility("p", "lte", "a", "zz"), C.conditional_mandatory("c", "a", "zz", "missing"), C.isin_if_typed("i", "b", "zz"), C.codelist("l", "zz", ["v"]), C.mandatory("m", "zz"), C.gated(C.mandatory("g", "a"), E.or_(E.eq(E.field("b"), t("1")), E.eq(E.field("zz"), t("1")))), assertion("s", "zz", E.eq(E.field("zz"), t("1")), E.is_not_null(E.field("a")))]
+    got = validate(spark, {"B02.00": df}, {"B02.00": checks})
+    assert sorted((r["rule_id"], r["row"] or 0) for r in got.collect()) == [("g", 3), ("i", 2), ("i", 3), ("m", 0)]
+
+
+def test_run_times_and_ids(spark):
+    found = C.fuse(spark.createDataFrame([("",)], "a string"), [C.mandatory("m", "a")])
+    one = report.manifest(found, ["B02.00"], "1.5", 42, "in", "csv_dir", "h", "2024-01-01T00:00:00Z", "2024-01-01T00:01:00Z").first()
+    assert (one["started_at"], one["finished_at"], one["input"]["path"], one["issues"]["count"]) == ("2024-01-01T00:00:00Z", "2024-01-01T00:01:00Z", "in", 1)
+    assert one["run_id"] == report.run_id("in", "2024-01-01T00:00:00Z") != report.run_id("in", "2024-01-02T00:00:00Z")
 
 
 def test_totals_disabled_by_bad_value(spark):
@@ -110,8 +131,15 @@ def test_headers_and_keys():
 
 
 def test_text_files(spark, tmp_path):
+    (tmp_path / "B03.00.csv").write_text("")
+    (tmp_path / "B04.00.csv").write_text("\n\n")
+    (tmp_path / "B05.00.csv").write_text('0010;20\n1;"two\nlines"\n')
     (tmp_path / "B02.00.csv").write_text("﻿0010;20;0010\n001;;x\n\n002;nan;y\n", encoding="utf-8")
-    got = tables.read_directory(spark, str(tmp_path))
+    with pytest.warns(UserWarning, match="B04.00"):
+        got = tables.read_directory(spark, str(tmp_path))
+    assert sorted(got) == ["B02.00", "B05.00"] and got["B05.00"].count() == 2
+    whole = tables.read_directory(spark, str(tmp_path), quoted_breaks=True)
+    assert [tuple(r) for r in whole["B05.00"].collect()] == [("1", "two\nlines")] and whole["B02.00"].count() == 2
     assert [tuple(r) for r in got["B02.00"].collect()] == [("001", None, "x"), ("002", None, "y")]
     assert got["B02.00"].columns == ["c0010", "c0020", "c0010_1"]
 
@@ -132,6 +160,20 @@ def test_fingerprint_ignores_order(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "i int, s string")
     assert report.fingerprint(df).first() == report.fingerprint(df.orderBy(F.desc("i"))).first()
     assert report.fingerprint(df).first() != report.fingerprint(df.distinct()).first()
+    rows = [("a|b", "c"), ("a", "b|c"), (None, "x"), ("~", "x"), ("", "x"), ("1:a", None), ("1", "a-")]
+    assert len({report.fingerprint(spark.createDataFrame([r], "s string, t string")).first()["digest"] for r in rows}) == len(rows)
+
+
+def test_file_fingerprint(spark, tmp_path):
+    def digest(**files):
+        base = tmp_path / f"{len(list(tmp_path.iterdir()))}"
+        for name, text in files.items():
+            (base / name).mkdir(parents=True)
+            (base / name / "t.csv").write_text(text)
+        return tuple(report.file_fingerprint(spark, str(base)).first())
+
+    assert digest(a="1", b="2") == digest(b="2", a="1") and digest(a="1")[0] == 1
+    assert len({digest(a="1", b="2"), digest(a="2", b="1"), digest(a="1", c="2"), digest(a="1")}) == 4
 
 
 def test_checks_on_a_stream(spark, tmp_path):
