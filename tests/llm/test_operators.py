@@ -367,6 +367,34 @@ def test_secrets(spark, docs):
     assert secrets.secret_spans(docs.limit(0)).count() == 0 and secrets.secret_spans(docs).count() == docs.count()
 
 
+def test_secret_query_and_planted_keys(spark, tmp_path):
+    """The digest columns by plain Python; keys that no rule knows are found, names and paths are not."""
+    r = random.Random(21)
+    key = lambda n=40: "".join(r.choice("0123456789abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(n))
+    word = lambda: "".join(r.choice(["lo", "ra", "mi", "ten", "sa", "ker", "du"]) for _ in range(r.randrange(6, 9)))
+    lines = [f"{prose(r, 5)} token = {key()} {prose(r, 3)}" for _ in range(300)]
+    lines += [f"{prose(r, 5)} {r.choice([word(), f'/{word()}/{word()}/{word()}.html', f'{word()}@{word()}.example', str(r.randrange(10**15, 10**17))])} {prose(r, 3)}" for _ in range(600)]
+    planted = {len(lines) + k: key() for k in range(100)}
+    lines += [f"{prose(r, 5)} {k} {prose(r, 3)}" for k in planted.values()]
+    lines += [None, "", "é" * 20 + " AKIA" + "A" * 20, "ab12" * 30_000]
+    spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x["doc_id"]: x for x in secrets.op2_secrets(spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(len(lines)))
+    for i, t in enumerate(lines):
+        base = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t or "", re.I | re.A) if len(m[2]) >= 12]
+        base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t or "") if len(m[0]) >= 18]
+        base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t or "") if len(m[0]) >= 16]
+        text = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(base))
+        row = got[i]
+        assert (row["n_assign"], row["n_access"], row["n_hex"], row["base_sha256"]) == (*[sum(k == n for _, k, _ in base) for n in range(3)], hashlib.sha256(text.encode()).hexdigest())
+        assert ",".join(s for s in row["spans"].split(",") if s and not s.startswith("model")) == text
+    found = {i for i, k in planted.items() if f"model:{lines[i].index(k)}:{lines[i].index(k) + 40}" in got[i]["spans"].split(",")}
+    wrong = sum("model" in got[i]["spans"] for i in range(300, 900))
+    assert len(found) >= 0.95 * len(planted) and wrong <= 0.02 * 600, (len(found), wrong)
+    kept = secrets.redacted(spark.read.parquet(str(tmp_path / "documents.parquet")).withColumn("base", F.lit(1)).withColumn("Candidates", F.lit("x"))).collect()
+    assert all(planted[x["doc_id"]] not in x["text"] for x in kept if x["doc_id"] in found) and {(x["base"], x["Candidates"]) for x in kept} == {(1, "x")} and len(kept) == len(lines)
+
+
 def test_secret_network():
     r = random.Random(7)
     key = lambda: "".join(r.choice("0123456789abcdefABCDEF") for _ in range(40))
@@ -402,8 +430,9 @@ def test_secret_candidates_are_read_whole():
     short = secrets._classes(secrets.candidates("x 0123456789abcdefg y", [])[0][2])
     assert len(every) == len(ends[0]) + 36 + len(ends[1]) - secrets.INSIDE + 1
     assert net.largest([short, secrets._classes(a[2])]) == pytest.approx([net.probability(np.array([list(short)]))[0], every.max()], abs=1e-6)
-    for run in ("qjzxkvbwpmtrhgfd", "QJZXKVBWPMTRHGFD", "Qjzxkvbwpmtrhgfd"):
-        assert [(c[0], c[1]) for c in secrets.candidates(f"a {run} b", [])] == [(2, 18)]
+    for run in ("qjzxkvbwpmtrhgfd", "QJZXKVBWPMTRHGFD", "Qjzxkvbwpmtrhgfd", "qjzxkvbwpm7r"):
+        assert [(c[0], c[1]) for c in secrets.candidates(f"a {run} b", [])] == [(2, 2 + len(run))]
+    assert secrets.candidates("a Qjzxkvbwpmtr 0123456789a b", []) == []
 
 
 def test_pages(spark):
