@@ -1,14 +1,23 @@
 """Operator 7: nearest neighbours by an inverted file with product-quantised residuals.
 
 Coarse centroids and the residual codebooks are fitted on a bounded sample
-(``SAMPLE`` vectors, the smallest by hash).  Every vector is then indexed: its
-list, and one byte per subspace of its residual.  A query probes its nearest
-lists, ranks their members by asymmetric distance tables and scores the best
-again on the original vectors in double precision.
-
-Lists are cut into blocks by hash of vec_id, so that a list which holds a third
-of all rows is many groups; a group holds about ``BLOCK`` vectors and gives at
-most ``k`` rows per query.  Queries reach the groups by a join on the list.
+(``SAMPLE`` vectors, the smallest by hash); the number of lists grows with the
+square root of the table.  Every vector is then indexed: its list, and one byte
+per subspace of its residual.  The index is written in order of lists, cut
+where the rows fall evenly, so that a list which holds a third of all rows is
+many tasks.
+
+Queries reach the index in blocks of at most ``QUERY_BYTES``, one broadcast per
+block; vectors are not shuffled again.  A task goes through the lists it holds,
+ranks their members for the queries that probe the list by asymmetric distance
+tables, scores the best again on the original vectors in double precision, and
+gives at most ``k`` rows per query.
+
+How many lists a query probes is measured: the smallest share with which
+``TRIED`` vectors of the sample find ``TARGET`` of their true neighbours in the
+sample.  Vectors that lie in clusters need few lists; where they are spread
+evenly over the sphere nearly all lists are needed, and the search then is a
+blocked product of all queries with all vectors.
 """
 
 from __future__ import annotations
@@ -16,21 +25,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabguard.llm.shared import saved, table
+from tabguard.llm.shared import partitions, saved, table
 
 NEAREST = 20
 SAMPLE = 16_384
-LISTS = 64
-PROBES = 0.8
+MOST_LISTS = 1_024
+MEMBERS = 64
+TRIED = 256
+TARGET = 0.97
 SUBSPACES = 32
 CODES = 64
-BLOCK = 4_096
+QUERY_BYTES = 32_000_000
+SOME = 256
 RERANK = 4
 ROUNDS = 8
 
@@ -71,27 +82,37 @@ class Index:
         left = x - self.coarse[own]
         return np.stack([((b**2).sum(1) - 2 * left[:, p] @ b.T).argmin(1) for p, b in zip(self.parts, self.books, strict=True)], 1).astype(np.uint8)
 
-    def probes(self, q: np.ndarray, n: int) -> np.ndarray:
-        """The n lists whose centroids have the largest inner product with each query."""
-        return np.argsort(-(q @ self.coarse.T), axis=1, kind="stable")[:, :n]
+    def order(self, q: np.ndarray) -> np.ndarray:
+        """Each query's lists, those first whose centroids have the largest inner product with it."""
+        return np.argsort(-(q @ self.coarse.T), axis=1, kind="stable")
 
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """Inner products of each query's parts with every code: (query, subspace, code)."""
-        out = np.zeros((len(q), len(self.parts), max(map(len, self.books))), np.float32)
-        for i, (p, b) in enumerate(zip(self.parts, self.books, strict=True)):
-            out[:, i, : len(b)] = q[:, p] @ b.T
-        return out
+    def share(self, sample: np.ndarray, k: int, target: float, tried: int = TRIED) -> float:
+        """The smallest share of lists that holds ``target`` of the k nearest of sample vectors."""
+        q, own = sample[:tried], self.assign(sample)
+        score = q @ sample.T
+        score[np.arange(len(q)), np.arange(len(q))] = -np.inf
+        k = min(k, len(sample) - 1)
+        if k < 1:
+            return 1.0
+        near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+        place = np.argsort(self.order(q), axis=1)  # at which turn a list is probed
+        needed = np.sort(np.take_along_axis(place, own[near], 1).ravel()) + 1
+        return float(needed[min(int(np.ceil(target * len(needed))), len(needed)) - 1]) / len(self.coarse)
+
+    def tables(self, q: np.ndarray) -> list[np.ndarray]:
+        """For each subspace, the inner products of the queries' parts with its codes."""
+        return [(q[:, p] @ b.T).astype(np.float32) for p, b in zip(self.parts, self.books, strict=True)]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): rows with an id whose embedding is non-empty, finite, non-zero and without nulls; repeated rows once."""
+    """(vec_id, v): rows with an id whose embedding is non-empty, finite, non-zero and without nulls; equal rows are one."""
     e = F.col("embedding")
     fine = e.isNotNull() & (F.size(e) > 0) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0)
-    return vectors.where(F.col("vec_id").isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), e.cast("array<double>").alias("v"))
+    return vectors.where(F.col("vec_id").isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), e.cast("array<double>").alias("v")).dropDuplicates(["vec_id", "v"])
 
 
-def _matrix(column, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten() if isinstance(column, pa.Array) else np.concatenate(column.to_numpy()), dtype=np.float64).reshape(-1, dim)
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dim)
 
 
 def _indexed(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
@@ -102,72 +123,101 @@ def _indexed(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "v", "list", "codes"])
 
 
-def _probed(batches: Iterator[pa.RecordBatch], index: Index, n: int) -> Iterator[pa.RecordBatch]:
+class Asked:
+    """A block of queries, and which of them probe each list."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, index: Index, share: float, sizes: np.ndarray, k: int):
+        self.ids, self.q, self.index = ids, q, index
+        order = index.order(q)
+        # lists beyond the share are opened until k candidates are there
+        held = np.cumsum(sizes[order], axis=1) - sizes[order]
+        opened = (np.arange(order.shape[1])[None, :] < max(1, np.ceil(share * order.shape[1] - 1e-9))) | (held < k + 1)
+        row = np.repeat(np.arange(len(q)), opened.sum(1))
+        own = order[opened]
+        by = np.argsort(own, kind="stable")
+        self.of = np.split(row[by], np.cumsum(np.bincount(own, minlength=order.shape[1]))[:-1])
+
+
+def _first(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest scores of each row with their ids, ties to the smaller id."""
+    order = np.lexsort((ids, -score), axis=1)[:, :k]
+    return np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
+
+
+def _search(batches: Iterator[pa.RecordBatch], asked: Asked, k: int, rerank: int) -> Iterator[pa.RecordBatch]:
+    index, none = asked.index, np.iinfo(np.int64).max
+    best, names = np.full((len(asked.q), k), -np.inf), np.full((len(asked.q), k), none)
     for batch in batches:
+        lists, ids = batch.column("list").to_numpy(), batch.column("vec_id").to_numpy()
         x = _matrix(batch.column("v"), index.dim)
-        lists = index.probes(x, n) if len(x) else np.zeros((0, n), int)
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(list(lists.astype(np.int32)), pa.list_(pa.int32()))], ["query_id", "q", "lists"])
-
-
-def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest scores, ties to the smaller id (ids ascend)."""
-    if len(score) <= k:
-        return np.arange(len(score))
-    edge = np.partition(score, len(score) - k)[len(score) - k]
-    above, level = np.flatnonzero(score > edge), np.flatnonzero(score == edge)
-    return np.concatenate([above, level[: k - len(above)]])
-
-
-def _search(queries: pd.DataFrame, block: pd.DataFrame, index: Index, k: int, rerank: int) -> pd.DataFrame:
-    if not len(queries) or not len(block):
-        return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-    block = block.sort_values("vec_id", kind="stable")
-    ids, x = block["vec_id"].to_numpy(), np.stack(block["v"].to_numpy())
-    codes = np.frombuffer(b"".join(block["codes"]), np.uint8).reshape(len(block), -1).astype(np.int64)
-    base = index.coarse[int(block["list"].iloc[0])]
-    q, qid = np.stack(queries["q"].to_numpy()), queries["query_id"].to_numpy()
-    tables = index.tables(q)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    at = np.arange(codes.shape[1])[None, :]
-    for i in range(len(q)):
-        rough = tables[i][at, codes].sum(1) + np.float32(q[i] @ base)
-        rough[ids == qid[i]] = -np.inf
-        some = np.sort(_best(rough, ids, k * rerank + 1))
-        some = some[ids[some] != qid[i]]
-        exact = (x[some] * q[i]).sum(1)
-        keep = some[(pick := _best(exact, ids[some], k))]
-        out.append((np.full(len(keep), qid[i]), ids[keep], exact[pick]))
-    return pd.DataFrame({"query_id": np.concatenate([o[0] for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, lists: int = LISTS, probes: float = PROBES, rerank: int = RERANK) -> DataFrame:
+        codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
+        edges = np.flatnonzero(np.diff(lists, prepend=-1, append=-1))
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            probing = asked.of[lists[lo]]
+            for at in range(0, len(probing), SOME):
+                own = probing[at : at + SOME]
+                q, other = asked.q[own], ids[lo:hi][None, :] != asked.ids[own][:, None]
+                some = np.broadcast_to(np.arange(lo, hi), other.shape)
+                if hi - lo > k * rerank:
+                    rough = np.repeat((q @ index.coarse[lists[lo]]).astype(np.float32)[:, None], hi - lo, axis=1)
+                    for m, part in enumerate(index.tables(q)):
+                        rough += part[:, codes[lo:hi, m]]
+                    rough[~other] = -np.inf
+                    pick = np.argpartition(-rough, k * rerank - 1, axis=1)[:, : k * rerank]
+                    some, other = pick + lo, np.take_along_axis(other, pick, 1)
+                exact = np.where(other, (x[some] * q[:, None, :]).sum(2), -np.inf)
+                best[own], names[own] = _first(np.concatenate([best[own], exact], 1), np.concatenate([names[own], np.where(other, ids[some], none)], 1), k)
+    row, place = np.nonzero(np.isfinite(best))
+    yield pa.RecordBatch.from_arrays([pa.array(asked.ids[row]), pa.array(names[row, place]), pa.array(best[row, place])], ["query_id", "vec_id", "score"])
+
+
+NEAR = "query_id long, vec_id long, score double"
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, share: float | None = None, rerank: int = RERANK, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest of ``vectors`` but itself, by inner product.
 
-    Both have vec_id and embedding.  Vectors that are null, empty, zero or hold
-    null or non-finite components take no part, nor do rows without a vec_id;
-    of rows with one vec_id all take part, and none is a candidate for that id.
-    Ties go to the smaller vec_id.  An empty table gives no rows.
+    Both have vec_id and embedding; other columns are not looked at.  Vectors
+    that are null, empty, zero or hold null or non-finite components take no
+    part, nor do rows without a vec_id, nor vectors of another length than most
+    have (of lengths that are equally common, the shortest).  Equal rows are
+    one; different vectors of one vec_id all take part, and none is a candidate
+    for that id.  A vec_id with several query vectors gets the nearest to any.
+    Ties go to the smaller vec_id.  ``share`` of the lists is probed; by default
+    it is measured.  An empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows, asked = usable(vectors), usable(queries)
-    head = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
-    if not head.num_rows:
+    common = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+    if common is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = len(head["v"][0])
-    sample = np.array([v for v in head["v"].to_pylist() if len(v) == dim])
-    # small tables get fewer lists, so that a query finds candidates enough
-    index = spark.sparkContext.broadcast(Index(sample, max(1, min(lists, len(sample) // 64)), SUBSPACES, CODES))
-    n = max(1, round(probes * len(index.value.coarse)))
-    rows, asked = rows.where(F.size("v") == dim), asked.where(F.size("v") == dim)
-    stored = saved(rows.mapInArrow(lambda it: _indexed(it, index.value), "vec_id long, v array<double>, list int, codes binary"), "ann-index")
-    sizes = saved(stored.groupBy("list").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")), "ann-lists")
-    blocks = stored.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).drop("blocks")
-    probed = asked.mapInArrow(lambda it: _probed(it, index.value, n), "query_id long, q array<double>, lists array<int>")
-    probed = probed.select("query_id", "q", F.explode("lists").alias("list")).join(F.broadcast(sizes), "list")
-    probed = probed.select("query_id", "q", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    found = probed.groupBy("list", "block").cogroup(blocks.groupBy("list", "block")).applyInPandas(lambda a, b: _search(a, b, index.value, k, rerank), "query_id long, vec_id long, score double")
+    dim, n = common
+    rows, asked = rows.where(F.size("v") == dim), saved(asked.where(F.size("v") == dim), "ann-queries")
+    head = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).select("v").toArrow()
+    sample = _matrix(head["v"].combine_chunks(), dim)
+    fitted = Index(sample, max(1, min(round(n**0.5 / 2), MOST_LISTS, len(sample) // MEMBERS)), SUBSPACES, CODES)
+    if share is None:
+        share = fitted.share(sample, k, TARGET)
+    index = spark.sparkContext.broadcast(fitted)
+    stored = rows.mapInArrow(lambda it: _indexed(it, index.value), "vec_id long, v array<double>, list int, codes binary")
+    stored = saved(stored.repartitionByRange(partitions(spark), "list", F.xxhash64("vec_id")).sortWithinPartitions("list", "vec_id"), "ann-index")
+    sizes = np.zeros(len(fitted.coarse), np.int64)
+    for r in stored.groupBy("list").agg(F.count("*").alias("n")).collect():  # one row a list
+        sizes[r["list"]] = r["n"]
+    blocks = max(1, -(-asked.count() * dim * 8 // query_bytes))
+    found = []
+    for b in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
+        if own.num_rows:
+            block = Asked(own["vec_id"].to_numpy(), _matrix(own["v"].combine_chunks(), dim), fitted, share, sizes, k)
+            sent = spark.sparkContext.broadcast(block)
+            part = stored.mapInArrow(lambda it, s=sent: _search(it, s.value, k, rerank), NEAR)
+            found.append(part if blocks == 1 else saved(part, "ann-found"))
+    every = found[0] if found else spark.createDataFrame([], NEAR)
+    for part in found[1:]:
+        every = every.unionByName(part)
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

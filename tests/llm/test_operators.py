@@ -449,21 +449,51 @@ def test_nearest(spark):
     r = np.random.RandomState(8)
     x = r.randn(400, 12)
     x[100:160] = x[100]
-    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(1000, None, 0), (1001, [0.0] * 12, 0), (1002, [float("nan")] * 12, 0), (1003, [None] * 12, 0), (1004, [], 0), (None, [1.0] * 12, 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    got = neighbours.nearest(df, df.where("vec_id % 20 = 0"), k=20, lists=8, probes=1.0, rerank=50).collect()
-    found = {}
-    for row in sorted(got, key=lambda g: (g["query_id"], g["rank"])):
-        found.setdefault(row["query_id"], []).append(row["vec_id"])
-    for q in range(0, 400, 20):
-        s = (x * x[q]).sum(1)
-        want = sorted((i for i in range(400) if i != q), key=lambda i: (-s[i], i))[:20]
-        assert found[q] == want
-    assert len(found) == 20 and neighbours.nearest(df.limit(0), df).count() == 0
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(1000, None, 0), (1001, [0.0] * 12, 0), (1002, [float("nan")] * 12, 0), (1003, [None] * 12, 0), (1004, [], 0), (None, [1.0] * 12, 0), (1006, [9.0] * 5, 0), (7, x[7].tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, list int").repartition(3)
+    for bytes_ in (neighbours.QUERY_BYTES, 500):
+        got = neighbours.nearest(df, df.where("vec_id % 20 = 0"), share=1.0, rerank=50, query_bytes=bytes_).collect()
+        found = {}
+        for row in sorted(got, key=lambda g: (g["query_id"], g["rank"])):
+            found.setdefault(row["query_id"], []).append(row["vec_id"])
+        for q in range(0, 400, 20):
+            s = (x * x[q]).sum(1)
+            want = sorted((i for i in range(400) if i != q), key=lambda i: (-s[i], i))[:20]
+            assert found[q] == want
+        assert len(found) == 20
+    assert neighbours.nearest(df.limit(0), df).count() == 0 and neighbours.nearest(df, df.limit(0)).count() == 0
     few = df.where("vec_id < 5")
     assert neighbours.nearest(few, few).count() == 20
 
 
+@pytest.mark.parametrize("kind", ["given", "clusters"])
+def test_recall_of_the_default_settings(spark, kind):
+    if kind == "given":
+        df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+        x = np.array([v for v in df.orderBy("vec_id").toPandas()["embedding"]], float)
+        ids = np.array([v["vec_id"] for v in df.select("vec_id").orderBy("vec_id").collect()])
+    else:
+        r = np.random.RandomState(3)
+        centres = r.randn(40, 24) * 4
+        x, ids = centres[r.randint(0, 40, 6000)] + r.randn(6000, 24), np.arange(6000)
+        df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+        index = neighbours.Index(x[:4000], 38, neighbours.SUBSPACES, neighbours.CODES)
+        assert index.share(x[:4000], 20, neighbours.TARGET) < 0.4  # clusters need few lists
+    asked = df.where("vec_id % 20 = 0")
+    got = {}
+    for row in neighbours.nearest(df, asked).collect():
+        got.setdefault(row["query_id"], set()).add(row["vec_id"])
+        assert row["score"] == pytest.approx(float(x[ids == row["query_id"]][0] @ x[ids == row["vec_id"]][0]))
+    hits = total = 0
+    for q in ids[ids % 20 == 0]:
+        s = x @ x[ids == q][0]
+        s[ids == q] = -np.inf
+        want = set(ids[np.lexsort((ids, -s))[:20]].tolist())
+        hits, total = hits + len(want & got[q]), total + len(want)
+        assert len(got[q]) == 20
+    assert hits >= 0.9 * total, hits / total
+
+
 def test_quality(spark, labels):
     r = random.Random(9)
     good = [prose(r, 60) for _ in range(120)]
