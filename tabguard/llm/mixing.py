@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabguard.llm.shared import joined, saved, table
+from tabguard.llm.shared import joined, saved, table, unused
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -83,11 +83,12 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: i
 
     Size is the number of words (null text: 0).  Null sources are one source.
     Rows of size 0 in a source without words get 0 copies.  Repeated rows are
-    ranked apart; rows that agree in doc_id, source and size are alike.  An
-    empty table gives an empty plan.  Reruns agree: nothing depends on order
+    ranked apart; rows that agree in doc_id, source and size are alike.  Rows
+    without a doc_id are told apart by their texts.  Other columns are not
+    looked at.  An empty table gives an empty plan.  Reruns agree: nothing depends on order
     or partitions.
     """
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
     rows = docs.select(
         F.col("doc_id"),
         F.col("source"),
@@ -109,19 +110,25 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int
     """The documents themselves, each as often as the plan takes it, with ``copy`` from 1.
 
     Repeated rows of one (doc_id, source, size) share their copies evenly: the
-    plan's copies of such a set are summed and dealt to the rows in turn.
+    plan's copies of such a set are summed and dealt to the rows in turn.  All
+    columns stay as they are; where one is named ``copy`` already the new one is
+    ``copy_1``.  Null and empty texts have size 0 and are no words to take, null
+    sources are one source.  An empty table has no rows.
     """
     plan = mix_plan(docs, weights, max_repeats, seed)
-    taken = saved(plan.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_sum"), F.count("*").alias("_alike")), "mix-copies")
-    sized = docs.withColumn("_size", F.coalesce(F.regexp_count(F.col("text"), F.lit(TOKEN)), F.lit(0)).cast("long"))
-    keys = ["doc_id", "source", "_size"]
-    taken = taken.withColumnRenamed("size", "_size")
-    single = joined(sized, taken.filter("_alike = 1"), keys).select(*docs.columns, F.col("_sum").alias("_copies"))
-    alike = joined(sized, taken.filter("_alike > 1"), keys)
-    turn = F.row_number().over(W.partitionBy("doc_id", "source", "_size").orderBy(F.md5(F.coalesce(F.col("text"), F.lit("")))))
-    alike = alike.withColumn("_turn", turn).select(*docs.columns, (F.floor(F.col("_sum") * F.col("_turn") / F.col("_alike")) - F.floor(F.col("_sum") * (F.col("_turn") - 1) / F.col("_alike"))).alias("_copies"))
-    every = single.unionByName(alike).filter("_copies > 0")
-    return every.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy"))
+    copy, size, total, alike, turn, copies = (unused(docs, n) for n in ("copy", "size", "total", "alike", "turn", "copies"))
+    taken = plan.groupBy("doc_id", "source", F.col("size").alias(size)).agg(F.sum("copies").alias(total), F.count("*").alias(alike))
+    taken = saved(taken, "mix-copies")
+    sized = docs.withColumn(size, F.coalesce(F.regexp_count(F.col("text"), F.lit(TOKEN)), F.lit(0)).cast("long"))
+    keys = ["doc_id", "source", size]
+    own = list(docs.columns)
+    single = joined(sized, taken.where(F.col(alike) == 1), keys).select(*own, F.col(total).alias(copies))
+    many = joined(sized, taken.where(F.col(alike) > 1), keys)
+    many = many.withColumn(turn, F.row_number().over(W.partitionBy(*keys).orderBy(F.md5(F.coalesce(F.col("text"), F.lit(""))))))
+    dealt = lambda k: F.floor(F.col(total) * k / F.col(alike))
+    many = many.select(*own, (dealt(F.col(turn)) - dealt(F.col(turn) - 1)).alias(copies))
+    every = single.unionByName(many).where(F.col(copies) > 0)
+    return every.select(*own, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copy))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +139,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = """
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+         md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS k
   FROM documents),
 per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,

@@ -154,7 +154,8 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, DataF
     ratio = log_ratio(docs, sample)
     sent = docs.sparkSession.sparkContext.broadcast(ratio)
     scores = saved(docs.select("doc_id", "text").mapInArrow(lambda it: _scores(it, sent.value), "doc_id long, n_grams long, log_weight double, key double"), "quality-scores")
-    seen = scores.join(F.broadcast(sample), "doc_id").select("log_weight", "quality").limit(2 * SAMPLE).toPandas()
+    # one row for each labelled document, of repeated ones the lowest weight
+    seen = scores.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("log_weight").alias("log_weight"), F.min("quality").alias("quality")).toPandas()
     at = threshold(seen["log_weight"].to_numpy(float), (seen["quality"] == 1).to_numpy(bool))
     k = scores.where(F.col("log_weight") >= F.lit(at)).where(F.abs("log_weight") < float("inf")).count()
     return ratio, kth_largest(scores, "key", k) if k else float("inf"), scores
@@ -164,7 +165,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_grams, log_weight, key and kept for every document.
 
     Null and empty texts, and those of white space alone, weigh -inf and are
-    not kept.  Repeated rows have equal keys and share their fate, so that ties
+    not kept.  Columns other than doc_id and text are not looked at.  Repeated rows have equal keys and share their fate, so that ties
     at the k-th key are all kept.  Labels of unknown documents are unused; null
     labels are ignored.  An empty table gives no rows.
     """
@@ -173,7 +174,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that quality_scores keeps, scored again in place instead of joined back."""
+    """The documents that quality_scores keeps, scored again in place instead of joined back; all columns stay as they are.
+
+    Null and empty texts, and those of white space alone, go.  Repeated rows
+    share their fate, long texts are weighed whole.  Without labels of good
+    documents nothing is judged: all documents with n-grams stay.  An empty
+    table has no rows.
+    """
     ratio, least, _ = fitted(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast(ratio)
     return docs.mapInArrow(lambda it: _keep(it, sent.value, least), docs.schema)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,12 +51,10 @@ def partitions(spark: SparkSession) -> int:
 
 def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on ``keys`` where null equals null; the result has the left keys and every other column."""
-    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
-    on = None
-    for k in keys:
-        same = left[k].eqNullSafe(renamed[f"_right_{k}"])
-        on = same if on is None else on & same
-    return left.join(renamed, on, how).drop(*[f"_right_{k}" for k in keys])
+    own = {k: unused(left, f"right_{k}") for k in keys}
+    renamed = right.withColumnsRenamed(own)
+    on = [left[k].eqNullSafe(renamed[r]) for k, r in own.items()]
+    return left.join(renamed, reduce(lambda a, b: a & b, on), how).drop(*own.values())
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -258,6 +258,8 @@ def test_mixing(spark, docs):
     assert sorted(map(str, plan)) == sorted(map(str, mixing.mix_plan(docs.repartition(2)).collect()))
     out = mixing.mixed(docs)
     assert out.columns == [*docs.columns, "copy"] and out.count() == sum(r["copies"] for r in plan)
+    clash = mixing.mixed(docs.withColumns({c: F.lit(c) for c in ("copy", "total", "Alike", "turn", "copies", "right_doc_id")}))
+    assert clash.columns[-1] == "copy_1" and clash.count() == out.count() and {(x["copy"], x["Alike"]) for x in clash.collect()} == {("copy", "Alike")}
     assert mixing.mix_plan(docs.limit(0)).count() == 0
 
 
@@ -507,6 +509,33 @@ def test_quality(spark, labels):
     assert quality.quality_scores(df, marks.limit(0)).count() == len(rows) and quality.quality_scores(df.limit(0), marks).count() == 0
 
 
+def test_quality_weights(spark):
+    """Log weights by plain counting over hashed n-grams."""
+    import pyarrow as pa
+
+    r = random.Random(13)
+    rows = [(i, f"{prose(r, r.randrange(1, 30))}, {'' if i % 3 else '!!'} {prose(r, 4)}") for i in range(60)]
+    rows += [(60, None), (61, " \n"), (None, "alpha1"), (5, rows[5][1]), (7, "other text of a doubled id")]
+    marks = {i: int(i % 2) for i in range(0, 40)}
+    got = quality.quality_scores(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(marks.items()), "doc_id long, quality int")).collect()
+    piece = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+|[^0-9A-Za-z\x80-\U0010ffff\x20\x09-\x0D]+")
+    code = lambda t: quality.grams(*next(slices(pa.array([t])))[2:])[0].tolist()
+    own = [(i, code(t) if t else []) for i, t in rows]
+    for (_, t), (_, g) in zip(rows, own, strict=True):
+        n = len(piece.findall(t or ""))
+        assert len(g) == 2 * n - (n > 0)
+    raw, good = Counter(), Counter()
+    for i, g in own:
+        raw.update(g)
+        if marks.get(i) == 1:
+            good.update(g)
+    share = lambda c, b: (c[b] + 0.1) / (c.total() + 0.1 * quality.BUCKETS)
+    weight = lambda g: round(sum(np.log(share(good, b)) - np.log(share(raw, b)) for b in g) * quality.SPAN / (quality.SPAN + len(g)), 6) if g else -np.inf
+    assert sorted((str(x["doc_id"]), round(x["log_weight"], 6)) for x in got) == sorted((str(i), weight(g)) for i, g in own)
+    kept, finite = sum(x["kept"] for x in got), sorted((x["key"] for x in got if np.isfinite(x["key"])), reverse=True)
+    assert {x["kept"] for x in got if not np.isfinite(x["key"])} == {False} and all(x["kept"] == (x["key"] >= finite[kept - 1]) for x in got)
+
+
 def test_kth_largest(spark):
     values = [float(x) for x in [5, 5, 5, -3, 1e9, 2.5, 2.5000001, -1e9, 0, 7]]
     df = spark.createDataFrame([(v,) for v in values], "v double")
