@@ -5,10 +5,13 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from functools import cache
+from hashlib import blake2b
 
-_MARKUP = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?=[a-zA-Z/!])[^<]*\Z""", re.S)
+#: always ends, at the latest with the page, so no part of a page is scanned twice: quotes only count behind =
+_MARKUP = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|["'=])*+)(?:>|\Z)|<!--.*?(?:-->|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
-_TOKEN = re.compile(r"[a-z0-9]+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _DIGITS = re.compile(r"\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,30 +35,58 @@ ENDS = {
 HOLDS = frozenset("html div section article main td body blockquote center figure details".split())
 DROPPED = frozenset("head nav footer aside form script style noscript template iframe object embed svg canvas button select textarea title dialog menu audio video map applet".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar tablist form".split())
+# fixed values: what class names and ids are made of where they name no article text, and what may stand beside that
 DROPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe subscription signup login comment comments disqus respond replies share sharing social related recommended recommendations widget pagination pager skip tags byline hidden".split()
 )
+BESIDE = frozenset("area bar block box btn button buttons col column container content form group holder icons inner item items left line link links list main module msg panel post posts right row section site slot small sub text top unit widget wrap wrapper zone".split())
+#: of more depth than that, elements lie beside each other, as browsers have it
+DEPTH = 512
 NESTED_NAMES = frozenset("comment comments reply ad advert promo sponsored related teaser".split())
 MAIN_NAMES = frozenset("article content post entry story main text body".split())
+HEADER = frozenset({"header"})
 
 
 NOTHING: dict[str, str] = {}
-EMPTY: frozenset[str] = frozenset()
+
+
+@cache
+def parts(name: str) -> frozenset[str]:
+    """What a class name or id is made of: relatedPosts, related-posts and related_posts are related and posts."""
+    return frozenset(x.lower() for x in _PART.findall(name) if not x.isdigit())
+
+
+def named(names: list[str], wanted: frozenset[str]) -> bool:
+    """Whether a whole name says so: ad-box does, related-work does not."""
+    return any(own & wanted and own <= wanted | BESIDE for own in map(parts, names))
 
 
 class Element:
-    __slots__ = ("cls", "depth", "dropped", "good", "links", "names", "parent", "path", "tag")
+    __slots__ = ("cls", "depth", "dropped", "good", "links", "names", "parent", "place", "segment", "tag")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str, in_article: bool):
         self.tag, self.parent, self.good, self.links = tag, parent, 0, 0
         self.depth = parent.depth + 1 if parent else 0
         found = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTRIBUTE.findall(attributes)} if attributes else NOTHING
         self.cls = found.get("class", "")
-        self.names = set(_TOKEN.findall(f"{self.cls} {found.get('id', '')}".lower())) if found else EMPTY
-        own = self.drops(found, in_article)
-        self.dropped = own or (parent.dropped if parent else False)
-        above = parent.path if parent else ""
-        self.path = f"{above}/{tag}{'.' + '.'.join(sorted(_DIGITS.sub('N', self.cls).split())) if self.cls.strip() else ''}" if tag in BLOCK else above
+        self.names = f"{self.cls} {found.get('id', '')}".split() if found else []
+        self.dropped = self.drops(found, in_article) or (parent.dropped if parent else False)
+        above = parent.place if parent else b""
+        if tag in BLOCK:
+            self.segment = f"{tag}{'.' + '.'.join(sorted(_DIGITS.sub('N', self.cls).split())) if self.cls.strip() else ''}"
+            self.place = blake2b(above + self.segment.encode("utf-8", "replace"), digest_size=8).digest()
+        else:
+            self.segment, self.place = "", above
+
+    @property
+    def path(self) -> str:
+        """Tags and classes from the root, digits generalised; ``place`` is its digest."""
+        out, e = [], self
+        while e is not None:
+            if e.segment:
+                out.append(e.segment)
+            e = e.parent
+        return "/".join(["", *reversed(out)])
 
     def drops(self, found: dict[str, str], in_article: bool) -> bool:
         if self.tag in ("html", "body"):
@@ -68,8 +99,8 @@ class Element:
         if self.tag == "header":
             return not in_article
         if self.tag in ("article", "main"):
-            return in_article and bool(self.names & NESTED_NAMES)
-        return bool(self.names & DROPPED_NAMES) or "header" in self.names and not in_article and self.tag in ("div", "section")
+            return in_article and named(self.names, NESTED_NAMES)
+        return named(self.names, DROPPED_NAMES) or not in_article and self.tag in ("div", "section") and named(self.names, HEADER)
 
     @property
     def weight(self) -> float:
@@ -79,7 +110,7 @@ class Element:
             return 1.4
         if self.tag in ("html", "body"):
             return 0.7
-        return 1.25 if self.names & MAIN_NAMES else 0.9 if self.tag == "td" else 1.0
+        return 1.25 if any(parts(n) & MAIN_NAMES for n in self.names) else 0.9 if self.tag == "td" else 1.0
 
 
 def _end_of(source: str, tag: str, at: int) -> int | None:
@@ -157,13 +188,15 @@ class Page:
             self._pop("p", {"td", "th", "article", "section", "main", "aside", "button"})
         if tag in ENDS:
             names, bounds = ENDS[tag]
-            for e in reversed(self.stack):
+            for e in reversed(self.stack) if any(self.open[n] for n in names) else ():
                 if e.tag in bounds:
                     break
                 if e.tag in names:
                     self._cut(self.stack.index(e))
         if tag == "body" and self.open["head"]:
             self._pop("head", set())
+        if len(self.stack) >= DEPTH:
+            self._cut(DEPTH - 1)
         e = Element(tag, self.stack[-1] if self.stack else None, attributes, bool(self.open["article"] or self.open["main"]))
         self.elements.append(e)
         if not attributes.rstrip().endswith("/") or tag in BLOCK:
@@ -219,6 +252,18 @@ class Page:
         found.sort(key=lambda x: (-x[0], -x[1].depth))
         return found
 
+    def outermost(self, some: list[Element]) -> list[Element]:
+        """Those that lie in no other of them."""
+        own = {id(e) for e in some}
+
+        def inside(e: Element) -> bool:
+            up = e.parent
+            while up is not None and id(up) not in own:
+                up = up.parent
+            return up is not None
+
+        return [e for e in {id(e): e for e in some}.values() if not inside(e)]
+
     def text_below(self, roots: set[int]) -> str:
         def below(e: Element | None) -> bool:
             while e is not None:

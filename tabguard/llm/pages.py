@@ -2,9 +2,10 @@
 
 First pass: each page scores its containers by the plain text they hold, and
 votes for their tag-class paths, with digits generalised.  Spark sums the votes
-by host and path; the path with most votes is the host's.  Second pass: the
-page's containers on that path are extracted again, or its own best container
-where the page has none on it or hardly any text there.
+by host and path; the path with most votes is the host's, and so are up to
+``PATHS`` that have ``CLOSE`` of its votes.  Second pass: the page's containers
+on these paths are extracted again.  Where they hold less than ``ENOUGH`` of the
+text of the page's own best container, that is extracted with them.
 
 Votes are summed before they are shuffled, so that a host with a third of all
 pages costs no more than another.
@@ -16,46 +17,50 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabguard.llm.htmltree import Page
 from tabguard.llm.shared import saved, table
 
-CANDIDATES = 4
-ENOUGH = 0.3
+CLOSE = 0.8
+PATHS = 4
+ENOUGH = 0.7
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        total: dict[tuple[str, str], float] = {}
+        total: dict[tuple[str, int], float] = {}
         for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            found = Page(source).containers()[:CANDIDATES] if source else []
+            found = Page(source).containers() if source else []
             for score, e in found:
                 share = score / found[0][0] if found[0][0] > 0 else 0.0
                 if share > 0:
-                    total[host, e.path] = total.get((host, e.path), 0.0) + share
+                    key = host, int.from_bytes(e.place, "big", signed=True)
+                    total[key] = total.get(key, 0.0) + share
         keys = list(total)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([round(total[k] * 1e6) for k in keys], pa.int64())], ["host", "path", "votes"])
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([round(total[k] * 1e6) for k in keys], pa.int64())], ["host", "path", "votes"])
 
 
-def main_text(source: str | None, path: str | None) -> tuple[str, str]:
-    """(text, path used) of one page, given its host's path."""
+def main_text(source: str | None, paths: list[int] | None) -> tuple[str, str]:
+    """(text, paths used) of one page, given its host's paths."""
     if not source:
         return "", ""
     page = Page(source)
-    found = page.containers()
+    found = [e for _, e in page.containers()]
     if not found:
         return "", ""
-    best = found[0][1]
-    agreed = [e for _, e in found if e.path == path]
-    if agreed and sum(e.good for e in agreed) >= ENOUGH * best.good:
-        return page.text_below({id(e) for e in agreed}), path
-    return page.text_below({id(best)}), best.path
+    wanted = {p.to_bytes(8, "big", signed=True) for p in paths or []}
+    agreed = [e for e in found if e.place in wanted]
+    outer = page.outermost(agreed)
+    if sum(e.good for e in outer) < ENOUGH * found[0].good:
+        outer = page.outermost([*agreed, found[0]])
+    return page.text_below({id(e) for e in outer}), " ".join(sorted({e.path for e in outer}))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [main_text(*x) for x in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+        out = [main_text(*x) for x in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array([x[0] for x in out], pa.string()), pa.array([len(x[0]) for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string())],
             ["page_id", "url", "text", "n_chars", "path"],
@@ -67,14 +72,19 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     Null and empty html, and pages without article text, give an empty text.
     Null or odd urls belong to the host without a name.  Repeated rows are each
-    extracted.  Ties of votes go to the smaller path.  An empty table has no rows.
+    extracted.  Ties of votes go to the smaller digest of the path.  Pages of any
+    length are read whole, in time and memory that grow with their length; an
+    unfinished tag swallows the rest, as in browsers.  Columns other than
+    page_id, url and html are not looked at.  An empty table has no rows.
     """
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), "html")
-    votes = rows.select("host", "html").mapInArrow(_votes, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    best = votes.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("v"), "path"))["path"].alias("path"))
-    agreed = saved(best, "page-paths").withColumnRenamed("host", "_host")
-    named = rows.join(agreed, rows["host"] == agreed["_host"], "left").select("page_id", "url", "html", "path")
+    votes = rows.select("host", "html").mapInArrow(_votes, "host string, path long, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    ranked = votes.withColumn("place", F.row_number().over(W.partitionBy("host").orderBy(F.desc("votes"), "path"))).where(F.col("place") <= PATHS)
+    close = ranked.groupBy("host").agg(F.max("votes").alias("most"), F.collect_list(F.struct("votes", "path")).alias("p"))  # PATHS at most
+    agreed = close.select(F.col("host").alias("_host"), F.expr(f"transform(filter(p, x -> x.votes >= {CLOSE} * most), x -> x.path)").alias("paths"))
+    agreed = saved(agreed, "page-paths")
+    named = rows.join(agreed, rows["host"] == agreed["_host"], "left").select("page_id", "url", "html", "paths")
     return named.mapInArrow(_texts, "page_id long, url string, text string, n_chars long, path string")
 
 

@@ -447,6 +447,46 @@ def test_pages(spark):
     assert Page("<nav>" * 50 + "x").blocks == []
 
 
+def test_pages_against_plain_texts(spark):
+    """Small pages built from known blocks: what is article text comes back, in order, and nothing else."""
+    r = random.Random(31)
+    noise = ["<nav><ul><li><a href=/x>Home</a></li></ul></nav>", "<div class='ad-box'>Buy now</div>", "<aside>aside words</aside>", "<div class=relatedPosts><a href=/>more</a></div>", "<div id='cookie-notice'>We use cookies</div>", "<form><p>mail</p><input></form>", "<script>if (a < b) x('<p>no</p>')</script>", "<style>p{}</style>", "<!-- <p>comment</p> -->", "<section class='reader comments'><p>First! I disagree with all of it, at length.</p></section>", "<footer><p>(c) me</p></footer>"]
+    rows, want = [], {}
+    for i in range(60):
+        blocks, html_ = [], []
+        for k in range(r.randrange(2, 7)):
+            text = prose(r, r.randrange(8, 30))
+            tag = r.choice(["p", "h2", "li", "blockquote", "div class='related-work'", "p class=social-history", "section id=s1"])
+            html_.append(f"<{tag}>{text.replace(' ', r.choice([' ', '  ', chr(10)]), 3)} a &lt; b &amp; c&eacute;<br>end</{tag.split()[0]}>")
+            blocks.append(f"{text} a < b & cé end")
+        out = [r.choice(noise) for _ in range(4)]
+        body = f"{out[0]}{out[1]}<article class=post>{''.join(html_)}</article>{out[2]}{out[3]}"
+        rows.append((i, f"http://h{i % 3}.example/{i}", f"<!DOCTYPE html><html><head><title>t</title></head><body><header>Site</header>{body}</body></html>"))
+        want[i] = "\n".join(blocks)
+    got = {x["page_id"]: (x["text"], x["n_chars"]) for x in pages.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
+def test_text_off_the_path_of_the_host_is_kept(spark):
+    part = lambda c, n: f"<div class={c}><p>{'words of the article ' * n}</p></div>"
+    rows = [(i, "http://h.example/", f"<body>{part('a', 5)}</body>") for i in range(9)] + [(9, "http://h.example/", f"<body>{part('a', 3)}{part('b', 4)}</body>")]
+    got = {x["page_id"]: x["text"].count("article") for x in pages.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**dict.fromkeys(range(9), 5), 9: 7}
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a b=\"", "<!", "</", "<div class=x>", "<li><ul><div>", "<nav>", "<p title='", "&amp;", "<a href='x'>y</a>", "<svg>", "=\"'"])
+def test_hostile_pages_take_linear_time(piece):
+    import time
+
+    source = f"<article><p>text first</p>{piece * (1_000_000 // len(piece))}"
+    began = time.process_time()
+    pages.main_text(source, None)
+    whole = time.process_time() - began
+    began = time.process_time()
+    pages.main_text(source[:250_000], None)
+    assert whole < 10 * (time.process_time() - began) + 0.5, whole
+
+
 def test_nearest(spark):
     r = np.random.RandomState(8)
     x = r.randn(400, 12)
