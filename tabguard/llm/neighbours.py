@@ -10,12 +10,13 @@ many tasks.
 Queries reach the index in blocks of at most ``QUERY_BYTES``, one broadcast per
 block; vectors are not shuffled again.  A task goes through the lists it holds,
 ranks their members for the queries that probe the list by asymmetric distance
-tables, scores the best again on the original vectors in double precision, and
-gives at most ``k`` rows per query.
+tables, scores the best again on the original vectors in double precision
+(``RERANK`` times k of a list, and all that lie within the usual error of the
+k-th), and gives at most ``k`` rows per query.
 
 How many lists a query probes is measured: the smallest share with which
 ``TRIED`` vectors of the sample find ``TARGET`` of their true neighbours in the
-sample.  Vectors that lie in clusters need few lists; where they are spread
+sample, copies aside.  Vectors that lie in clusters need few lists; where they are spread
 evenly over the sphere nearly all lists are needed, and the search then is a
 blocked product of all queries with all vectors.
 """
@@ -37,11 +38,12 @@ SAMPLE = 16_384
 MOST_LISTS = 1_024
 MEMBERS = 64
 TRIED = 256
-TARGET = 0.97
+TARGET = 0.98
 SUBSPACES = 32
 CODES = 64
 QUERY_BYTES = 32_000_000
 SOME = 256
+CELLS = 4_000_000
 RERANK = 4
 ROUNDS = 8
 
@@ -74,6 +76,11 @@ class Index:
         left = sample - self.coarse[self.assign(sample)]
         self.parts = np.array_split(np.arange(self.dim), min(subspaces, self.dim))
         self.books = [kmeans(left[:, p], codes, seed=7 + i) for i, p in enumerate(self.parts)]
+        lost, codes_of = left.copy(), self.encode(sample, self.assign(sample))
+        for m, (p, b) in enumerate(zip(self.parts, self.books, strict=True)):
+            lost[:, p] -= b[codes_of[:, m]]
+        #: standard error of a rough score, for a query of length 1
+        self.error = float(np.sqrt((lost**2).sum(1).mean() / self.dim))
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         return ((self.coarse**2).sum(1) - 2 * x @ self.coarse.T).argmin(1)
@@ -87,7 +94,9 @@ class Index:
         return np.argsort(-(q @ self.coarse.T), axis=1, kind="stable")
 
     def share(self, sample: np.ndarray, k: int, target: float, tried: int = TRIED) -> float:
-        """The smallest share of lists that holds ``target`` of the k nearest of sample vectors."""
+        """The smallest share of lists that holds ``target`` of the k nearest of different sample vectors."""
+        # copies of one vector find each other anywhere
+        sample = sample[np.sort(np.unique(sample, axis=0, return_index=True)[1])]
         q, own = sample[:tried], self.assign(sample)
         score = q @ sample.T
         score[np.arange(len(q)), np.arange(len(q))] = -np.inf
@@ -144,6 +153,15 @@ def _first(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
 
 
+def _of_copies(x: np.ndarray, lo: int, hi: int, most: int) -> np.ndarray:
+    """Places lo to hi, of equal vectors only the first ``most``: no query can have more of them among its nearest."""
+    same = np.unique(x[lo:hi].view(np.dtype((np.void, x.dtype.itemsize * x.shape[1])))[:, 0], return_inverse=True)[1].ravel()
+    order = np.argsort(same, kind="stable")
+    first = np.flatnonzero(np.diff(same[order], prepend=-1))
+    nth = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    return lo + np.sort(order[nth < most])
+
+
 def _search(batches: Iterator[pa.RecordBatch], asked: Asked, k: int, rerank: int) -> Iterator[pa.RecordBatch]:
     index, none = asked.index, np.iinfo(np.int64).max
     best, names = np.full((len(asked.q), k), -np.inf), np.full((len(asked.q), k), none)
@@ -154,18 +172,25 @@ def _search(batches: Iterator[pa.RecordBatch], asked: Asked, k: int, rerank: int
         edges = np.flatnonzero(np.diff(lists, prepend=-1, append=-1))
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             probing = asked.of[lists[lo]]
+            members = _of_copies(x, lo, hi, k + 1) if hi - lo > k * rerank and len(probing) else np.arange(lo, hi)
             for at in range(0, len(probing), SOME):
                 own = probing[at : at + SOME]
-                q, other = asked.q[own], ids[lo:hi][None, :] != asked.ids[own][:, None]
-                some = np.broadcast_to(np.arange(lo, hi), other.shape)
-                if hi - lo > k * rerank:
-                    rough = np.repeat((q @ index.coarse[lists[lo]]).astype(np.float32)[:, None], hi - lo, axis=1)
+                q, other = asked.q[own], ids[members][None, :] != asked.ids[own][:, None]
+                some = np.broadcast_to(members, other.shape)
+                if len(members) > k * rerank:
+                    rough = np.repeat((q @ index.coarse[lists[lo]]).astype(np.float32)[:, None], len(members), axis=1)
                     for m, part in enumerate(index.tables(q)):
-                        rough += part[:, codes[lo:hi, m]]
+                        rough += part[:, codes[members, m]]
                     rough[~other] = -np.inf
-                    pick = np.argpartition(-rough, k * rerank - 1, axis=1)[:, : k * rerank]
-                    some, other = pick + lo, np.take_along_axis(other, pick, 1)
-                exact = np.where(other, (x[some] * q[:, None, :]).sum(2), -np.inf)
+                    # as many as lie within the usual error of the k-th, for vectors that codes hardly tell apart
+                    least = np.maximum(np.partition(rough, len(members) - k, axis=1)[:, len(members) - k], best[own, -1]) - index.error * np.linalg.norm(q, axis=1)
+                    size = min(max(k * rerank, int((rough >= least[:, None]).sum(1).max())), len(members))
+                    pick = np.argpartition(-rough, size - 1, axis=1)[:, :size]
+                    some, other = members[pick], np.take_along_axis(other, pick, 1)
+                exact, wide = np.empty(some.shape), max(1, CELLS // max(1, some.shape[1] * index.dim))
+                for i in range(0, len(own), wide):
+                    exact[i : i + wide] = (x[some[i : i + wide]] * q[i : i + wide, None, :]).sum(2)
+                exact = np.where(other, exact, -np.inf)
                 best[own], names[own] = _first(np.concatenate([best[own], exact], 1), np.concatenate([names[own], np.where(other, ids[some], none)], 1), k)
     row, place = np.nonzero(np.isfinite(best))
     yield pa.RecordBatch.from_arrays([pa.array(asked.ids[row]), pa.array(names[row, place]), pa.array(best[row, place])], ["query_id", "vec_id", "score"])
