@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tabguard.llm.bytetext import LETTERS, lowered_words, mix, shingles, slices, uniform
 from tabguard.llm.components import components
-from tabguard.llm.shared import saved, split_join, table, unused
+from tabguard.llm.shared import saved, split_join, table, total, unused
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -258,11 +258,6 @@ def row_id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
 
 
-def total(counts: DataFrame) -> int:
-    """The sum of ``n``."""
-    return counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-
-
 def _classes(links: DataFrame, further: DataFrame, classes: DataFrame) -> DataFrame:
     """The classes once more links are known: those between roots are joined, and keys follow their roots."""
     root = lambda c: classes.select(F.col("key").alias(c), F.col("component").alias(f"_{c}"))

@@ -66,14 +66,20 @@ def unused(df: DataFrame, name: str) -> str:
     return out
 
 
-def split_join(left: DataFrame, right: DataFrame, key: str, by: str, rows: int) -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, key: str | list[str], by: str, rows: int) -> DataFrame:
     """Inner join on ``key``, of which ``right`` has one row each, with ``n``, the number of its rows in ``left``.
 
     Rows of heavy keys are dealt over ``SALTS`` by a hash of ``by``.  The heavy
     keys are broadcast: of ``rows`` rows at most 1 / HEAVY keys are heavy.
     """
+    keys = [key] if isinstance(key, str) else key
     heavy = F.col("n") > max(1.0, rows * HEAVY)
-    hot = F.broadcast(right.where(heavy).select(key, F.lit(True).alias("_hot")))
-    dealt = left.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    hot = F.broadcast(right.where(heavy).select(*keys, F.lit(True).alias("_hot")))
+    dealt = left.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
     sent = right.withColumn("_salt", F.explode(F.when(heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    return dealt.join(sent, [key, "_salt"]).drop("_salt")
+    return dealt.join(sent, [*keys, "_salt"]).drop("_salt")
+
+
+def total(counts: DataFrame) -> int:
+    """The sum of ``n``."""
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

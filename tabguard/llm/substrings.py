@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabguard.llm.bytetext import mix, prefix_hash, slices, span_hash
-from tabguard.llm.shared import partitions, saved, shared_dir, table
+from tabguard.llm.shared import partitions, saved, shared_dir, split_join, table, total
 from tabguard.llm.suffixsort import Run, encode_run, merge
 
 LENGTH = 200
@@ -243,16 +243,17 @@ def by_key(rows: DataFrame) -> DataFrame:
 def holes(rows: DataFrame) -> DataFrame:
     """For (key, text) rows: (key, holes) of the texts with repeated stretches."""
     texts = rows.select("key", "text")
-    often = saved(texts.mapInArrow(lambda it: _anchors(it, False), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "substrings-often")
-    # the repeated anchors are a share of the corpus, so both sides are shuffled
-    twice = saved(texts.mapInArrow(lambda it: _anchors(it, True), ANCHORS).join(often.hint("merge"), "anchor", "left_semi"), "substrings-twice")
+    often = saved(texts.mapInArrow(lambda it: _anchors(it, False), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "substrings-often")
+    spans = total(often)
+    twice = saved(split_join(texts.mapInArrow(lambda it: _anchors(it, True), ANCHORS), often, "anchor", "key", spans).drop("n"), "substrings-twice")
     forms = saved(twice.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("at")), "substrings-forms")
-    whole = twice.join(forms.where("n > 1").select("anchor", "span"), ["anchor", "span"], "left_semi").select("key", "place")
-    varied = saved(forms.groupBy("anchor").agg(F.count("*").alias("forms")).where("forms > 1").select("anchor", (F.col("forms") > CROWD).alias("crowded")), "substrings-varied")
-    open_forms = saved(forms.join(varied, "anchor"), "substrings-open")
+    whole = split_join(twice, forms.where("n > 1").select("anchor", "span", "n"), ["anchor", "span"], "key", spans).select("key", "place")
+    varied = saved(forms.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "substrings-varied")
+    named = forms.select("anchor", "span", F.col("n").alias("copies"), "at")
+    open_forms = saved(split_join(named, varied, "anchor", "span", total(varied)).withColumn("crowded", F.col("n") > CROWD), "substrings-open")
     few = open_forms.where("not crowded")
     buckets = max(1, -(-few.count() // GROUP))
-    one = F.struct("anchor", F.col("at.place").alias("place"), (F.col("n") == 1).alias("asked"))
+    one = F.struct("anchor", F.col("at.place").alias("place"), (F.col("copies") == 1).alias("asked"))
     asked = lambda forms: forms.groupBy(F.col("at.key").alias("key")).agg(F.collect_list(one).alias("spans"))
     holding = lambda forms: texts.join(asked(forms).hint("merge"), "key")
     single = holding(few).mapInArrow(lambda it: _runs(it, buckets), "bucket int, run binary").groupBy("bucket").applyInArrow(_merged, "key long, start int")
