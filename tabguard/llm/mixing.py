@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabguard.llm.shared import joined, saved, table, unused
+from tabguard.llm.shared import joined, partitions, saved, table, unused
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -32,36 +32,44 @@ def _unit(text: Column) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def running(rows: DataFrame, order: list[Column], **sums: str) -> DataFrame:
+    """Add, under each new name, the sum of a column over all rows before, in a total order.
+
+    Rows are dealt by ranges of the order; the ranges' own sums, as many as
+    there are shuffle partitions, give the rest.  No task holds all rows.
+    """
+    spark, part = rows.sparkSession, "range_of_row"
+    dealt = saved(rows.repartitionByRange(partitions(spark), *order).withColumn(part, F.spark_partition_id()), "mix-ranges")
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    of_range = dealt.groupBy(part).agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    of_range = of_range.select(part, *[before(f"_{n}", W.orderBy(part)).alias(f"_{n}") for n in sums])  # one row a range
+    own = W.partitionBy(part).orderBy(*order)
+    out = dealt.withColumns({n: before(c, own) for n, c in sums.items()}).join(of_range, part)
+    return out.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop(part, *[f"_{n}" for n in sums])
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """(source, size) rows to (source, source_size, target).
+    """(source, source_size, target) from (source, size) rows.
 
     Sources in code point order, null last, take ``weights`` in turn.  Targets
     share the sum of all sizes by weight, capped at ``max_repeats`` times the
     source's size: sorted by the level at which they reach their cap, the
     sources before the first uncapped one are full and the rest share what is
-    left.  This is the fixed point of resharing the excess.  One row per source.
+    left.  This is the fixed point of resharing the excess.  One row per source;
+    sources may be as many as web hosts.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int")).cast("long"))
-    everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    level = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = level.rowsBetween(W.unboundedPreceding, -1)
-    per = (
-        per.withColumn("cap", F.lit(max_repeats).cast("long") * F.col("source_size"))
-        .withColumn("total", F.sum("source_size").over(everything))
-        .withColumn("rest", F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0)))
-        .withColumn("rest_weight", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-        .withColumn("full", F.col("cap") * F.col("rest_weight") < F.col("rest") * F.col("weight"))
-        .withColumn("open", ~F.col("full"))
-    )
-    share = F.struct((~F.col("open")).alias("k"), F.col("cap") / F.col("weight"), F.col("rest"), F.col("rest_weight"))
-    first = F.min(share).over(everything)
-    return per.select(
-        "source",
-        "source_size",
-        F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.coalesce(first["rest"].cast("double") * F.col("weight").cast("double") / first["rest_weight"].cast("double"), F.lit(0.0))).alias("target"),
-    )
+    per = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")).withColumn("one", F.lit(1).cast("long"))
+    per = running(per, [F.col("source").asc_nulls_last()], place="one")
+    per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("long"))
+    per = per.withColumn("cap", F.lit(max_repeats).cast("long") * F.col("source_size"))
+    per = running(per, [F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()], caps="cap", weights="weight")
+    whole = per.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight"))  # one row
+    per = per.join(whole).withColumns({"rest": F.col("all_size") - F.col("caps"), "rest_weight": F.col("all_weight") - F.col("weights")})
+    per = saved(per.withColumn("full", F.col("cap") * F.col("rest_weight") < F.col("rest") * F.col("weight")), "mix-levels")
+    share = F.min(F.struct(F.col("cap") / F.col("weight"), "rest", "rest_weight"))
+    first = per.where("NOT full").agg(share.alias("s")).select(F.col("s.rest").alias("first_rest"), F.col("s.rest_weight").alias("first_weight"))  # one row
+    open_target = F.col("first_rest").cast("double") * F.col("weight").cast("double") / F.col("first_weight").cast("double")
+    return per.join(first).select("source", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.coalesce(open_target, F.lit(0.0))).alias("target"))
 
 
 def ranked(rows: DataFrame) -> DataFrame:

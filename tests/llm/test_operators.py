@@ -600,3 +600,14 @@ def test_toxicity(spark):
     right = np.mean([got[i]["predicted"] == int(i % 4 == 0) for i in held])
     assert right > 0.9 and all(0 <= x["score"] <= 1 for x in got.values()) and got[1000]["predicted"] == got[1002]["predicted"] == 0
     assert toxicity.toxicity(df.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_toxicity_of_few_labels(spark):
+    """Some three hundred labels: held-out documents are ranked well, and a higher logit is never a lower score."""
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.toxicity(docs, marks).join(marks, "doc_id").where("held_out AND toxic IS NOT NULL").select("score", "toxic").collect()
+    yes, no = [r["score"] for r in got if r["toxic"]], [r["score"] for r in got if not r["toxic"]]
+    auc = np.mean([(a > b) + 0.5 * (a == b) for a in yes for b in no])
+    assert auc >= 0.85, auc
+    a, c, b = toxicity.calibration(np.array([1.0, 0.5, -1.0, -2.0]), np.ones(4), np.array([0.0, 0.0, 1.0, 1.0]), np.ones(4))
+    assert a > 0
