@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tabguard.functions.predicates import grouped_double, is_missing, stripped
 from tabguard.operators.checks import Check, compare, derived, missing, needs, present
+from tabguard.sources.scratch import scratch_path
 from tabguard.sources.tables import resolve_column
 
 # fixed values: texts that stand for no reference
@@ -21,7 +22,10 @@ def repeated_keys(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -
     """Every row of a key after its first in ``order_by`` (a total order), with its ``occurrence``.
 
     Rows with a missing key part are skipped; key columns that the table lacks
-    are left out of the key.  Only keys that occur twice reach the window.
+    are left out of the key.  Only keys that occur twice are looked at further.
+    These rows are written in ranges of key and order, so that a key which holds
+    a third of all rows is many tasks; the rows of a key in the ranges before
+    give the rest of its numbers.
     """
     own = [k for k in keys if k in df.columns]
     if not own:
@@ -29,9 +33,17 @@ def repeated_keys(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -
     rows = df
     for k in own:
         rows = rows.where(~is_missing(F.col(k).cast("string")))
+    spark = df.sparkSession
     twice = rows.groupBy(*own).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    w = W.partitionBy(*own).orderBy(*order_by)
-    return rows.join(twice, own, "left_semi").withColumn("occurrence", F.row_number().over(w)).where("occurrence > 1")
+    ranges = rows.join(twice, own, "left_semi").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *own, *order_by).withColumn("_range", F.spark_partition_id())
+    path = scratch_path(spark, "repeated")
+    ranges.write.parquet(path)
+    placed = spark.read.schema(ranges.schema).parquet(path)
+    sizes = placed.groupBy(*own, "_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*own).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each range of a key
+    nth = F.row_number().over(W.partitionBy(*own, "_range").orderBy(*order_by))
+    numbered = placed.withColumn("_nth", nth).join(sizes.select(*own, "_range", before.alias("_before")), [*own, "_range"])
+    return numbered.select(*df.columns, (F.col("_nth") + F.col("_before")).cast("int").alias("occurrence")).where("occurrence > 1")
 
 
 def _total(df: DataFrame, amount: Column, name: str) -> DataFrame:

@@ -101,6 +101,14 @@ def test_run_times_and_ids(spark):
     assert one["run_id"] == report.run_id("in", "2024-01-01T00:00:00Z") != report.run_id("in", "2024-01-02T00:00:00Z")
 
 
+def test_repeated_keys_of_a_hot_key(spark):
+    rows = [("hot", "a", i) for i in range(400)] + [(f"k{i % 60}", "b", 1000 + i) for i in range(90)] + [(None, "a", 1), ("N/A", "a", 2), ("NA", "a", 3)]
+    got = cross.repeated_keys(spark.createDataFrame(rows, "k string, j string, i int").repartition(5), ["k", "j", "absent"], ["i"])
+    assert got.columns == ["k", "j", "i", "occurrence"]
+    want = [("hot", "a", i, i + 1) for i in range(1, 400)] + [(f"k{i % 60}", "b", 1000 + i, 2) for i in range(60, 90)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 def test_totals_disabled_by_bad_value(spark):
     a, b = (spark.createDataFrame([(x,) for x in v], "v string") for v in (["1,000", "5"], ["1"]))
     assert cross.totals_differ(a, "v", b, "v").first()["total_a"] == 1005.0
