@@ -34,6 +34,7 @@ WINDOW = 10
 SLOP = 20
 BLOCK_WORDS = 1_000_000
 CHUNK = 50_000
+GROUP_BYTES = 16_000_000
 
 #: ``first_word`` has one entry more than there are documents, ``first`` one more than there are terms
 INDEX = "shard long, doc_id array<long>, digest array<string>, first_word array<int>, term array<long>, first array<int>, postings array<int>"
@@ -70,7 +71,7 @@ def positional_index(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("digest"), text.alias("text"))
-    return saved(rows.mapInArrow(_indexed, INDEX), "decontam-index")
+    return saved(rows.mapInArrow(_indexed, INDEX), "decontam-index", GROUP_BYTES)
 
 
 class Phrases:

@@ -33,11 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below the shared folder and return the table read back."""
+def saved(df: DataFrame, name: str, group_bytes: int = 0) -> DataFrame:
+    """Write ``df`` below the shared folder and return the table read back.
+
+    ``group_bytes`` bounds Parquet's row groups, for tables of very long rows,
+    which are held in memory a group at a time.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tabguard/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", group_bytes) if group_bytes else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
