@@ -212,7 +212,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, share: flo
     it is measured.  An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    rows, asked = usable(vectors), usable(queries)
+    rows, asked = saved(usable(vectors), "ann-vectors"), usable(queries)
     common = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     if common is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
