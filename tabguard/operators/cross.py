@@ -34,11 +34,16 @@ def repeated_keys(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -
     for k in own:
         rows = rows.where(~is_missing(F.col(k).cast("string")))
     spark = df.sparkSession
-    twice = rows.groupBy(*own).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    ranges = rows.join(twice, own, "left_semi").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *own, *order_by).withColumn("_range", F.spark_partition_id())
-    path = scratch_path(spark, "repeated")
-    ranges.write.parquet(path)
-    placed = spark.read.schema(ranges.schema).parquet(path)
+
+    def kept(part: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, name)
+        part.write.parquet(path)
+        return spark.read.schema(part.schema).parquet(path)
+
+    # once written their size is known, and few keys are broadcast by Spark itself: then only the keys are shuffled
+    twice = kept(rows.groupBy(*own).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"), "repeated-keys")
+    ranges = rows.join(twice, own, "left_semi").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *own, *order_by)
+    placed = kept(ranges.withColumn("_range", F.spark_partition_id()), "repeated-rows")
     sizes = placed.groupBy(*own, "_range").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.partitionBy(*own).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each range of a key
     nth = F.row_number().over(W.partitionBy(*own, "_range").orderBy(*order_by))
