@@ -41,7 +41,8 @@ def saved(df: DataFrame, name: str, group_bytes: int = 0) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tabguard/{name}-{uuid.uuid4().hex}"
-    (df.write.option("parquet.block.size", group_bytes) if group_bytes else df.write).parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.option("parquet.block.size", group_bytes) if group_bytes else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

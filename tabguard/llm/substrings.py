@@ -236,7 +236,7 @@ def by_key(rows: DataFrame) -> DataFrame:
     """The rows as a table bucketed by ``key``, below the shared folder: joins on it need not shuffle the texts."""
     spark = rows.sparkSession
     name = f"tabguard_texts_{uuid.uuid4().hex}"
-    rows.write.bucketBy(partitions(spark), "key").format("parquet").option("path", f"{shared_dir(spark)}/tabguard/{name}").saveAsTable(name)
+    rows.write.bucketBy(partitions(spark), "key").format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/tabguard/{name}").saveAsTable(name)
     return spark.table(name)
 
 
