@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabguard.llm import brown, decontam, mixing, neardup, neighbours, pages, quality, secrets, substrings, toxicity
+from tabguard.llm import brown, decontam, infill, mixing, neardup, neighbours, pages, quality, secrets, substrings, toxicity
 
 QUERIES = {
     "op1_extract": pages.op1_extract,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_language_model": brown.op8_language_model,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality": quality.op10_quality,
+    "op13_fill_in_middle": infill.op13_fill_in_middle,
 }
 
 ORACLE_SQL = {
     "op6_decontamination": decontam.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
+    "op13_fill_in_middle": infill.ORACLE_SQL,
 }

@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tabguard.llm import queries
@@ -18,5 +19,5 @@ def test_query(spark, sf_dir, name):
     got = queries.QUERIES[name](spark, sf_dir).toPandas()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
-    plain = lambda df: sorted(tuple(str(round(v, 6)) if isinstance(v, float) else str(v) for v in r) for r in df[columns].astype(object).values.tolist())
+    plain = lambda df: sorted(tuple("null" if pd.isna(v) else str(round(float(v), 6)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in df[columns].astype(object).values.tolist())
     assert plain(got) == plain(want) and len(got)
