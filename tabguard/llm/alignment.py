@@ -75,6 +75,8 @@ class Pair:
         self.b = sentencepiece.SentencePieceProcessor(model_proto=piece_bpe)
         piece = lambda i: bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace(SPACE, " ").encode()
         self.b_bytes = [piece(i) for i in range(self.b.vocab_size())]
+        self.sizes = [np.array([len(own[i]) if i in own else 0 for i in range(max(own) + 1)]) for own in (self.a_bytes, dict(enumerate(self.b_bytes)))]
+        self.said = [np.array([f"{i}{c}" for i in range(len(n)) for c in (",", last)], object) for n, last in zip(self.sizes, "|;", strict=True)]
         self.space = self.b.piece_to_id(SPACE)
         self.old: dict[str, tuple | None] = {}
         self.new: dict[str, tuple | None] = {}
@@ -83,35 +85,40 @@ class Pair:
         b = self.b.encode([s[1:] for s in cut], num_threads=1)  # it puts the space back
         return [(self.a.encode_ordinary(s), [self.space] if s == " " else own) for s, own in zip(cut, b, strict=True)]
 
-    def aligned(self, stretch: str, a: list[int], b: list[int]) -> tuple | None:
-        """(tokens of A, of B, groups, links as 64-bit numbers, groups as text); none where tokens do not give the text."""
-        xs, ys, raw = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b], stretch.encode()
-        if b"".join(xs) != raw or b"".join(ys) != raw:
-            return None
-        groups, links, i, j, left, right = [], [], 0, 0, 0, 0
-        from_a = from_b = 0
-        while i < len(a):
-            if left <= right:
-                left, i = left + len(xs[i]), i + 1
-            while right < left:
-                right, j = right + len(ys[j]), j + 1
-            if left == right:
-                groups.append(",".join(map(str, a[from_a:i])) + "|" + ",".join(map(str, b[from_b:j])))
-                links.append(a[i - 1] << 16 | b[j - 1])
-                from_a, from_b = i, j
-        return len(a), len(b), len(groups), np.array(links, np.int64).tobytes(), ";".join(groups)
+    def aligned(self, cut: list[str]) -> list[tuple | None]:
+        """Of each stretch (tokens of A, of B, groups, links as 64-bit numbers, groups as text); none where tokens do not give it back."""
+        raw, made = [s.encode() for s in cut], self.ids(cut)
+        of = lambda ids, known: b"".join([known[i] for i in ids])
+        flat = lambda side: [i for m in made for i in m[side]]
+        whole, known = b"".join(raw), (self.a_bytes, self.b_bytes)
+        if any(of(flat(k), known[k]) != whole for k in (0, 1)):
+            good = [all(of(m[k], known[k]) == r for k in (0, 1)) for m, r in zip(made, raw, strict=True)]
+            kept = iter(self.aligned([s for s, g in zip(cut, good, strict=True) if g]) if any(good) else [])
+            return [next(kept) if g else None for g in good]
+        tokens, counts = [np.array(flat(k), np.int64) for k in (0, 1)], [np.array([len(m[k]) for m in made]) for k in (0, 1)]
+        ends = [np.cumsum(size[t]) for size, t in zip(self.sizes, tokens, strict=True)]
+        shared, *last = np.intersect1d(*ends, assume_unique=True, return_indices=True)
+        group = [np.searchsorted(shared, e) for e in ends]  # both tokenizers end each stretch
+        links = tokens[0][last[0]] << 16 | tokens[1][last[1]]
+        # every token with what follows it: a comma, a bar behind the last of A, a semicolon behind the last of B
+        said = [self.said[k][2 * t + (e == shared[g])] for k, (t, e, g) in enumerate(zip(tokens, ends, group, strict=True))]
+        order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
+        said = np.concatenate(said)[order].tolist()
+        stops = np.searchsorted(shared, np.cumsum([len(r) for r in raw])) + 1
+        starts = np.concatenate([[0], stops[:-1]])
+        out, at = [], 0
+        for a, b, lo, hi in zip(counts[0].tolist(), counts[1].tolist(), starts.tolist(), stops.tolist(), strict=True):
+            out.append((a, b, hi - lo, links[lo:hi].tobytes(), "".join(said[at : at + a + b])))
+            at += a + b
+        return out
 
     def remembered(self, texts: list[list[str]]) -> list[list[tuple | None]]:
         """What the stretches of each text give; those that are not remembered are encoded together."""
-        fresh: dict[str, tuple | None] = {}
-        for own in texts:
-            for s in own:
-                if s not in self.new and s not in fresh:
-                    fresh[s] = self.old.get(s, 0)
+        fresh = {s: self.old.get(s, 0) for s in set().union(*texts) - self.new.keys()}
         unknown = [s for s, v in fresh.items() if v == 0]
         for lo in range(0, len(unknown), 4_096):
             part = unknown[lo : lo + 4_096]
-            fresh.update(zip(part, (self.aligned(s, a, b) for s, (a, b) in zip(part, self.ids(part), strict=True)), strict=True))
+            fresh.update(zip(part, self.aligned(part), strict=True))
         known = self.new
         out = [[known[s] if s in known else fresh[s] for s in own] for own in texts]
         for s, v in fresh.items():
@@ -157,7 +164,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], files: tuple[bytes, bytes], link
                     continue
                 a, b, groups, linked, said = zip(*found, strict=True)
                 pairs, times = np.unique(np.frombuffer(b"".join(linked), np.int64), return_counts=True)
-                row = (doc_id, sum(a), sum(b), sum(groups), int(times.sum()), hashlib.sha256(";".join(said).encode()).hexdigest(), block, len(entries))
+                row = (doc_id, sum(a), sum(b), sum(groups), int(times.sum()), hashlib.sha256("".join(said)[:-1].encode()).hexdigest(), block, len(entries))
                 yield _batch({k: pa.array([v], t) for k, v, t in zip(_NAMES[:8], row, _TYPES, strict=False)})
                 entries.append((pairs, times))
                 held += row[4]

@@ -74,7 +74,7 @@ def test_stretches(pair, whole, text):
     assert "".join(cut) == " " + text and all(s[0] == " " for s in cut)
     made = pair.ids(cut)
     if want is None:
-        assert not text or None in [pair.aligned(s, a, b) for s, (a, b) in zip(cut, made, strict=True)]
+        assert not text or None in pair.aligned(cut)
     else:
         assert [i for a, _ in made for i in a] == [i for i, _ in want[0]]
         assert [j for _, b in made for j in b] == [j for j, _ in want[1]]
