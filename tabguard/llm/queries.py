@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabguard.llm import alignment, brown, decontam, infill, mixing, neardup, neighbours, pages, quality, secrets, substrings, toxicity
+from tabguard.llm import alignment, brown, decontam, infill, mixing, neardup, neighbours, pages, pii, quality, secrets, substrings, toxicity
 
 QUERIES = {
     "op1_extract": pages.op1_extract,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_model": brown.op8_language_model,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality": quality.op10_quality,
+    "op11_personal_data": pii.op11_personal_data,
     "op12_alignment": alignment.op12_alignment,
     "op13_fill_in_middle": infill.op13_fill_in_middle,
 }
