@@ -101,9 +101,14 @@ def is_bool_text(c: Column) -> Column:
     return c.isin(*BOOLEAN_TEXTS)
 
 
+def is_finite(n: Column) -> Column:
+    """Neither null nor beyond the largest double, as ``1e999`` is."""
+    return F.coalesce(F.abs(n) < F.lit(float("inf")), F.lit(False))
+
+
 def is_integer_text(c: Column) -> Column:
-    """Can be cut to an integer, so '1.7' passes."""
-    return grouped_double(c).isNotNull()
+    """Can be cut to an integer, so '1.7' passes and '1e999' does not."""
+    return is_finite(grouped_double(c))
 
 
 def issue_value(c: Column) -> Column:

@@ -4,10 +4,10 @@ Checks refer to what they need of a field (is it missing, its number, its date,
 does the table lack it) by name; ``fuse`` computes each of these once per row,
 however many checks use it.  A field that a table lacks is null in every row.
 
-A check is a Boolean Column with what it reports.  ``fuse`` makes the checks of
-a table into one array of the numbers of those that a row fails, explodes it,
-and only then writes findings: clean rows cost the Booleans alone, N checks
-read the table once, and nothing is shuffled.
+A check is a Boolean Column with what it reports.  ``fuse`` packs the checks of
+a table into words of flags, lets go of the rows that have none, and only then
+writes findings: clean rows cost the Booleans alone, N checks read the table
+once, and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -18,12 +18,15 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabguard.functions import predicates as P
 from tabguard.functions.expressions import Val, holds
 from tabguard.issues import ERROR, ISSUE_COLUMNS, WARNING, issue_struct, no_issues
 
+#: flags in a word
+BITS = 63
 ALWAYS_ALLOWED = ("Not available", "Not applicable", "N/A", "NA", "")
 
 
@@ -58,6 +61,9 @@ class Check:
     message: str = ""
     explanation: str = ""
     needs: tuple[tuple[str, str], ...] = ()
+    label: str = ""
+    reference: str = ""
+    code: str = ""  # what the field is called in findings, where that is not its column's name
 
     @property
     def shown(self) -> Column:
@@ -78,19 +84,53 @@ def prepared(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     return df.withColumns({f"{kind} of {field}": F.lit(field in lacking) if kind == "absent" else DERIVED[kind](F.col(f"`{field}`")) for kind, field in wanted})
 
 
+def _words(n: int) -> str:
+    """Flags 0 to n as an array of 64-bit words: check i is bit i % BITS of word i // BITS."""
+    words = []
+    for lo in range(0, n, BITS):
+        bits = [f"if(`failed {i}`, {1 << (i - lo)}L, 0L)" for i in range(lo, min(lo + BITS, n))]
+        while len(bits) > 1:  # a flat tree, not a chain
+            bits = [f"({' | '.join(bits[i : i + 2])})" for i in range(0, len(bits), 2)]
+        words += bits
+    return f"array({', '.join(words)})"
+
+
+def _apart(c: Column) -> Column:
+    """True in every row.  A projection that holds a lambda is generated in many small methods instead of one that grows with the checks."""
+    return F.exists(F.array(c.isNull()), lambda x: x | ~x)
+
+
 def fuse(df: DataFrame, checks: Sequence[Check], keys: Sequence[str] = (), row: str | None = None) -> DataFrame:
-    """``keys`` and the findings of all checks; ``row`` names the column that holds the row number."""
+    """``keys`` and the findings of all checks; ``row`` names the column that holds the row number.
+
+    Any number of checks is one scan.  A row's flags are packed into words; words
+    that are not zero are taken apart into the numbers of failed checks, and only
+    these get texts and values.  Shared values, flags and findings are each
+    computed in small methods (``_apart``), which the JVM compiles at any number
+    of checks.
+    """
     if not checks:
         return df.limit(0).select(*keys).join(no_issues(df.sparkSession)) if keys else no_issues(df.sparkSession)
-    flags = F.array(*[F.when(c.failed, F.lit(i)).otherwise(F.lit(-1)) for i, c in enumerate(checks)])
-    hit = prepared(df, checks).withColumn("check of row", F.explode(F.array_remove(flags, F.lit(-1))))
-    nth = F.col("check of row")
-    names = ("rule_id", "rule_level", "rule_type", "template", "severity", "field", "message", "explanation")
-    told = F.from_json(F.lit(json.dumps([{n: getattr(c, n) for n in names} for c in checks])), f"array<struct<{','.join(f'{n}:string' for n in names)}>>")  # one constant
-    of = F.element_at(told, nth + 1)
-    shown = F.coalesce(*[F.when(nth == i, P.issue_value(c.shown)) for i, c in enumerate(checks)])
+    some = F.col(f"`{checks[0].field if checks[0].field in df.columns else df.columns[0]}`")
+    flagged = prepared(df, checks).withColumn("shared of row", _apart(some))
+    flagged = flagged.select("*", _apart(some).alias("flags of row"), *[c.failed.alias(f"failed {i}") for i, c in enumerate(checks)])
+    flagged = flagged.withColumns({"words of row": F.expr(_words(len(checks))), "open of row": F.col("shared of row") & F.col("flags of row")})
+    words = "filter(transform(`words of row`, (w, i) -> struct(w AS word, i AS at)), x -> x.word != 0)"
+    full = flagged.withColumn("word of row", F.expr(f"explode(if(`open of row` AND exists(`words of row`, w -> w != 0), {words}, NULL))"))
+    bits = F.expr("array(" + ", ".join(f"if(getbit(`word of row`.word, {i}) = 1, {i}, -1)" for i in range(min(BITS, len(checks)))) + ")")
+    hit = full.withColumn("bit of word", F.explode(F.array_remove(bits, F.lit(-1))))
+    values: dict[str, tuple[Column, list[int]]] = {}  # checks that show the same value share it
+    for i, c in enumerate(checks):
+        values.setdefault(c.field if c.value is None else f"value of check {i}", (c.shown, []))[1].append(i)
+    which = {i: k for k, (_, own) in enumerate(values.values()) for i in own}
+    names = ("rule_id", "rule_level", "rule_type", "template", "severity", "field", "message", "explanation", "label", "reference")
+    told = F.from_json(F.lit(json.dumps([{n: getattr(c, n) for n in names} | {"field": c.code or c.field, "shown": which[i]} for i, c in enumerate(checks)])), f"array<struct<{','.join(f'{n}:string' for n in names)},shown:int>>")  # one constant
+    hit = hit.withColumn("told of check", F.element_at(told, F.col("word of row.at") * BITS + F.col("bit of word") + 1))
+    of, shown = F.col("told of check"), F.when(~_apart(F.col("bit of word")), F.lit(""))
+    for k, (value, _) in enumerate(values.values()):
+        shown = shown.when(of["shown"] == k, P.issue_value(value))
     found = issue_struct(
-        row=F.col(row) if row else None, value=shown, field_code=of["field"],
+        row=F.col(row) if row else None, value=shown, field_code=of["field"], field_label=of["label"], dpm_reference=of["reference"],
         **{n: of[n] for n in ("rule_id", "rule_level", "rule_type", "template", "severity", "message", "explanation")},
     )
     return hit.select(*keys, *[found[n].alias(n) for n in ISSUE_COLUMNS])
@@ -104,7 +144,7 @@ def present(field: str) -> Column:
 def mandatory(rule_id: str, field: str, condition: Column | None = None, **how) -> Check:
     """Filled wherever the condition holds."""
     empty = missing(field)
-    return Check(rule_id, field, empty if condition is None else condition & empty, value=F.lit(""), rule_type="MANDATORY", needs=needs(missing=field), **how)
+    return Check(rule_id, field, empty if condition is None else condition & empty, value=F.lit(""), **{"rule_type": "MANDATORY", "needs": needs(missing=field)} | how)
 
 
 def format_check(rule_id: str, field: str, good: Column, value: Column | None = None, **how) -> Check:
@@ -115,7 +155,7 @@ def format_check(rule_id: str, field: str, good: Column, value: Column | None =
 def codelist(rule_id: str, field: str, values: Sequence[str], **how) -> Check:
     """The stripped value, with its case, is in the list; for lists of literal size."""
     allowed = sorted({*values, *ALWAYS_ALLOWED})
-    shown = ", ".join(sorted(values)[:10])
+    shown = ", ".join(sorted(values)[:10]) + "..." * (len(values) > 10)
     return format_check(rule_id, field, P.stripped(F.col(field)).isin(*allowed), **{"rule_type": "CODELIST_CHECK", "explanation": f"allowed: {shown}"} | how)
 
 
@@ -145,9 +185,15 @@ def equal_zero(rule_id: str, field: str, tolerance: float = 0.01, **how) -> Chec
     return compare(rule_id, field, F.abs(derived("grouped", field)) > tolerance, **how)
 
 
+def integer_text(rule_id: str, field: str, **how) -> Check:
+    """Can be cut to an integer; always a warning."""
+    return format_check(rule_id, field, P.is_integer_text(F.col(f"`{field}`")), **{"rule_type": "FORMAT"} | how | {"severity": WARNING})
+
+
 def whole_from_one(rule_id: str, field: str, **how) -> Check:
+    """An integer from 1; what is no finite number fails."""
     n = derived("grouped", field)
-    return compare(rule_id, field, n.isNull() | (n < 1) | (n != F.floor(n)), **how)
+    return compare(rule_id, field, n.isNull() | (n < 1) | ~P.is_finite(n) | (n != F.floor(n)), **how)
 
 
 def not_reported(rule_id: str, field: str, **how) -> Check:
@@ -232,6 +278,22 @@ def codelist_join(df: DataFrame, field: str, allowed: DataFrame, keys: Sequence[
     return rows.join(allowed.select("value").distinct(), "value", "left_anti").select(*keys, "value")
 
 
+def codelist_joins(df: DataFrame, fields: Sequence[tuple[str, str]], allowed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys`` with (rule_id, value, explanation) of values outside their lists, for many (rule_id, field) at once.
+
+    ``allowed`` is (rule_id, value); a rule without values is not checked.  All
+    cells go through one join, against a table that Spark broadcasts or not by
+    its size.
+    """
+    cell = lambda rule, f: F.when(~P.is_missing(F.col(f"`{f}`")) & ~P.stripped(F.col(f"`{f}`")).isin(*ALWAYS_ALLOWED), F.struct(F.lit(rule).alias("rule_id"), P.stripped(F.col(f"`{f}`")).alias("value")))
+    cells = df.select(*keys, F.explode(F.array_compact(F.array(*[cell(r, f) for r, f in fields]))).alias("cell")).select(*keys, "cell.*")
+    values = allowed.where(F.col("rule_id").isin(*[r for r, _ in fields])).select("rule_id", P.stripped(F.col("value")).alias("value")).distinct()
+    place = F.row_number().over(W.partitionBy("rule_id").orderBy("value"))
+    first = values.withColumn("place", place).where("place <= 11").groupBy("rule_id").agg(F.array_sort(F.collect_list("value")).alias("first"))
+    told = first.select("rule_id", F.concat(F.lit("allowed: "), F.array_join(F.slice("first", 1, 10), ", "), F.when(F.size("first") > 10, "...").otherwise("")).alias("explanation"))
+    return cells.join(values, ["rule_id", "value"], "left_anti").join(told, "rule_id").select(*keys, "rule_id", "value", "explanation")
+
+
 def columns_missing(df: DataFrame, checks: Sequence[Check]) -> list[Check]:
     """Mandatory checks whose column the table lacks; others of that kind are silently dropped by the caller."""
-    return [c for c in checks if c.field not in df.columns and c.rule_type == "MANDATORY"]
+    return [c for c in checks if c.field not in df.columns and c.rule_type in ("MANDATORY", "MANDATORY_FIELD")]

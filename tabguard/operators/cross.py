@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabguard.functions.predicates import grouped_double, is_missing, stripped
 from tabguard.operators.checks import Check, compare, derived, missing, needs, present
-from tabguard.sources.scratch import scratch_path
+from tabguard.sources.scratch import kept, unused
 from tabguard.sources.tables import resolve_column
 
 # fixed values: texts that stand for no reference
@@ -34,21 +35,18 @@ def repeated_keys(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -
     for k in own:
         rows = rows.where(~is_missing(F.col(k).cast("string")))
     spark = df.sparkSession
-
-    def kept(part: DataFrame, name: str) -> DataFrame:
-        path = scratch_path(spark, name)
-        part.write.parquet(path)
-        return spark.read.schema(part.schema).parquet(path)
-
+    range_, nth, ahead = (unused(df, n) for n in ("range", "nth", "before"))
     # once written their size is known, and few keys are broadcast by Spark itself: then only the keys are shuffled
-    twice = kept(rows.groupBy(*own).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"), "repeated-keys")
+    twice = kept(rows.groupBy(*own).agg(F.count("*").alias(nth)).where(F.col(nth) > 1).select(*own), "repeated-keys")
+    if twice.isEmpty():
+        return df.limit(0).withColumn("occurrence", F.lit(1))
     ranges = rows.join(twice, own, "left_semi").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *own, *order_by)
-    placed = kept(ranges.withColumn("_range", F.spark_partition_id()), "repeated-rows")
-    sizes = placed.groupBy(*own, "_range").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy(*own).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each range of a key
-    nth = F.row_number().over(W.partitionBy(*own, "_range").orderBy(*order_by))
-    numbered = placed.withColumn("_nth", nth).join(sizes.select(*own, "_range", before.alias("_before")), [*own, "_range"])
-    return numbered.select(*df.columns, (F.col("_nth") + F.col("_before")).cast("int").alias("occurrence")).where("occurrence > 1")
+    placed = kept(ranges.withColumn(range_, F.spark_partition_id()), "repeated-rows")
+    sizes = placed.groupBy(*own, range_).agg(F.count("*").alias(nth))
+    before = F.coalesce(F.sum(nth).over(W.partitionBy(*own).orderBy(range_).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each range of a key
+    number = F.row_number().over(W.partitionBy(*own, range_).orderBy(*order_by))
+    numbered = placed.withColumn(nth, number).join(sizes.select(*own, range_, before.alias(ahead)), [*own, range_])
+    return numbered.select(*df.columns, (F.col(nth) + F.col(ahead)).cast("int").alias("occurrence")).where("occurrence > 1")
 
 
 def _total(df: DataFrame, amount: Column, name: str) -> DataFrame:
@@ -56,9 +54,16 @@ def _total(df: DataFrame, amount: Column, name: str) -> DataFrame:
     return df.agg(F.coalesce(F.sum(F.when(filled, n)), F.lit(0.0)).alias(name), F.count_if(filled & n.isNull()).alias(f"{name}_bad"))
 
 
+def _both(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row with the totals of both; each side is a scalar subquery."""
+    side = lambda df, name: df.select(F.struct(name, f"{name}_bad")).scalar().alias(name)
+    one = a.sparkSession.range(1).select(side(a, "total_a"), side(b, "total_b"))
+    return one.select(*[F.col(f"{n}.{m}").alias(m) for n in ("total_a", "total_b") for m in (n, f"{n}_bad")])
+
+
 def totals_differ(a: DataFrame, a_field: str, b: DataFrame, b_field: str, tolerance: float = 1.0) -> DataFrame:
     """(total_a, total_b) if the sums differ by more than the tolerance; a value that does not parse disables the check."""
-    both = _total(a, F.col(a_field), "total_a").join(_total(b, F.col(b_field), "total_b"))  # one row each
+    both = _both(_total(a, F.col(a_field), "total_a"), _total(b, F.col(b_field), "total_b"))
     return both.where((F.col("total_a_bad") == 0) & (F.col("total_b_bad") == 0) & (F.abs(F.col("total_a") - F.col("total_b")) > tolerance)).select("total_a", "total_b")
 
 
@@ -67,7 +72,7 @@ def conditional_totals_differ(a: DataFrame, a_field: str, b: DataFrame, b_field:
     left = _total(a.where(~stripped(F.col(a_field)).isin("0", "0.0")), F.col(a_field), "total_a")
     right = _total(b.where(stripped(F.col(category)).isin(*categories)), F.col(b_field), "total_b")
     bad = (F.col("total_a_bad") == 0) & (F.col("total_b_bad") == 0) & (F.col("total_a") > 0) & (F.col("total_b") > 0)
-    return left.join(right).where(bad & (F.abs(F.col("total_a") - F.col("total_b")) > share * F.col("total_a"))).select("total_a", "total_b")
+    return _both(left, right).where(bad & (F.abs(F.col("total_a") - F.col("total_b")) > share * F.col("total_a"))).select("total_a", "total_b")
 
 
 def unmatched(child: DataFrame, field: str, parent: DataFrame, parent_field: str, keep: Sequence[str], skip: Sequence[str] = ()) -> DataFrame:
@@ -143,7 +148,45 @@ def aligned(left: DataFrame, right: DataFrame, right_field: str, row: str = "row
     A flag of presence, not the value, decides, so that a null in an existing
     row stays null.
     """
-    there = right.select(F.col(row).alias("_row"), F.col(right_field).alias("_v"), F.lit(True).alias("_there"))
-    first = right.agg(F.min_by(F.col(right_field), F.col(row)).alias("_first"))  # one row
-    v = F.when(F.col("_there"), F.col("_v")).otherwise(F.col("_first"))
-    return left.join(there, left[row] == there["_row"], "left").join(F.broadcast(first)).withColumn(name, F.when(stripped(v) != "", v)).drop("_row", "_v", "_there", "_first")
+    value = F.col(f"`{right_field}`")
+    place, own, there = (unused(left, n) for n in ("right row", "right value", "right there"))
+    other = right.select(F.col(row).alias(place), value.alias(own), F.lit(True).alias(there))
+    first = right.agg(F.min_by(value, F.col(row))).scalar()
+    v = F.when(F.col(f"`{there}`"), F.col(f"`{own}`")).otherwise(first)
+    return left.join(other, left[row] == other[place], "left").withColumn(name, F.when(stripped(v) != "", v)).drop(place, own, there)
+
+
+def first_seen(df: DataFrame, unique: Mapping[str, Sequence[str]], dependent: Mapping[str, tuple[str, str]], order_by: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """``keep``, rule_id, key and value, first_value of rows after the first of their key that must not be there.
+
+    ``unique`` names key columns by rule: every later row of a key is a finding.
+    ``dependent`` names a key and a value column by rule: later rows with another
+    value than the first are.  Rows with a missing part are passed over; key
+    columns that the table lacks are left out.  All rules share one aggregate of
+    (rule, key), with partial counts before its shuffle, in which ``order_by`` (a
+    total order) finds the first row; only keys with a finding are joined back,
+    by a table whose size is known, so that few are broadcast and the rows are
+    not shuffled at all.
+    """
+    text = lambda f: F.col(f"`{f}`").cast("string")
+    filled = lambda fs: reduce(lambda a, b: a & b, [~is_missing(text(f)) for f in fs])
+    cells = []
+    for rule, fields in unique.items():
+        own = [f for f in fields if f in df.columns]
+        if own:
+            framed = F.to_json(F.array(*[stripped(text(f)) for f in own]))
+            cells.append(F.when(filled(own), F.struct(F.lit(rule).alias("rule_id"), framed.alias("key"), F.lit(None).cast("string").alias("value"))))
+    for rule, (key, value) in dependent.items():
+        if key in df.columns and value in df.columns:
+            cells.append(F.when(filled([key, value]), F.struct(F.lit(rule).alias("rule_id"), stripped(text(key)).alias("key"), stripped(text(value)).alias("value"))))
+    names = {n: unused(df, n) for n in ("cell", "order")}
+    if not cells:
+        return df.limit(0).select(*keep, *[F.lit("").alias(n) for n in ("rule_id", "key", "value", "first_value")])
+    rows = df.select(*keep, F.struct(*order_by).alias(names["order"]), F.explode(F.array_compact(F.array(*cells))).alias(names["cell"]))
+    rule, key, value = (F.col(f"`{names['cell']}`.{n}") for n in ("rule_id", "key", "value"))
+    order = F.col(f"`{names['order']}`")
+    firsts = rows.groupBy(rule.alias("rule_id"), key.alias("key")).agg(F.count("*").alias("n"), F.min(order).alias("first_at"), F.min_by(value, order).alias("first_value"), F.min(value).alias("low"), F.max(value).alias("high"))
+    found = kept(firsts.where(F.when(F.col("low").isNull(), F.col("n") > 1).otherwise(F.col("low") != F.col("high"))).select("rule_id", "key", "first_at", "first_value"), "first-seen")
+    joined = rows.join(found, (rule == found["rule_id"]) & (key == found["key"]))
+    later = F.when(value.isNull(), order > found["first_at"]).otherwise(value != found["first_value"])
+    return joined.where(later).select(*keep, found["rule_id"], found["key"], value.alias("value"), found["first_value"])

@@ -139,7 +139,7 @@ def row_numbers(spark, d):
 def reference(spark, d):
     rows = dirty_orders(spark, d).select(F.col("id").alias("row"), F.col("day").alias("c0070"))
     found = tables.reference_date({"B99.00": rows})
-    return rows.agg(F.lit(found).alias("reference"), F.count_if(F.col("c0070") < F.lit(found)).alias("before"))
+    return rows.agg(F.any_value(found).alias("reference"), F.count_if(F.col("c0070") < found).alias("before"))
 
 
 @query("k01_issue_sink", f"SELECT rule_level, rule_id, count(*) AS n, CAST(sum(row) AS BIGINT) AS row_sum FROM {RUN} r GROUP BY ALL")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -19,3 +19,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The table, written below the shared folder and read back: its size is known and a lost executor costs no other stage."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with a number behind it, so that no column of the table has it in any case."""
+    taken, out, n = {c.lower() for c in df.columns}, name, 0
+    while out.lower() in taken:
+        n += 1
+        out = f"{name} {n}"
+    return out

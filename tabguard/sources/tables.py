@@ -7,7 +7,7 @@ import warnings
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,12 +127,15 @@ def with_row_numbers(df: DataFrame, name: str = "row", first: int = 2) -> DataFr
     return place.join(starts, ["_file", "_block"]).withColumn(name, F.col("_before") + F.col("_id") - F.col("_low") + first).drop("_file", "_block", "_id", "_low", "_before")
 
 
-def reference_date(tables: Mapping[str, DataFrame], given: str | None = None, table: str = "B99.00", field: str = "c0070", row: str = "row") -> str | None:
-    """The caller's date, or the first ten characters of the first row's; missing is none."""
+def reference_date(tables: Mapping[str, DataFrame], given: str | None = None, table: str = "B99.00", field: str = "c0070", row: str = "row") -> Column | None:
+    """The caller's date, or the first ten characters of the first row's, as a scalar subquery that runs with the query that uses it.
+
+    None where no table has the field; null where its first row has none.
+    """
     if given:
-        return given[:10]
+        return F.lit(given[:10])
     df = first_of_family(tables, table)
     if df is None or field not in df.columns:
         return None
-    found = (df.orderBy(row) if row in df.columns else df).select(F.when(~is_missing(F.col(field)), F.substring(F.col(field), 1, 10)).alias("d")).head()
-    return found["d"] if found else None
+    first = F.min_by(F.struct(field), row) if row in df.columns else F.first(F.struct(field))
+    return df.agg(first.alias("first")).select(F.when(~is_missing(F.col(f"first.{field}")), F.substring(F.col(f"first.{field}"), 1, 10))).scalar()
