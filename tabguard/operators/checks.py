@@ -25,8 +25,8 @@ from tabguard.functions import predicates as P
 from tabguard.functions.expressions import Val, holds
 from tabguard.issues import ERROR, ISSUE_COLUMNS, WARNING, issue_struct, no_issues
 
-#: flags in a word
-BITS = 63
+#: flags in a word, and how many kinds of shown values one method takes
+BITS, FEW = 63, 12
 ALWAYS_ALLOWED = ("Not available", "Not applicable", "N/A", "NA", "")
 
 
@@ -115,23 +115,28 @@ def fuse(df: DataFrame, checks: Sequence[Check], keys: Sequence[str] = (), row:
     flagged = prepared(df, checks).withColumn("shared of row", _apart(some))
     flagged = flagged.select("*", _apart(some).alias("flags of row"), *[c.failed.alias(f"failed {i}") for i, c in enumerate(checks)])
     flagged = flagged.withColumns({"words of row": F.expr(_words(len(checks))), "open of row": F.col("shared of row") & F.col("flags of row")})
-    words = "filter(transform(`words of row`, (w, i) -> struct(w AS word, i AS at)), x -> x.word != 0)"
-    full = flagged.withColumn("word of row", F.expr(f"explode(if(`open of row` AND exists(`words of row`, w -> w != 0), {words}, NULL))"))
-    bits = F.expr("array(" + ", ".join(f"if(getbit(`word of row`.word, {i}) = 1, {i}, -1)" for i in range(min(BITS, len(checks)))) + ")")
-    hit = full.withColumn("bit of word", F.explode(F.array_remove(bits, F.lit(-1))))
+    bits = lambda word, n: f"array_remove(array({', '.join(f'if(getbit({word}, {i}) = 1, {i}, -1)' for i in range(n))}), -1)"
+    if len(checks) <= BITS:
+        hit = flagged.withColumn("number of check", F.expr(f"explode(if(`open of row` AND `words of row`[0] != 0, {bits('`words of row`[0]', len(checks))}, NULL))"))
+    else:
+        words = "filter(transform(`words of row`, (w, i) -> struct(w AS word, i AS at)), x -> x.word != 0)"
+        full = flagged.withColumn("word of row", F.expr(f"explode(if(`open of row` AND exists(`words of row`, w -> w != 0), {words}, NULL))"))
+        hit = full.withColumn("bit of word", F.expr(f"explode({bits('`word of row`.word', BITS)})")).withColumn("number of check", F.expr(f"`word of row`.at * {BITS} + `bit of word`"))
     values: dict[str, tuple[Column, list[int]]] = {}  # checks that show the same value share it
     for i, c in enumerate(checks):
         values.setdefault(c.field if c.value is None else f"value of check {i}", (c.shown, []))[1].append(i)
     which = {i: k for k, (_, own) in enumerate(values.values()) for i in own}
-    names = ("rule_id", "rule_level", "rule_type", "template", "severity", "field", "message", "explanation", "label", "reference")
-    told = F.from_json(F.lit(json.dumps([{n: getattr(c, n) for n in names} | {"field": c.code or c.field, "shown": which[i]} for i, c in enumerate(checks)])), f"array<struct<{','.join(f'{n}:string' for n in names)},shown:int>>")  # one constant
-    hit = hit.withColumn("told of check", F.element_at(told, F.col("word of row.at") * BITS + F.col("bit of word") + 1))
-    of, shown = F.col("told of check"), F.when(~_apart(F.col("bit of word")), F.lit(""))
+    # what checks say, as constants
+    told = lambda cells, kind="string": F.get(F.from_json(F.lit(json.dumps(cells)), f"array<{kind}>"), F.col("number of check"))
+    of = lambda name: told([getattr(c, name) for c in checks]) if len({getattr(c, name) for c in checks}) > 1 else F.lit(getattr(checks[0], name))
+    hit = hit.withColumn("shown of check", told([which[i] for i in range(len(checks))], "int"))
+    nth = F.col("shown of check")
+    shown = F.when(~_apart(nth), F.lit("")) if len(values) > FEW else F.when(nth < 0, F.lit(""))
     for k, (value, _) in enumerate(values.values()):
-        shown = shown.when(of["shown"] == k, P.issue_value(value))
+        shown = shown.when(nth == k, value.cast("string"))
     found = issue_struct(
-        row=F.col(row) if row else None, value=shown, field_code=of["field"], field_label=of["label"], dpm_reference=of["reference"],
-        **{n: of[n] for n in ("rule_id", "rule_level", "rule_type", "template", "severity", "message", "explanation")},
+        row=F.col(row) if row else None, value=shown, field_code=told([c.code or c.field for c in checks]), field_label=of("label"), dpm_reference=of("reference"),
+        **{n: of(n) for n in ("rule_id", "rule_level", "rule_type", "template", "severity", "message", "explanation")},
     )
     return hit.select(*keys, *[found[n].alias(n) for n in ISSUE_COLUMNS])
 
