@@ -7,10 +7,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tabguard.queries import files, rows, wide
+from tabguard.queries import files, packs, rows, wide
 
-ORACLE = {**rows.ORACLE, **wide.ORACLE, **files.ORACLE}
-QUERIES = {**rows.QUERIES, **wide.QUERIES, **files.QUERIES}
+ORACLE = {**rows.ORACLE, **wide.ORACLE, **files.ORACLE, **packs.ORACLE}
+QUERIES = {**rows.QUERIES, **wide.QUERIES, **files.QUERIES, **packs.QUERIES}
 
 
 def plain(df, columns):
