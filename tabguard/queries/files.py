@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +12,9 @@ from pyspark.sql import functions as F
 from tabguard.operators import checks as C
 from tabguard.operators import report as R
 from tabguard.plans.validation import validate
+from tabguard.queries.rows import PRIORITIES
 from tabguard.queries.views import ORDERS_SQL, dirty_orders, miss, table
-from tabguard.queries.wide import RUN, RUN_ID, digest_sql, run_findings
+from tabguard.queries.wide import LATER, RUN, RUN_ID, digest_sql, run_findings
 from tabguard.sources import catalog, sinks, tables
 from tabguard.sources.scratch import scratch_path
 
@@ -60,6 +63,36 @@ def read_directory(spark, d):
     return a.unionByName(b)
 
 
+_LONG = "id % 97 = 0"
+_LINE = "CAST(id AS STRING) || ';\"a;' || CAST(cust AS STRING) || '\"'"
+
+
+def _with_long_lines(spark: SparkSession, d: str) -> str:
+    """A delivery in which some lines of one table have a cell too many; separators in quotes are none."""
+    base = _delivered(spark, d)
+    rows = dirty_orders(spark, d).selectExpr(f"CASE WHEN {_LONG} THEN {_LINE} || ';EXTRA' ELSE {_LINE} END AS value")
+    rows.withColumnRenamed("value", "0010;0020").write.option("header", True).option("quote", "\u0000").option("emptyValue", "").csv(f"{base}/B06.00.csv", sep="\u0001")
+    return base
+
+
+@query("s01_malformed_lines", f"SELECT {_LINE} || ';EXTRA' AS text, 3 AS cells, 2 AS expected, true AS numbered FROM {ORDERS_SQL} t WHERE {_LONG}")
+def malformed_lines(spark, d):
+    """The lines of a table that are too long, with their place."""
+    path = f"{_with_long_lines(spark, d)}/B06.00.csv"
+    files = spark.read.text(path).select(F.col("_metadata.file_path").alias("p")).distinct().collect()
+    return tables.malformed_lines(spark, {r["p"]: 2 for r in files}).select("text", "cells", "expected", (F.col("line") > 1).alias("numbered"))
+
+
+@query("s02_malformed_left_out", f"SELECT 'B02.00_TypeA' AS table_key, count(*) AS n FROM {ORDERS_SQL} t UNION ALL SELECT 'B03.00', count(*) FROM {ORDERS_SQL} t")
+def malformed_left_out(spark, d):
+    """Whole tables alone are delivered: one with lines too long is left out with a warning."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        found = tables.read_directory(spark, _with_long_lines(spark, d))
+    counts = [df.agg(F.lit(k).alias("table_key"), F.count("*").alias("n")) for k, df in sorted(found.items())]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query("s03_normalised_names", "SELECT CAST(c_custkey AS BIGINT) AS c0010, c_name AS c0010_1, c_mktsegment AS other FROM customer")
 def normalised(spark, d):
     df = table(spark, d, "customer").select(F.col("c_custkey").cast("long"), "c_name", "c_mktsegment")
@@ -160,6 +193,34 @@ def manifest_sink(spark, d):
     return spark.read.text(path)
 
 
+_DIMS = "SELECT 'template' AS dimension, template AS value, count(*) AS n FROM {0} r GROUP BY ALL UNION ALL SELECT 'rule_type', rule_type, count(*) FROM {0} r GROUP BY ALL UNION ALL SELECT 'rule_level', rule_level, count(*) FROM {0} r GROUP BY ALL UNION ALL SELECT 'severity', severity, count(*) FROM {0} r GROUP BY ALL UNION ALL SELECT 'total', '', count(*) FROM {0} r UNION ALL SELECT 'written', '', count(*) FROM {0} r"
+
+
+@query("k01_observed_run", _DIMS.format(RUN))
+def observed_run(spark, d):
+    """Counts that were taken while the findings were written, beside the number that were written."""
+    path = scratch_path(spark, "observed")
+    counts = sinks.write_observed(run_findings(spark, d), path).counts
+    named = lambda df, name: df.select(F.lit(name).alias("dimension"), F.lit("").alias("value"), F.col("n"))
+    written = spark.read.parquet(path).agg(F.count("*").alias("n"))
+    return R.counts_by(counts, ("template", "rule_type", "rule_level", "severity"), n="n").unionByName(named(R.totals(counts, n="n").select(F.col("total").alias("n")), "total")).unionByName(named(written, "written"))
+
+
+@query("k02_committed_runs", f"SELECT 'one' AS run_id, rule_id, count(*) AS n, CAST(sum(row) AS BIGINT) AS row_sum, true AS told FROM {RUN} r GROUP BY ALL UNION ALL SELECT 'two', rule_id, count(*), CAST(sum(row) AS BIGINT), true FROM {LATER} r GROUP BY ALL")
+def committed_runs(spark, d):
+    """Two runs; the first was committed before with other findings, and a third failed before it was."""
+    base = scratch_path(spark, "runs")
+    about = {"tables": ["B01.00", "B02.00"], "catalog_version": "1.0", "rule_count": 3}
+    other = run_findings(spark, d, PRIORITIES[:2], 50)
+    for run, found in (("one", other), ("two", other), ("one", run_findings(spark, d))):
+        sinks.commit_run(found, base, run, **about)
+    sinks.write_issues(other, f"{base}/staged/three/left-behind")
+    found = sinks.committed(spark, base).groupBy("run_id", "rule_id").agg(F.count("*").alias("n"), F.sum("row").alias("row_sum"))
+    sizes = found.groupBy("run_id").agg(F.sum("n").alias("size"))
+    told = sinks.manifests(spark, base).select("run_id", F.get_json_object("manifest", "$.issues.count").cast("long").alias("count")).join(sizes, "run_id")
+    return found.join(told, "run_id").select("run_id", "rule_id", "n", "row_sum", (F.col("count") == F.col("size")).alias("told"))
+
+
 _FILES = "SELECT c_mktsegment AS s, string_agg(c_name, chr(10) ORDER BY c_custkey) || chr(10) AS content FROM customer GROUP BY 1"
 _FILE = "length('segment=' || s) || ':segment=' || s || sha256(content)"
 
@@ -173,6 +234,18 @@ def file_fingerprint(spark, d):
     return R.file_fingerprint(spark, path, F.element_at(F.split("path", "/"), -2))
 
 
+@query("a11_changed_ranges", "SELECT c_mktsegment AS file, CAST(floor((r - 1) / 50) AS BIGINT) AS range, 'changed' AS change FROM (SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS r FROM customer) WHERE c_custkey % 101 = 0 GROUP BY ALL")
+def changed_ranges(spark, d):
+    """Two deliveries of a file for each market segment: ranges of 50 lines in which a line was changed."""
+    rows = table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), "c_custkey", "c_name")
+    told = []
+    for name, text in (("before", F.col("c_name")), ("after", F.when(F.col("c_custkey") % 101 == 0, F.concat("c_name", F.lit("!"))).otherwise(F.col("c_name")))):
+        path = scratch_path(spark, name)
+        rows.withColumn("c_name", text).repartition("segment").sortWithinPartitions("segment", "c_custkey").select("segment", "c_name").write.partitionBy("segment").text(path)
+        told.append(R.range_fingerprints(spark, path, F.split_part(F.element_at(F.split("path", "/"), -2), F.lit("="), F.lit(2)), lines=50))
+    return R.changed_ranges(*told)
+
+
 @query("t01_empty_delivery", f"SELECT 'empty' AS delivery, 'SYS_001' AS rule_id, '' AS template, 1 AS n UNION ALL SELECT 'full', 'm1', 'B02.00', count(*) FROM {ORDERS_SQL} t WHERE {miss('amount')}")
 def empty_delivery(spark, d):
     """Nothing else is said of a delivery without tables, whatever is required or checked."""

@@ -64,7 +64,8 @@ def build() -> None:
     value_query("p12_is_bic", f"{bic} AS v", v=lambda: P.is_bic(c("bic")))
     boolean = f"(yesno IN {listed(P.BOOLEAN_TEXTS)})"
     value_query("p13_is_bool_text", f"{boolean} AS v", v=lambda: P.is_bool_text(c("yesno")))
-    value_query("p14_is_integer_text", f"{grouped('amount')} IS NOT NULL AS v", v=lambda: P.is_integer_text(c("amount")))
+    finite = lambda f: f"coalesce(isfinite({grouped(f)}), false)"
+    value_query("p14_is_integer_text", f"{finite('amount')} AS v, {finite('big')} AS w", v=lambda: P.is_integer_text(c("amount")), w=lambda: P.is_integer_text(c("big")))
     value_query("p15_issue_value", "substr(coalesce(amount, ''), 1, 200) AS v", v=lambda: P.issue_value(c("amount")))
 
     check_query("r01_mandatory", (lambda: C.mandatory("r1", "amount"), "r1 amount ERROR", miss("amount"), "''"), (lambda: C.mandatory("r1c", "day", F.lower(c("category")).contains("urgent")), "r1c day ERROR", f"lower(category) LIKE '%urgent%' AND {miss('day')}", "''"))
@@ -90,8 +91,8 @@ def build() -> None:
     check_query("r11_greater_zero", (lambda: C.greater_zero("r11", "amount"), "r11 amount ERROR", f"{filled('amount')} AND {g} <= 0"))
     check_query("r12_not_negative", (lambda: C.not_negative("r12", "amount"), "r12 amount ERROR", f"{filled('amount')} AND {g} < 0"))
     check_query("r13_boolean_text", (lambda: C.format_check("r13", "yesno", P.is_bool_text(c("yesno"))), "r13 yesno ERROR", f"{filled('yesno')} AND NOT {boolean}"))
-    check_query("r14_integer_text", (lambda: C.format_check("r14", "amount", P.is_integer_text(c("amount")), severity="WARNING"), "r14 amount WARNING", f"{filled('amount')} AND {g} IS NULL"))
-    check_query("r15_whole_from_one", (lambda: C.whole_from_one("r15", "amount"), "r15 amount ERROR", f"{filled('amount')} AND ({g} IS NULL OR {g} < 1 OR {g} <> floor({g}))"))
+    check_query("r14_integer_text", (lambda: C.integer_text("r14", "amount"), "r14 amount WARNING", f"{filled('amount')} AND {g} IS NULL"), (lambda: C.integer_text("r14e", "big", severity="ERROR"), "r14e big WARNING", f"{filled('big')} AND NOT {finite('big')}"))
+    check_query("r15_whole_from_one", (lambda: C.whole_from_one("r15", "amount"), "r15 amount ERROR", f"{filled('amount')} AND ({g} IS NULL OR {g} < 1 OR {g} <> floor({g}))"), (lambda: C.whole_from_one("r15b", "big"), "r15b big ERROR", f"{filled('big')} AND (NOT {finite('big')} OR {grouped('big')} < 1 OR {grouped('big')} <> floor({grouped('big')}))"))
     check_query("r16_not_reported", (lambda: C.not_reported("r16", "amount2"), "r16 amount2 ERROR", filled("amount2")))
     check_query("r17_equal_zero", (lambda: C.equal_zero("r17", "amount"), "r17 amount ERROR", f"{filled('amount')} AND abs({g}) > 0.01"))
     a, b, r = grouped("part_a"), grouped("part_b"), grouped("result")

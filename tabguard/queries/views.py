@@ -24,6 +24,7 @@ ORDERS = {
     "result": "CASE o_orderkey % 4 WHEN 0 THEN CAST((o_orderkey % 100) + (o_custkey % 10) AS STRING) WHEN 1 THEN '1,000' WHEN 2 THEN NULL ELSE CAST(o_orderkey % 30 AS STRING) END",
     "part_a": "CAST(o_orderkey % 100 AS STRING)",
     "part_b": "CASE o_custkey % 6 WHEN 0 THEN 'N/A' ELSE CAST(o_custkey % 10 AS STRING) END",
+    "big": "CASE o_orderkey % 7 WHEN 0 THEN '1e999' WHEN 1 THEN '-1e400' WHEN 2 THEN '1.7' WHEN 3 THEN '1,000e2' WHEN 4 THEN 'x1' WHEN 5 THEN 'n/a' ELSE '3' END",
     "product": "CASE o_custkey % 3 WHEN 0 THEN 'Non-structured/Vanilla' WHEN 1 THEN 'Non-Structured/Vanilla' ELSE NULL END",
 }
 ORDERS_SQL = "(SELECT " + ", ".join(f"{e} AS {n}" for n, e in ORDERS.items()) + " FROM orders)"

@@ -124,6 +124,24 @@ def conflicts(spark, d):
     return B.first_value_conflicts(table(spark, d, "part"), "p_name", "p_brand", ["p_partkey"], ["p_partkey"])
 
 
+_UNIQUE = {"u1": ("cust", "flag"), "u2": ("category", "day"), "u3": ("isin", "lei", "country")}
+_DEPENDENT = {"d1": ("cust", "category"), "d2": ("isin", "country")}
+
+
+def _first_seen_sql() -> str:
+    own = lambda f: f"{strip(f'CAST({f} AS STRING)')}"
+    whole = lambda fs: " AND ".join(f"NOT {miss(f'CAST({f} AS STRING)')}" for f in fs)
+    parts = [f"SELECT '{r}' AS rule_id, id, CAST(NULL AS STRING) AS value, CAST(NULL AS STRING) AS first_value FROM (SELECT id, row_number() OVER (PARTITION BY {', '.join(map(own, fs))} ORDER BY id) AS n FROM {ORDERS_SQL} t WHERE {whole(fs)}) WHERE n > 1" for r, fs in _UNIQUE.items()]
+    parts += [f"SELECT '{r}', id, v, f FROM (SELECT id, {own(v)} AS v, first_value({own(v)}) OVER (PARTITION BY {own(k)} ORDER BY id) AS f FROM {ORDERS_SQL} t WHERE {whole((k, v))}) WHERE v <> f" for r, (k, v) in _DEPENDENT.items()]
+    return " UNION ALL ".join(parts)
+
+
+@query("x01_keys_in_one_pass", _first_seen_sql())
+def keys_in_one_pass(spark, d):
+    """Three keys and two dependencies, found by one aggregate."""
+    return X.first_seen(dirty_orders(spark, d), _UNIQUE, _DEPENDENT, ["id"], ["id"]).select("rule_id", "id", "value", "first_value")
+
+
 @query("r04_dropdown", "SELECT o_orderkey AS id, trim(o_orderpriority) AS value FROM orders WHERE trim(o_orderpriority) NOT IN (SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderpriority < '4')")
 def dropdown(spark, d):
     orders = table(spark, d, "orders")
@@ -288,10 +306,6 @@ query("a11_fingerprint", f"SELECT count(*) AS n, {digest_sql(_ROW)} AS digest FR
 
 @query("a05_numbered", f"SELECT row_number() OVER (ORDER BY {_ORDER}) AS seq, rule_id, row, value FROM {RUN} r")
 def numbered(spark, d):
-    from tabguard.sources.scratch import scratch_path
-
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(scratch_path(spark, "numbered"))
     return R.numbered(run_findings(spark, d)).select(F.col("seq").cast("bigint").alias("seq"), "rule_id", "row", "value")
 
 
@@ -304,10 +318,10 @@ def run_manifest(spark, d):
 _KEYS = "rule_id, template, row, field_code, severity"
 
 
-_LATER = _run_sql(PRIORITIES[:2], 50)
+LATER = _run_sql(PRIORITIES[:2], 50)
 
 
-@query("a12_issue_diff", f"SELECT {_KEYS}, 'expected' AS side FROM (SELECT {_KEYS} FROM {RUN} a EXCEPT ALL SELECT {_KEYS} FROM {_LATER} b) UNION ALL SELECT {_KEYS}, 'actual' FROM (SELECT {_KEYS} FROM {_LATER} b EXCEPT ALL SELECT {_KEYS} FROM {RUN} a)")
+@query("a12_issue_diff", f"SELECT {_KEYS}, 'expected' AS side FROM (SELECT {_KEYS} FROM {RUN} a EXCEPT ALL SELECT {_KEYS} FROM {LATER} b) UNION ALL SELECT {_KEYS}, 'actual' FROM (SELECT {_KEYS} FROM {LATER} b EXCEPT ALL SELECT {_KEYS} FROM {RUN} a)")
 def issue_diff(spark, d):
     """A run against one with a shorter code list and a lower limit."""
     return R.issue_diff(run_findings(spark, d), run_findings(spark, d, PRIORITIES[:2], 50))

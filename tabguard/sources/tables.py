@@ -39,30 +39,58 @@ def resolve_column(df: DataFrame, code: str) -> str | None:
     return None
 
 
-def read_delimited(spark: SparkSession, paths: str | Sequence[str], header: str, sep: str = ";", quoted_breaks: bool = False) -> DataFrame:
+def cells_of(line: Column, sep: str = ";") -> Column:
+    """The cells of a line: separators outside quotes, and one."""
+    return F.regexp_count(F.regexp_replace(line, F.lit('"(?:[^"]|"")*"'), F.lit("")), F.lit(re.escape(sep))) + 1
+
+
+def read_delimited(spark: SparkSession, paths: str | Sequence[str], header: str, sep: str = ";", quoted_breaks: bool = False, strict: bool = True) -> DataFrame:
     """All-text rows of files with one header line; a byte order mark and blank lines are dropped, blanks are null.
 
     ``header`` is the header line, read once by ``header_of``; every file of
-    ``paths`` has it.  Line breaks in quoted fields need ``quoted_breaks``, with
-    which Spark no longer splits files.
+    ``paths`` has it.  A line with fewer cells has nulls in the others.  A line
+    with more is an error of the query that reads it, unless ``strict`` is off:
+    then its further cells are dropped.  Line breaks in quoted fields need
+    ``quoted_breaks``, with which Spark no longer splits files.
     """
     names = normalised_names(header.removeprefix("﻿").split(sep))
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = spark.read.schema(schema).option("sep", sep).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").option("multiLine", quoted_breaks).csv(paths)
-    return raw.select(*[blank_to_null(F.col(f"`{n}`")).alias(n) for n in names])
+    odd = "line as it was"
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, *([odd] if strict else [])]])
+    read = spark.read.schema(schema).option("sep", sep).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").option("multiLine", quoted_breaks)
+    raw = (read.option("columnNameOfCorruptRecord", odd) if strict else read).csv(paths)
+    cells = [blank_to_null(F.col(f"`{n}`")).alias(n) for n in names]
+    if strict:  # the check is part of the first cell, so that no projection loses it
+        long = cells_of(F.col(f"`{odd}`"), sep) > len(names)
+        said = F.raise_error(F.concat(F.lit(f"a line has more than {len(names)} cells: "), F.col(f"`{odd}`")))
+        cells[0] = F.when(long, said).otherwise(cells[0]).alias(names[0])
+    return raw.select(*cells)
+
+
+def malformed_lines(spark: SparkSession, files: Mapping[str, int], sep: str = ";") -> DataFrame:
+    """(path, line, cells, expected, text) of lines with more cells than their file's header has, by path.
+
+    Lines are numbered from 1 in each file, of which quoted breaks make several.
+    One scan of the text; nothing of it reaches the driver.
+    """
+    wanted = spark.createDataFrame(sorted(files.items()), "path string, expected int")  # a row a file
+    lines = with_row_numbers(spark.read.text(sorted(files)).withColumn("path", F.col("_metadata.file_path")), "line", 1, by_file=True)
+    told = lines.withColumn("cells", cells_of(F.col("value"), sep)).join(F.broadcast(wanted), "path")
+    return told.where(F.col("cells") > F.col("expected")).select("path", F.col("line").cast("long").alias("line"), "cells", "expected", F.col("value").alias("text"))
 
 
 def header_of(spark: SparkSession, path: str) -> str | None:
-    """The first line; none of an empty file."""
-    return headers_of(spark, [path]).get(path)
+    """The first line; none of an empty file or folder."""
+    found = headers_of(spark, [path])
+    return next((h for _, h in sorted(found.items())), None)
 
 
 def headers_of(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
-    """The first lines of files by path, in one job that reads the start of each; empty files are left out."""
+    """The first lines of files by path, in one scan that keeps the first row of each file's first split; empty files are left out."""
     if not paths:
         return {}
-    first = [spark.read.text(p).limit(1).select(F.lit(p).alias("path"), "value") for p in paths]
-    return {r["path"]: r["value"] for r in reduce(DataFrame.unionByName, first).collect() if r["value"].strip("\ufeff \t")}
+    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("id")).where("block = 0")
+    first = lines.groupBy("path").agg(F.min_by("value", "id").alias("value"))
+    return {r["path"]: r["value"] for r in first.collect() if r["value"].strip("﻿ \t")}  # a row a file
 
 
 def table_key(file_name: str) -> str | None:
@@ -76,9 +104,11 @@ def read_directory(spark: SparkSession, path: str, sep: str = ";", quoted_breaks
     """Tables by key, from the text files of a folder.
 
     A file, or a folder of part files as Spark writes it, is named by its key;
-    the files of one key are appended.  Only names reach the driver, and one
-    header line for each file or folder.  Empty files are left out, files
-    without a header with a warning.
+    the files of one key are appended.  Only names and header lines reach the
+    driver, and the names of files that are not well formed.  Empty files are left
+    out; files without a header, and files and folders in which a line has more
+    cells than its header, with a warning.  That takes a scan of all lines
+    before; with ``quoted_breaks`` such a line is an error of the query instead.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").load(path).select("path", "length").collect()
     named: dict[tuple[str, str], list[str]] = {}
@@ -91,16 +121,33 @@ def read_directory(spark: SparkSession, path: str, sep: str = ";", quoted_breaks
                 named.setdefault((key, "/".join(parts[: i + 1])), []).append(f)
                 break
     named = {k: [p for p in paths if p in filled] for k, paths in named.items()}
-    headers = headers_of(spark, [paths[0] for paths in named.values() if paths])
+    plain = lambda p: re.sub("^([a-z]+):/+", r"\1:/", p.replace("%20", " "))
+    headers = {plain(p): h for p, h in headers_of(spark, [paths[0].replace("%20", " ") for paths in named.values() if paths]).items()}
+    of = {place: headers[plain(paths[0])] for (_, place), paths in named.items() if paths and plain(paths[0]) in headers}
+    bad = set()
+    if of and not quoted_breaks:
+        cells = {p: len(of[place].split(sep)) for (_, place), paths in named.items() if place in of for p in paths}
+        bad = {plain(r["path"]) for r in _malformed_paths(spark, cells, sep)}
     out: dict[str, list[DataFrame]] = {}
     for (key, place), paths in sorted(named.items()):
-        if not paths or paths[0] not in headers:
+        if place not in of:
             warnings.warn(f"{place} has no header and is left out", stacklevel=2)
-            continue
-        out.setdefault(key, []).append(read_delimited(spark, paths, headers[paths[0]], sep, quoted_breaks))
+        elif any(plain(p) in bad for p in paths):
+            warnings.warn(f"{place} has lines with more cells than its header and is left out", stacklevel=2)
+        else:
+            out.setdefault(key, []).append(read_delimited(spark, [p.replace("%20", " ") for p in paths], of[place], sep, quoted_breaks))
     return {k: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs) for k, dfs in out.items()}
 
 
+def _malformed_paths(spark: SparkSession, cells: Mapping[str, int], sep: str) -> list:
+    """Of these files, by the cells of their headers, the names of those with a longer line."""
+    sizes: dict[int, list[str]] = {}
+    for p, n in cells.items():
+        sizes.setdefault(n, []).append(p.replace("%20", " "))
+    found = [spark.read.text(own).where(cells_of(F.col("value"), sep) > n).select(F.col("_metadata.file_path").alias("path")) for n, own in sorted(sizes.items())]
+    return reduce(DataFrame.unionByName, found).distinct().collect()  # a row a file
+
+
 def family(tables: Mapping[str, DataFrame], base: str) -> list[str]:
     """Keys equal to ``base`` or starting with it, in order."""
     if not base:
@@ -113,16 +160,18 @@ def first_of_family(tables: Mapping[str, DataFrame], base: str) -> DataFrame | N
     return tables[base] if base in tables else tables[keys[0]] if keys else None
 
 
-def with_row_numbers(df: DataFrame, name: str = "row", first: int = 2) -> DataFrame:
+def with_row_numbers(df: DataFrame, name: str = "row", first: int = 2, by_file: bool = False) -> DataFrame:
     """Number the rows of a file-backed table in file order, the first as ``first``.
 
     Rows are numbered within their input split; the sizes of the splits before,
     in the order of their offsets, give the rest.  Needs a relation that is read
-    from files; several files are numbered one after the other by name.
+    from files; several files are numbered one after the other by name, or each
+    from ``first`` on with ``by_file``.
     """
     place = df.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_id": F.monotonically_increasing_id()})
     sizes = place.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_low"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a split
+    ahead = W.partitionBy("_file").orderBy("_block") if by_file else W.orderBy("_file", "_block")
+    before = F.coalesce(F.sum("_n").over(ahead.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a split
     starts = sizes.select("_file", "_block", "_low", before.alias("_before"))
     return place.join(starts, ["_file", "_block"]).withColumn(name, F.col("_before") + F.col("_id") - F.col("_low") + first).drop("_file", "_block", "_id", "_low", "_before")
 
