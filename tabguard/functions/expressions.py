@@ -59,6 +59,16 @@ def _same(a: Val, b: Val) -> Column:
     return F.when(a.value.isNull() | b.value.isNull(), a.value.isNull() & b.value.isNull()).otherwise(both)
 
 
+def equality_key(v: Val) -> Column:
+    """A text that two values share exactly where they are equal; null of null.
+
+    Equal texts parse to equal numbers, so a number's key is the number, that of
+    any other text its folded form.
+    """
+    number = num(v)
+    return F.when(number.isNotNull(), F.concat(F.lit("n"), (number + F.lit(0.0)).cast("string"))).otherwise(F.concat(F.lit("t"), _fold(_text(v))))
+
+
 def eq(a: Val, b: Val) -> Val:
     """Null equals null alone; numbers as numbers, other texts without case and outer white space."""
     return truth(_same(a, b), a, b)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tabguard.functions.predicates import grouped_double, is_missing, stripped
 from tabguard.operators.checks import Check, compare, derived, missing, needs, present
+from tabguard.operators.membership import bitmap_filter, fits_in_memory, probed
 from tabguard.sources.scratch import kept, unused
 from tabguard.sources.tables import resolve_column
 
@@ -75,29 +76,43 @@ def conditional_totals_differ(a: DataFrame, a_field: str, b: DataFrame, b_field:
     return _both(left, right).where(bad & (F.abs(F.col("total_a") - F.col("total_b")) > share * F.col("total_a"))).select("total_a", "total_b")
 
 
-def unmatched(child: DataFrame, field: str, parent: DataFrame, parent_field: str, keep: Sequence[str], skip: Sequence[str] = ()) -> DataFrame:
+def _values(df: DataFrame, field: str, keep: Sequence[str] = ()) -> DataFrame:
+    """``keep`` and the stripped text of a field as ``value``, where it is not missing."""
+    text = F.col(f"`{field}`").cast("string")
+    return df.where(~is_missing(text)).select(*keep, stripped(text).alias("value"))
+
+
+def unmatched(child: DataFrame, field: str, parent: DataFrame, parent_field: str, keep: Sequence[str], skip: Sequence[str] = (), filtered: bool | None = None) -> DataFrame:
     """Child rows whose value no parent row has; missing and skipped values pass.
 
-    Spark broadcasts the parents if they are below its threshold, else both
-    sides are shuffled on the value, with AQE splitting frequent ones.
+    Spark broadcasts the parents if they are below its threshold.  If they are
+    not (``filtered`` says so otherwise), a bounded bitmap of their hashes is
+    broadcast first: rows that it rules out are findings without a shuffle, and
+    only the others are shuffled with the parents, AQE splitting frequent values.
     """
-    value = stripped(F.col(field).cast("string"))
-    rows = child.where(~is_missing(F.col(field).cast("string"))).select(*keep, value.alias("value"))
+    rows = _values(child, field, keep)
     if skip:
         rows = rows.where(~F.col("value").isin(*skip))
-    there = parent.where(~is_missing(F.col(parent_field).cast("string"))).select(stripped(F.col(parent_field).cast("string")).alias("value")).distinct()
-    return rows.join(there, "value", "left_anti").select(*keep, "value")
-
-
-def unmatched_references(child: DataFrame, field: str, parent: DataFrame, parent_field: str, keep: Sequence[str]) -> DataFrame:
-    return unmatched(child, field, parent, parent_field, keep, SKIPPED_REFERENCES)
-
-
-def overlapping(a: DataFrame, b: DataFrame, field: str, keep: Sequence[str]) -> DataFrame:
-    """Rows of b whose id a has too: what must not be counted twice."""
-    ids = a.where(~is_missing(F.col(field).cast("string"))).select(stripped(F.col(field).cast("string")).alias("value")).distinct()
-    rows = b.where(~is_missing(F.col(field).cast("string"))).select(*keep, stripped(F.col(field).cast("string")).alias("value"))
-    return rows.join(ids, "value", "left_semi").select(*keep, "value")
+    there = _values(parent, parent_field)
+    if not (not fits_in_memory(there) if filtered is None else filtered):
+        return rows.join(there.distinct(), "value", "left_anti").select(*keep, "value")
+    name = unused(rows, "may match")
+    told = probed(rows, "value", bitmap_filter(there, "value"), name)
+    known = told.where(~F.col(f"`{name}`")).select(*keep, "value")
+    return known.unionByName(told.where(F.col(f"`{name}`")).join(there.distinct(), "value", "left_anti").select(*keep, "value"))
+
+
+def unmatched_references(child: DataFrame, field: str, parent: DataFrame, parent_field: str, keep: Sequence[str], filtered: bool | None = None) -> DataFrame:
+    return unmatched(child, field, parent, parent_field, keep, SKIPPED_REFERENCES, filtered)
+
+
+def overlapping(a: DataFrame, b: DataFrame, field: str, keep: Sequence[str], filtered: bool | None = None) -> DataFrame:
+    """Rows of b whose id a has too: what must not be counted twice.  Rows that a bitmap of a's ids rules out are not shuffled (as in ``unmatched``)."""
+    ids, rows = _values(a, field), _values(b, field, keep)
+    if not fits_in_memory(ids) if filtered is None else filtered:
+        name = unused(rows, "may match")
+        rows = probed(rows, "value", bitmap_filter(ids, "value"), name).where(F.col(f"`{name}`"))
+    return rows.join(ids.distinct(), "value", "left_semi").select(*keep, "value")
 
 
 def counted_twice(tables: Mapping[str, DataFrame], base: str, field: str, keep: Sequence[str]) -> DataFrame | None:

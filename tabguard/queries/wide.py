@@ -11,6 +11,7 @@ from tabguard.functions import expressions as E
 from tabguard.operators import business as B
 from tabguard.operators import checks as C
 from tabguard.operators import cross as X
+from tabguard.operators import membership as M
 from tabguard.operators import report as R
 from tabguard.plans.validation import assertion, first_row_only
 from tabguard.queries.rows import PRIORITIES
@@ -73,6 +74,18 @@ def unmatched(spark, d):
     return X.unmatched(table(spark, d, "orders"), "o_orderkey", table(spark, d, "lineitem"), "l_orderkey", ["o_orderkey"])
 
 
+@query("x05_unmatched_by_bitmap", "SELECT o_orderkey, CAST(o_orderkey AS STRING) AS value FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'F')")
+def unmatched_by_bitmap(spark, d):
+    parents = table(spark, d, "lineitem").where("l_linestatus = 'F'")
+    return X.unmatched(table(spark, d, "orders"), "o_orderkey", parents, "l_orderkey", ["o_orderkey"], filtered=True)
+
+
+@query("x06_overlapping_by_bitmap", "SELECT o_orderkey, CAST(o_custkey AS STRING) AS value FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 5 = 0)")
+def overlapping_by_bitmap(spark, d):
+    orders = table(spark, d, "orders")
+    return X.overlapping(orders.where("o_orderpriority = '1-URGENT' AND o_orderkey % 5 = 0"), orders, "o_custkey", ["o_orderkey"], filtered=True)
+
+
 _TWICE = "SELECT '{0}' AS delivery, l_orderkey AS c0020, l_linenumber, l_partkey, CAST(l_orderkey AS STRING) AS value FROM lineitem b WHERE l_linestatus = 'F' AND EXISTS (SELECT 1 FROM lineitem a WHERE {1} AND a.l_orderkey = b.l_orderkey)"
 
 
@@ -185,6 +198,17 @@ values("e01_equal", f"{_same(A, B2)} AS eq, NOT ({_same(A, B2)}) AS ne, {_same(A
 values("e02_order", ", ".join(f"{_cmp(A, B2, o)} AS {n}" for n, o in (("lt", "<"), ("le", "<="), ("gt", ">"), ("ge", ">="))), lambda a, b, c: {n: f(a, b).value for n, f in (("lt", E.lt), ("le", E.le), ("gt", E.gt), ("ge", E.ge))})
 _IN = f"(({_same(A, B2)}) OR ({_same(A, A3)}))"
 values("e03_in", f"{A} IS NOT NULL AND {_IN} AS inside, {A} IS NOT NULL AND NOT {_IN} AS outside", lambda a, b, c: {"inside": E.is_in(a, [b, c]).value, "outside": E.not_in(a, [b, c]).value})
+_LISTED = "(SELECT CASE l_orderkey % 4 WHEN 0 THEN ' ' || CAST(l_partkey AS STRING) || '.0' WHEN 1 THEN '2024-01-31' WHEN 2 THEN 'ABC ' ELSE CAST(l_quantity AS STRING) END AS v FROM lineitem)"
+_INSIDE = f"(CASE WHEN {grouped(A)} IS NOT NULL THEN {grouped(A)} IN (SELECT {grouped('v')} FROM {_LISTED} q WHERE {grouped('v')} IS NOT NULL) ELSE {_fold(A)} IN (SELECT {_fold('v')} FROM {_LISTED} q WHERE {grouped('v')} IS NULL) END)"
+
+
+@query("e03_in_table", f"SELECT id, {A} IS NOT NULL AND {_INSIDE} AS inside, {A} IS NOT NULL AND NOT {_INSIDE} AS outside FROM {ORDERS_SQL} t")
+def in_table(spark, d):
+    """Membership in as many values as there are order lines, of which some are numbers and some are not."""
+    listed_values = table(spark, d, "lineitem").selectExpr("CASE l_orderkey % 4 WHEN 0 THEN ' ' || CAST(l_partkey AS STRING) || '.0' WHEN 1 THEN '2024-01-31' WHEN 2 THEN 'ABC ' ELSE CAST(l_quantity AS STRING) END AS v")
+    return M.in_table(dirty_orders(spark, d), E.text(F.col(A)), listed_values, "v", "inside", "outside").select("id", "inside", "outside")
+
+
 values("e04_add", f"CASE WHEN {grouped(A)} IS NOT NULL AND {grouped(A3)} IS NOT NULL THEN {grouped(A)} + {grouped(A3)} END AS total, CASE WHEN {_BAD} THEN coalesce({A}, '') || coalesce({A3}, '') END AS joined", lambda a, b, c: {"total": F.when(E.num(a).isNotNull() & E.num(c).isNotNull(), E.num(E.add(a, c))), "joined": F.when(E.num(a).isNull() | E.num(c).isNull(), E.add(a, c).value)})
 values(
     "e05_arithmetic",
