@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabguard.issues import ISSUE_COLUMNS
+from tabguard.issues import ISSUE_COLUMNS, ISSUE_DDL
 from tabguard.operators import report
 
 #: what a run is counted by while it is written, and how many combinations of these are told apart
@@ -26,6 +26,11 @@ def write_issues(issues: DataFrame, path: str, stamp: bool = False, fmt: str = "
     out.write.partitionBy("rule_level").format(fmt).mode("errorifexists").save(path)
 
 
+def read_issues(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_issues`` wrote, with its columns; no findings are an empty table, and an empty level is an empty text again."""
+    return spark.read.schema(ISSUE_DDL).parquet(path).withColumn("rule_level", F.coalesce("rule_level", F.lit(""))).select(*ISSUE_COLUMNS)
+
+
 def manifest_json(manifest: DataFrame) -> DataFrame:
     """One line of JSON with its keys in order: same input, same bytes."""
     return manifest.select(F.to_json(F.struct(*sorted(manifest.columns))).alias("value"))
@@ -65,7 +70,7 @@ def write_observed(issues: DataFrame, path: str, stamp: bool = False) -> RunSumm
     counts = [(*json.loads(r["item"]), r["count"]) for r in found["counts"]]
     schema = ", ".join(f"{c} string" for c in COUNTED) + ", n long"
     if sum(c[-1] for c in counts) != found["n"]:
-        return RunSummary(spark.read.parquet(path).groupBy(*COUNTED).agg(F.count("*").alias("n")))
+        return RunSummary(read_issues(spark, path).groupBy(*COUNTED).agg(F.count("*").alias("n")))
     return RunSummary(spark.createDataFrame(counts, schema))
 
 
@@ -110,12 +115,12 @@ def _records(spark: SparkSession, base: str, run_id: str | None = None) -> list:
 def committed(spark: SparkSession, base: str, run_id: str | None = None) -> DataFrame:
     """Findings of the runs that were committed, of each its latest attempt, with ``run_id``."""
     chosen = [r for r in _records(spark, base) if run_id is None or r["run_id"] == run_id]
-    parts = [spark.read.parquet(r["attempt"]).withColumn("run_id", F.lit(r["run_id"])) for r in chosen]
+    parts = [read_issues(spark, r["attempt"]).withColumn("run_id", F.lit(r["run_id"])) for r in chosen]
     if not parts:
         raise FileNotFoundError(f"no committed run below {base}")
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
+        out = out.unionByName(p)
     return out
 
 

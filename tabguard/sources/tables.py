@@ -72,9 +72,10 @@ def malformed_lines(spark: SparkSession, files: Mapping[str, int], sep: str = ";
     Lines are numbered from 1 in each file, of which quoted breaks make several.
     One scan of the text; nothing of it reaches the driver.
     """
-    wanted = spark.createDataFrame(sorted(files.items()), "path string, expected int")  # a row a file
-    lines = with_row_numbers(spark.read.text(sorted(files)).withColumn("path", F.col("_metadata.file_path")), "line", 1, by_file=True)
-    told = lines.withColumn("cells", cells_of(F.col("value"), sep)).join(F.broadcast(wanted), "path")
+    plain = lambda p: F.regexp_replace(F.replace(p, F.lit("%20"), F.lit(" ")), "^([a-z0-9]+):/+", "$1:/")  # noqa: E731  # one spelling of a scheme's slashes
+    wanted = spark.createDataFrame(sorted(files.items()), "path string, expected int").withColumn("place", plain(F.col("path")))  # a row a file
+    lines = with_row_numbers(spark.read.text(sorted(files)).withColumn("place", plain(F.col("_metadata.file_path"))), "line", 1, by_file=True)
+    told = lines.withColumn("cells", cells_of(F.col("value"), sep)).join(F.broadcast(wanted), "place")
     return told.where(F.col("cells") > F.col("expected")).select("path", F.col("line").cast("long").alias("line"), "cells", "expected", F.col("value").alias("text"))
 
 
@@ -121,7 +122,7 @@ def read_directory(spark: SparkSession, path: str, sep: str = ";", quoted_breaks
                 named.setdefault((key, "/".join(parts[: i + 1])), []).append(f)
                 break
     named = {k: [p for p in paths if p in filled] for k, paths in named.items()}
-    plain = lambda p: re.sub("^([a-z]+):/+", r"\1:/", p.replace("%20", " "))
+    plain = lambda p: re.sub("^([a-z0-9]+):/+", r"\1:/", p.replace("%20", " "))
     headers = {plain(p): h for p, h in headers_of(spark, [paths[0].replace("%20", " ") for paths in named.values() if paths]).items()}
     of = {place: headers[plain(paths[0])] for (_, place), paths in named.items() if paths and plain(paths[0]) in headers}
     bad = set()
