@@ -4,10 +4,12 @@ Two generative models over hashed word and punctuation n-grams (n = 1, 2): one
 of the target text (documents labelled good), one of the raw corpus.  A
 document's log importance weight is the sum over its n-grams of
 ``log p_target - log p_raw``, tempered by SPAN / (SPAN + n) so that n n-grams
-count as at most ``SPAN`` and a long text does not drift away.  Gumbel noise is added and the k largest sums are
-kept, which samples k documents without replacement in proportion to their
+count as at most ``SPAN`` and a long text does not drift away.  Gumbel noise is
+added and the k largest sums are kept, which samples k documents without replacement in proportion to their
 weights.  k is the number of documents whose weight reaches the threshold that
-the labelled rows give.
+the labelled rows give; there each good document is weighed by a target model
+that has not counted it, since with few labels a model knows its own documents
+far better than others as good.
 
 The raw model counts every document.  The target model and the threshold use a
 bounded sample of labels (``SAMPLE`` rows, the smallest by hash), the only side
@@ -101,17 +103,42 @@ def label_sample(labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     return one.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(size)
 
 
-def log_ratio(docs: DataFrame, sample: DataFrame) -> np.ndarray:
-    """log p_target - log p_raw of each bucket."""
+def gram_counts(docs: DataFrame, sample: DataFrame) -> np.ndarray:
+    """The n-grams of each bucket: of all documents, and of those labelled good."""
     good = F.broadcast(sample.where("quality = 1").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_good")))
     rows = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("_id"), "left").select("text", F.coalesce("_good", F.lit(False)).alias("good"))
     counts = rows.mapInArrow(_count, "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros((2, BUCKETS))
     total[counts["kind"], counts["bucket"]] = counts["n"]
+    return total
+
+
+def log_ratio(total: np.ndarray) -> np.ndarray:
+    """log p_target - log p_raw of each bucket."""
     share = (total + SMOOTH) / (total.sum(axis=1, keepdims=True) + SMOOTH * BUCKETS)
     return np.log(share[1]) - np.log(share[0])
 
 
+def _left_out(batches: Iterator[pa.RecordBatch], total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Log weights of labelled rows under a target model that has not counted the row itself."""
+    raw, size = np.log(total[0] + SMOOTH) - np.log(total[0].sum() + SMOOTH * BUCKETS), total[1].sum() + SMOOTH * BUCKETS
+    for batch in batches:
+        weight = np.full(batch.num_rows, -np.inf)
+        good = batch.column("quality").to_numpy(zero_copy_only=False) == 1
+        for lo, hi, data, offsets in slices(batch.column("text")):
+            bucket, row = grams(data, offsets)
+            order = np.argsort(row, kind="stable")
+            ends = np.searchsorted(row[order], np.arange(hi - lo + 1))
+            for i in range(hi - lo):
+                own, times = np.unique(bucket[order[ends[i] : ends[i + 1]]], return_counts=True)
+                n = int(times.sum())
+                if n:
+                    mine = good[lo + i]
+                    target = np.log(total[1][own] - mine * times + SMOOTH) - np.log(size - mine * n)
+                    weight[lo + i] = float((times * (target - raw[own])).sum()) * SPAN / (SPAN + n)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality"), pa.array(weight)], ["doc_id", "quality", "log_weight"])
+
+
 def threshold(weights: np.ndarray, good: np.ndarray, recall: float = RECALL) -> float:
     """The lowest log weight to aim at.
 
@@ -150,12 +177,15 @@ def kth_largest(keys: DataFrame, column: str, k: int, bins: int = 4096) -> float
 
 def fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, DataFrame]:
     """(log ratios, the least key that is kept, scores of all documents)."""
-    sample = saved(label_sample(labels), "quality-sample")
-    ratio = log_ratio(docs, sample)
-    sent = docs.sparkSession.sparkContext.broadcast(ratio)
+    sample = saved(label_sample(labels).select("doc_id", F.col("quality").cast("int").alias("quality")), "quality-sample")
+    total = gram_counts(docs, sample)
+    ratio = log_ratio(total)
+    context = docs.sparkSession.sparkContext
+    sent, counted = context.broadcast(ratio), context.broadcast(total)
     scores = saved(docs.select("doc_id", "text").mapInArrow(lambda it: _scores(it, sent.value), "doc_id long, n_grams long, log_weight double, key double"), "quality-scores")
     # one row for each labelled document, of repeated ones the lowest weight
-    seen = scores.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("log_weight").alias("log_weight"), F.min("quality").alias("quality")).toPandas()
+    own = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInArrow(lambda it: _left_out(it, counted.value), "doc_id long, quality int, log_weight double")
+    seen = own.groupBy("doc_id").agg(F.min("log_weight").alias("log_weight"), F.min("quality").alias("quality")).toPandas()
     at = threshold(seen["log_weight"].to_numpy(float), (seen["quality"] == 1).to_numpy(bool))
     k = scores.where(F.col("log_weight") >= F.lit(at)).where(F.abs("log_weight") < float("inf")).count()
     return ratio, kth_largest(scores, "key", k) if k else float("inf"), scores
