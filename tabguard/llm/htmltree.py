@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from functools import cache
 from hashlib import blake2b
+from heapq import heapify, heappop, heappush
 
 #: always ends, at the latest with the page, so no part of a page is scanned twice: quotes only count behind =
 _MARKUP = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|["'=])*+)(?:>|\Z)|<!--.*?(?:-->|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
@@ -45,6 +46,9 @@ DEPTH = 512
 NESTED_NAMES = frozenset("comment comments reply ad advert promo sponsored related teaser".split())
 MAIN_NAMES = frozenset("article content post entry story main text body".split())
 HEADER = frozenset({"header"})
+ALWAYS, FORM, NAMED = "always", "form", "named"
+#: a form or named block is a wrapper if it has so much plain text, and the text of the page beside it is less than this share
+WRAPS, BESIDE_IT = 200, 0.1
 
 
 NOTHING: dict[str, str] = {}
@@ -62,7 +66,7 @@ def named(names: list[str], wanted: frozenset[str]) -> bool:
 
 
 class Element:
-    __slots__ = ("cls", "depth", "dropped", "good", "links", "names", "parent", "place", "segment", "tag")
+    __slots__ = ("cls", "depth", "dropped", "good", "hard", "links", "names", "parent", "place", "segment", "soft", "tag")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str, in_article: bool):
         self.tag, self.parent, self.good, self.links = tag, parent, 0, 0
@@ -70,7 +74,11 @@ class Element:
         found = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTRIBUTE.findall(attributes)} if attributes else NOTHING
         self.cls = found.get("class", "")
         self.names = f"{self.cls} {found.get('id', '')}".split() if found else []
-        self.dropped = self.drops(found, in_article) or (parent.dropped if parent else False)
+        why = self.drops(found, in_article)
+        # a form, or a block that its name alone drops, may turn out to be a wrapper of the page
+        self.soft = why in (FORM, NAMED) and tag in BLOCK
+        self.hard = bool(why) and not self.soft or (parent.hard if parent else False)
+        self.dropped = False  # told by Page.settle
         above = parent.place if parent else b""
         if tag in BLOCK:
             self.segment = f"{tag}{'.' + '.'.join(sorted(_DIGITS.sub('N', self.cls).split())) if self.cls.strip() else ''}"
@@ -88,19 +96,25 @@ class Element:
             e = e.parent
         return "/".join(["", *reversed(out)])
 
-    def drops(self, found: dict[str, str], in_article: bool) -> bool:
+    def drops(self, found: dict[str, str], in_article: bool) -> str:
+        """Why the element holds no article text, if so."""
         if self.tag in ("html", "body"):
-            return False
+            return ""
+        if self.tag in DROPPED:
+            hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+            return FORM if self.tag == "form" and not hidden else ALWAYS
         if not found and self.tag != "header":
-            return self.tag in DROPPED
+            return ""
         role = found.get("role", "").lower()
-        if self.tag in DROPPED or role in DROPPED_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
-            return True
+        if role in DROPPED_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
+            return ALWAYS
         if self.tag == "header":
-            return not in_article
+            return "" if in_article else ALWAYS
         if self.tag in ("article", "main"):
-            return in_article and named(self.names, NESTED_NAMES)
-        return named(self.names, DROPPED_NAMES) or not in_article and self.tag in ("div", "section") and named(self.names, HEADER)
+            return ALWAYS if in_article and named(self.names, NESTED_NAMES) else ""
+        if named(self.names, DROPPED_NAMES):
+            return NAMED
+        return ALWAYS if not in_article and self.tag in ("div", "section") and named(self.names, HEADER) else ""
 
     @property
     def weight(self) -> float:
@@ -135,6 +149,7 @@ class Page:
     def __init__(self, source: str):
         self.elements: list[Element] = []
         self.blocks: list[tuple[Element, str]] = []
+        self.measured: list[tuple[Element, int, int]] = []
         self.stack: list[Element] = []
         self.pieces: list[str] = []
         self.linked = 0
@@ -152,11 +167,60 @@ class Page:
                 self._text(source[at:start])
             at = self._tag(source, m)
         self._flush()
+        self.settle()
+        for e, plain, linked in self.measured:
+            if not e.dropped:
+                e.good += plain
+                e.links += linked
+        self.blocks = [(e, text) for e, text in self.blocks if not e.dropped]
         for e in reversed(self.elements):
             if e.parent:
                 e.parent.good += e.good
                 e.parent.links += e.links
 
+    def settle(self) -> None:
+        """Which elements are dropped: all within a form or a block of such a name, but not what wraps the article.
+
+        Of those that lie in no other, the one with most text is looked at
+        first.  If the page has next to nothing without it, it is a wrapper: it
+        stays, and those within it are looked at in its place.
+        """
+        whole, own = {id(e): 0 for e in self.elements}, {id(e): 0 for e in self.elements}
+        for e, plain, _ in self.measured:
+            whole[id(e)] += plain
+            own[id(e)] += plain
+        within: dict[int, list[Element]] = {}
+        prose = {id(e) for e in self.elements if e.tag in ("p", "h1", "article", "main")}
+        for e in reversed(self.elements):
+            if e.parent:
+                whole[id(e.parent)] += whole[id(e)]
+                own[id(e.parent)] += 0 if e.soft else own[id(e)]
+                if id(e) in prose:
+                    prose.add(id(e.parent))
+        nearest: dict[int, Element | None] = {}
+        for e in self.elements:  # the innermost soft element above each
+            up = e.parent
+            nearest[id(e)] = None if up is None else up if up.soft else nearest[id(up)]
+            if e.soft and not e.hard:
+                within.setdefault(id(nearest[id(e)]), []).append(e)
+        rest, wrappers = own[id(self.elements[0])], set()
+        order = [(-whole[id(e)], i, e) for i, e in enumerate(within.get(id(None), []))]
+        heapify(order)
+        n = len(order)
+        while order:
+            size, _, e = heappop(order)
+            if -size < WRAPS or rest >= BESIDE_IT * -size:
+                break  # the others hold less, and are beside more
+            if id(e) not in prose:
+                continue
+            wrappers.add(id(e))
+            rest += own[id(e)]
+            for inner in within.get(id(e), []):
+                n += 1
+                heappush(order, (-whole[id(inner)], n, inner))
+        for e in self.elements:
+            e.dropped = e.hard or e.soft and id(e) not in wrappers or (e.parent.dropped if e.parent else False)
+
     def _tag(self, source: str, m: re.Match) -> int:
         at, (slash, tag, attributes) = m.end(), m.groups()
         if tag is None:
@@ -171,7 +235,7 @@ class Page:
                 self._close(tag)
         elif tag in BLOCK or tag in DROPPED or attributes and tag not in VOID:  # other inline elements change nothing
             self._open(tag, attributes)
-            if tag in DROPPED and self.stack[-1].tag == tag and tag not in self.unclosed:
+            if tag in DROPPED and self.stack[-1].tag == tag and self.stack[-1].hard and tag not in self.unclosed:
                 over = _end_of(source, tag, at)
                 if over is not None:
                     self._close(tag)
@@ -225,7 +289,7 @@ class Page:
             self._pop(tag, BLOCK)
 
     def _text(self, raw: str) -> None:
-        if self.stack[-1].dropped:
+        if self.stack[-1].hard:
             return
         text = html.unescape(raw) if "&" in raw else raw
         self.pieces.append(text)
@@ -242,8 +306,7 @@ class Page:
         e = self.stack[-1]
         while e.tag not in BLOCK:
             e = e.parent
-        e.good += max(0, len(text) - linked)
-        e.links += linked
+        self.measured.append((e, max(0, len(text) - linked), linked))
         self.blocks.append((e, text))
 
     def containers(self) -> list[tuple[float, Element]]:

@@ -7,6 +7,10 @@ by host and path; the path with most votes is the host's, and so are up to
 on these paths are extracted again.  Where they hold less than ``ENOUGH`` of the
 text of the page's own best container, that is extracted with them.
 
+Menus, forms, comments and their like hold no article, but a form or a block that
+has such a name and nearly all of the page's text is a wrapper of the layout: it
+is read, and what lies in it is judged in its place.
+
 Votes are summed before they are shuffled, so that a host with a third of all
 pages costs no more than another.
 """
