@@ -213,3 +213,10 @@ def test_ranges_of_files(spark, tmp_path):
         assert sorted(map(tuple, report.changed_ranges(one, two).collect())) == [("t.csv", 12, "changed"), ("u.csv", 0, "added")]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_diff_is_one_aggregate(spark):
+    rows = lambda *keys: spark.createDataFrame([(k, "t", 1, "f", "ERROR") for k in keys], "rule_id string, template string, row long, field_code string, severity string")
+    diff = report.issue_diff(rows("a", "a", "b", "c"), rows("a", "b", "b", "b"))
+    assert sorted((r["rule_id"], r["side"]) for r in diff.collect()) == [("a", "expected"), ("b", "actual"), ("b", "actual"), ("c", "expected")]
+    assert diff._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") <= 2 and "Join" not in diff._jdf.queryExecution().optimizedPlan().toString()
