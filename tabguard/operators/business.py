@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tabguard.functions.predicates import is_missing, stripped
 from tabguard.operators.checks import Check, derived, implies, missing, needs
+from tabguard.sources.scratch import unused
 
 
 def _n(field: str) -> Column:
@@ -75,5 +76,6 @@ def first_value_conflicts(df: DataFrame, key: str, value: str, order_by: Sequenc
     """
     rows = df.where(~is_missing(F.col(key)) & ~is_missing(F.col(value)))
     order = F.struct(*order_by)
-    firsts = rows.groupBy(key).agg(F.min_by(value, order).alias("_first"), F.min(value).alias("_lo"), F.max(value).alias("_hi")).where("_lo <> _hi").select(F.col(key).alias("_key"), "_first")
-    return rows.join(firsts, rows[key] == firsts["_key"]).where(F.col(value) != F.col("_first")).select(*keep, key, F.col(value).alias("value"), F.col("_first").alias("first_value"))
+    own, first = unused(df, "key of row"), unused(df, "first of key")
+    firsts = rows.groupBy(F.col(key).alias(own)).agg(F.min_by(value, order).alias(first), F.min(value).alias("low"), F.max(value).alias("high")).where("low <> high").select(own, first)
+    return rows.join(firsts, rows[key] == firsts[own]).where(rows[value] != firsts[first]).select(*keep, key, F.col(value).alias("value"), F.col(first).alias("first_value"))
