@@ -8,17 +8,21 @@ where the rows fall evenly, so that a list which holds a third of all rows is
 many tasks.
 
 Queries reach the index in blocks of at most ``QUERY_BYTES``, one broadcast per
-block; vectors are not shuffled again.  A task goes through the lists it holds,
-ranks their members for the queries that probe the list by asymmetric distance
-tables, scores the best again on the original vectors in double precision
-(``RERANK`` times k of a list, and all that lie within the usual error of the
-k-th), and gives at most ``k`` rows per query.
-
-How many lists a query probes is measured: the smallest share with which
-``TRIED`` vectors of the sample find ``TARGET`` of their true neighbours in the
-sample, copies aside.  Vectors that lie in clusters need few lists; where they are spread
-evenly over the sphere nearly all lists are needed, and the search then is a
-blocked product of all queries with all vectors.
+block; vectors are not shuffled again.  A task goes through the lists it holds
+and ranks their members for the queries that probe the list by asymmetric
+distance tables.  Each vector keeps what its codes have lost: no inner product
+is above its rough score by more than that times the query's length, so all that
+can be among the k nearest, and no others, are scored on the original vectors in
+double precision.  A task gives at most ``k`` rows per query.
+
+Lists are probed in two rounds.  The first takes as many as the sample asks for:
+the smallest share with which ``TRIED`` of its vectors find ``TARGET`` of their
+true neighbours in it, copies aside.  The k-th score that a query has then is a
+bound: the second round opens every list left whose centroid and radius allow a
+higher or equal one.  The result is that of brute force on any rows, whatever the
+sample has seen.  Vectors that lie in clusters need few lists; where they are spread
+evenly over the sphere all lists are needed, and the search then is a blocked
+product of all queries with all vectors.
 """
 
 from __future__ import annotations
@@ -46,6 +50,8 @@ SOME = 256
 CELLS = 4_000_000
 RERANK = 4
 ROUNDS = 8
+#: what rounding adds to a score at most, as a share of the lengths that make it
+ROUNDING = 1e-12
 
 
 def kmeans(points: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 5) -> np.ndarray:
@@ -76,11 +82,6 @@ class Index:
         left = sample - self.coarse[self.assign(sample)]
         self.parts = np.array_split(np.arange(self.dim), min(subspaces, self.dim))
         self.books = [kmeans(left[:, p], codes, seed=7 + i) for i, p in enumerate(self.parts)]
-        lost, codes_of = left.copy(), self.encode(sample, self.assign(sample))
-        for m, (p, b) in enumerate(zip(self.parts, self.books, strict=True)):
-            lost[:, p] -= b[codes_of[:, m]]
-        #: standard error of a rough score, for a query of length 1
-        self.error = float(np.sqrt((lost**2).sum(1).mean() / self.dim))
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         return ((self.coarse**2).sum(1) - 2 * x @ self.coarse.T).argmin(1)
@@ -89,6 +90,13 @@ class Index:
         left = x - self.coarse[own]
         return np.stack([((b**2).sum(1) - 2 * left[:, p] @ b.T).argmin(1) for p, b in zip(self.parts, self.books, strict=True)], 1).astype(np.uint8)
 
+    def far(self, x: np.ndarray, own: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How far vectors lie from their centroids, and from what their codes say; with what rounding may add to a score."""
+        said = np.concatenate([b[codes[:, m]] for m, b in enumerate(self.books)], 1)
+        left = x - self.coarse[own]
+        slack = ROUNDING * (np.linalg.norm(x, axis=1) + np.linalg.norm(self.coarse[own], axis=1) + np.linalg.norm(said, axis=1))
+        return np.linalg.norm(left, axis=1) + slack, np.linalg.norm(left[:, np.concatenate(self.parts)] - said, axis=1) + slack
+
     def order(self, q: np.ndarray) -> np.ndarray:
         """Each query's lists, those first whose centroids have the largest inner product with it."""
         return np.argsort(-(q @ self.coarse.T), axis=1, kind="stable")
@@ -110,7 +118,7 @@ class Index:
 
     def tables(self, q: np.ndarray) -> list[np.ndarray]:
         """For each subspace, the inner products of the queries' parts with its codes."""
-        return [(q[:, p] @ b.T).astype(np.float32) for p, b in zip(self.parts, self.books, strict=True)]
+        return [q[:, p] @ b.T for p, b in zip(self.parts, self.books, strict=True)]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -128,23 +136,39 @@ def _indexed(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Rec
     for batch in batches:
         x = _matrix(batch.column("v"), index.dim)
         own = index.assign(x) if len(x) else np.zeros(0, int)
-        codes = index.encode(x, own) if len(x) else np.zeros((0, 1), np.uint8)
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "v", "list", "codes"])
+        codes = index.encode(x, own) if len(x) else np.zeros((0, len(index.parts)), np.uint8)
+        far, lost = index.far(x, own, codes)
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(far), pa.array(lost)], ["vec_id", "v", "list", "codes", "far", "lost"])
 
 
 class Asked:
-    """A block of queries, and which of them probe each list."""
+    """A block of queries, which of them probe each list, and the scores that they know to reach."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, index: Index, opened: np.ndarray, least: np.ndarray):
+        self.ids, self.q, self.index, self.least = ids, q, index, least
+        row, own = np.nonzero(opened)
+        by = np.argsort(own, kind="stable")
+        self.of = np.split(row[by], np.cumsum(np.bincount(own, minlength=opened.shape[1]))[:-1])
+
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, index: Index, share: float, sizes: np.ndarray, k: int):
-        self.ids, self.q, self.index = ids, q, index
-        order = index.order(q)
-        # lists beyond the share are opened until k candidates are there
+def _likely(q: np.ndarray, index: Index, share: float, sizes: np.ndarray, k: int) -> np.ndarray:
+    """Whether each query opens each list in the first round: the share of them, and more until k candidates are there."""
+    out = np.zeros((len(q), len(sizes)), bool)
+    for lo in range(0, len(q), SOME):
+        order = index.order(q[lo : lo + SOME])
         held = np.cumsum(sizes[order], axis=1) - sizes[order]
         opened = (np.arange(order.shape[1])[None, :] < max(1, np.ceil(share * order.shape[1] - 1e-9))) | (held < k + 1)
-        row = np.repeat(np.arange(len(q)), opened.sum(1))
-        own = order[opened]
-        by = np.argsort(own, kind="stable")
-        self.of = np.split(row[by], np.cumsum(np.bincount(own, minlength=order.shape[1]))[:-1])
+        np.put_along_axis(out[lo : lo + SOME], order, opened, 1)
+    return out
+
+
+def _possible(q: np.ndarray, index: Index, radius: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Whether each list may hold a vector whose score is not below the query's ``least``."""
+    out = np.zeros((len(q), len(radius)), bool)
+    for lo in range(0, len(q), SOME):
+        own = q[lo : lo + SOME]
+        out[lo : lo + SOME] = ~(own @ index.coarse.T + np.linalg.norm(own, axis=1)[:, None] * radius < least[lo : lo + SOME, None])
+    return out & (radius >= 0)
 
 
 def _first(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +190,7 @@ def _search(batches: Iterator[pa.RecordBatch], asked: Asked, k: int, rerank: int
     index, none = asked.index, np.iinfo(np.int64).max
     best, names = np.full((len(asked.q), k), -np.inf), np.full((len(asked.q), k), none)
     for batch in batches:
-        lists, ids = batch.column("list").to_numpy(), batch.column("vec_id").to_numpy()
+        lists, ids, lost = batch.column("list").to_numpy(), batch.column("vec_id").to_numpy(), batch.column("lost").to_numpy()
         x = _matrix(batch.column("v"), index.dim)
         codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
         edges = np.flatnonzero(np.diff(lists, prepend=-1, append=-1))
@@ -176,26 +200,38 @@ def _search(batches: Iterator[pa.RecordBatch], asked: Asked, k: int, rerank: int
             for at in range(0, len(probing), SOME):
                 own = probing[at : at + SOME]
                 q, other = asked.q[own], ids[members][None, :] != asked.ids[own][:, None]
-                some = np.broadcast_to(members, other.shape)
+                least, open_ = np.maximum(asked.least[own], best[own, -1])[:, None], other
                 if len(members) > k * rerank:
-                    rough = np.repeat((q @ index.coarse[lists[lo]]).astype(np.float32)[:, None], len(members), axis=1)
+                    rough = np.repeat((q @ index.coarse[lists[lo]])[:, None], len(members), axis=1)
                     for m, part in enumerate(index.tables(q)):
                         rough += part[:, codes[members, m]]
-                    rough[~other] = -np.inf
-                    # as many as lie within the usual error of the k-th, for vectors that codes hardly tell apart
-                    least = np.maximum(np.partition(rough, len(members) - k, axis=1)[:, len(members) - k], best[own, -1]) - index.error * np.linalg.norm(q, axis=1)
-                    size = min(max(k * rerank, int((rough >= least[:, None]).sum(1).max())), len(members))
-                    pick = np.argpartition(-rough, size - 1, axis=1)[:, :size]
-                    some, other = members[pick], np.take_along_axis(other, pick, 1)
-                exact, wide = np.empty(some.shape), max(1, CELLS // max(1, some.shape[1] * index.dim))
-                for i in range(0, len(own), wide):
-                    exact[i : i + wide] = (x[some[i : i + wide]] * q[i : i + wide, None, :]).sum(2)
-                exact = np.where(other, exact, -np.inf)
-                best[own], names[own] = _first(np.concatenate([best[own], exact], 1), np.concatenate([names[own], np.where(other, ids[some], none)], 1), k)
+                    spare = np.linalg.norm(q, axis=1)[:, None] * lost[members]
+                    open_ = other & ~(rough + spare < _at_least(np.where(other, rough - spare, -np.inf), k, least))
+                # one product tells which of these can be among the nearest; they alone are scored one by one
+                some = np.flatnonzero(open_.any(0))
+                open_, about = open_[:, some], q @ x[members[some]].T
+                spare = ROUNDING * np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x[members[some]], axis=1)
+                open_ = open_ & ~(about + spare < _at_least(np.where(open_, about - spare, -np.inf), k, least))
+                row, place = np.nonzero(open_)
+                if not len(row):
+                    continue
+                place, score, wide = members[some[place]], np.empty(len(row)), max(1, CELLS // index.dim)
+                for i in range(0, len(row), wide):
+                    score[i : i + wide] = (x[place[i : i + wide]] * q[row[i : i + wide]]).sum(1)
+                count = np.bincount(row, minlength=len(own))
+                nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                exact, named = np.full((len(own), count.max()), -np.inf), np.full((len(own), count.max()), none)
+                exact[row, nth], named[row, nth] = score, ids[place]
+                best[own], names[own] = _first(np.concatenate([best[own], exact], 1), np.concatenate([names[own], named], 1), k)
     row, place = np.nonzero(np.isfinite(best))
     yield pa.RecordBatch.from_arrays([pa.array(asked.ids[row]), pa.array(names[row, place]), pa.array(best[row, place])], ["query_id", "vec_id", "score"])
 
 
+def _at_least(score: np.ndarray, k: int, least: np.ndarray) -> np.ndarray:
+    """What the k-th largest score of each row is at least."""
+    return np.maximum(least, np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k, None]) if score.shape[1] >= k else least
+
+
 NEAR = "query_id long, vec_id long, score double"
 
 
@@ -208,8 +244,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, share: flo
     have (of lengths that are equally common, the shortest).  Equal rows are
     one; different vectors of one vec_id all take part, and none is a candidate
     for that id.  A vec_id with several query vectors gets the nearest to any.
-    Ties go to the smaller vec_id.  ``share`` of the lists is probed; by default
-    it is measured.  An empty table gives no rows.
+    Ties go to the smaller vec_id.  No neighbour is missed.  ``share`` of the
+    lists is probed first, by default a measured one; lists of at most ``rerank``
+    times k vectors are scored without their codes.  An empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows, asked = saved(usable(vectors), "ann-vectors"), usable(queries)
@@ -224,24 +261,36 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, share: flo
     if share is None:
         share = fitted.share(sample, k, TARGET)
     index = spark.sparkContext.broadcast(fitted)
-    stored = rows.mapInArrow(lambda it: _indexed(it, index.value), "vec_id long, v array<double>, list int, codes binary")
+    stored = rows.mapInArrow(lambda it: _indexed(it, index.value), "vec_id long, v array<double>, list int, codes binary, far double, lost double")
     stored = saved(stored.repartitionByRange(partitions(spark), "list", F.xxhash64("vec_id")).sortWithinPartitions("list", "vec_id"), "ann-index")
-    sizes = np.zeros(len(fitted.coarse), np.int64)
-    for r in stored.groupBy("list").agg(F.count("*").alias("n")).collect():  # one row a list
-        sizes[r["list"]] = r["n"]
+    sizes, radius = np.zeros(len(fitted.coarse), np.int64), np.full(len(fitted.coarse), -1.0)
+    for r in stored.groupBy("list").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():  # one row a list
+        sizes[r["list"]], radius[r["list"]] = r["n"], r["far"]
+    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     blocks = max(1, -(-asked.count() * dim * 8 // query_bytes))
     found = []
     for b in range(blocks):
         own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
-        if own.num_rows:
-            block = Asked(own["vec_id"].to_numpy(), _matrix(own["v"].combine_chunks(), dim), fitted, share, sizes, k)
-            sent = spark.sparkContext.broadcast(block)
-            part = stored.mapInArrow(lambda it, s=sent: _search(it, s.value, k, rerank), NEAR)
-            found.append(part if blocks == 1 else saved(part, "ann-found"))
+        if not own.num_rows:
+            continue
+        ids, q = own["vec_id"].to_numpy(), _matrix(own["v"].combine_chunks(), dim)
+
+        def search(opened: np.ndarray, least: np.ndarray, ids=ids, q=q) -> DataFrame:
+            sent = spark.sparkContext.broadcast(Asked(ids, q, fitted, opened, least))
+            part = stored.select("vec_id", "v", "list", "codes", "lost").mapInArrow(lambda it: _search(it, sent.value, k, rerank), NEAR)
+            return saved(part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "ann-found")
+
+        opened = _likely(q, fitted, share, sizes, k)
+        first = search(opened, np.full(len(ids), -np.inf))
+        found.append(first.drop("rank"))
+        known = {r["query_id"]: r["score"] for r in first.where(F.col("rank") == k).select("query_id", "score").collect()}  # a row a query of the block
+        least = np.array([known.get(i, -np.inf) for i in ids.tolist()])
+        more = _possible(q, fitted, radius, least) & ~opened
+        if more.any():
+            found.append(search(more, least).drop("rank"))
     every = found[0] if found else spark.createDataFrame([], NEAR)
     for part in found[1:]:
         every = every.unionByName(part)
-    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
