@@ -1,24 +1,29 @@
 """Operator 11: personal data by rules, and a conditional random field beside them.
 
 Four rules find e-mail and network addresses, card and phone numbers.  A
-linear-chain conditional random field (``crf``) reads the tokens around every
-digit and ``@`` of every text, by word shape, and adds what the rules miss: other
-spellings, and numbers that a rule's match swallowed.  It is trained from a
+linear-chain conditional random field (``crf``) reads all tokens of every text by
+word shape, and adds what the rules miss: other spellings, and numbers that a
+rule's match swallowed.  Stretches around digits and ``@`` are decoded as they
+are; of all other tokens the field first weighs every label against none
+(``Tagger.signals``).  Where no label can win, whatever stands beside it, the best
+labelling is none, and only stretches around the other tokens are decoded.
+It is trained from a
 small labelled table: stretches of the corpus labelled by the rules, ``SAMPLE``
 of each kind by hash, each once as it stands and once with its finding spelt in
-another way that the rules do not know; stretches without findings, as they are
-and with numbers of other kinds in them (dates, prices, versions, numbers that
+another way that the rules do not know; stretches without findings, around digits
+and of plain words, as they are and with numbers of other kinds in them (dates, prices, versions, numbers that
 fail a rule's test).  Stretches without findings may hold some that the rules
 miss, so a first field, which has seen none of them, takes those out in which it
 finds any.  A fifth of the table is held out; the confidence that a found span
 needs is set there, so that at most ``FALSE`` spans come from a clean stretch.
 
-One pass reads the texts and writes the rules' spans and the stretches; training
-and decoding read those.
+One pass reads the texts and writes them with the rules' spans and the stretches;
+training reads the stretches, decoding all.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabguard.llm.crf import WIDTH, Field
+from tabguard.llm.crf import NEVER, OFFSETS, WIDTH, Field
 from tabguard.llm.shared import saved, table, unused
 
 BASE = ("email", "ip", "card", "phone")
@@ -83,22 +88,33 @@ def rule_spans(text: str) -> list[tuple[int, int, int]]:
 _SIGNAL = re.compile(r"[0-9@]+")
 
 
-def stretches(text: str, wide: int = WIDE) -> list[tuple[int, int]]:
-    """The characters around all digits and @, those that touch as one."""
+def stretches(text: str, wide: int = WIDE, more: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
+    """The characters around all digits and @, and around the places in ``more``; those that touch as one."""
     out: list[tuple[int, int]] = []
-    for m in _SIGNAL.finditer(text):
-        lo, hi = max(0, m.start() - wide), min(len(text), m.end() + wide)
+    for a, b in sorted([*(m.span() for m in _SIGNAL.finditer(text)), *(more or [])]):
+        lo, hi = max(0, a - wide), min(len(text), b + wide)
         if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], hi)
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
         else:
             out.append((lo, hi))
     return out
 
 
+def plain_words(text: str, wide: int = WIDE) -> tuple[int, int] | None:
+    """A stretch without digits and @, at a place dealt by hash; to learn from."""
+    if len(text) < 2 * wide:
+        return None
+    lo = zlib.crc32(text.encode("utf-8", "replace")) % (len(text) - 2 * wide + 1)
+    return None if _SIGNAL.search(text, lo, lo + 2 * wide) else (lo, lo + 2 * wide)
+
+
 # ---- what the field sees ---------------------------------------------------------
 
 _TOKEN = re.compile(r"([^\W\d_]+|[0-9]+|\S)|\s+")
+_GAP_TOKEN = re.compile(r"(\s*)([^\W\d_]+|[0-9]+|\S)")
 _JOINTS = set("+().-/ ")
+#: (gap, token) pairs whose weights a task keeps at a time
+MOST_KNOWN = 200_000
 
 
 def _hashed(*parts) -> int:
@@ -264,6 +280,71 @@ class Tagger:
                     out[i].append((read[i][0][j][0], y // 2, read[i][0][k - 1][1], min(p[j:k])))
         return out
 
+    def signals(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        """(start, end) of the tokens of each text at which a label other than none may win; no best labelling has a span without one.
+
+        A label's gain is what it adds over none at a token, with the best step
+        that leads to it; the numbers' own features are left out, since stretches
+        around digits are decoded anyway.
+        """
+        if not hasattr(self, "known"):
+            self._weigh()
+        width = len(OFFSETS) // 2
+        ids, sizes = [np.zeros(width, np.int64)], []
+        for text in texts:
+            found = _GAP_TOKEN.findall(text.rstrip())
+            own = list(map(self.known.get, found))
+            if None in own:
+                own = [self.known.setdefault(f, len(self.known) + 1) if k is None else k for f, k in zip(found, own, strict=True)]
+            ids += [np.array(own, np.int64), np.zeros(width, np.int64)]
+            sizes.append(len(own))
+        self._learn()
+        flat, gain, wide = np.concatenate(ids), self.gain, self.wide
+        won = np.zeros(len(flat), bool)
+        for lo in range(width, len(flat) - width, 100_000):
+            hi = min(lo + 100_000, len(flat) - width)
+            # first by the largest gain of any label at each offset, then label by label
+            top = sum(self.top[j][flat[lo + d : hi + d]] for j, d in enumerate(OFFSETS)) + self.bonus.max()
+            some = lo + np.flatnonzero(top > 0)
+            won[some] = (sum(gain[flat[some + d], j] for j, d in enumerate(OFFSETS)) + self.bonus).max(1) > 0
+        out, at = [], width
+        for n in sizes:
+            own, hit = flat[at : at + n], np.flatnonzero(won[at : at + n])
+            ends = np.cumsum(wide[own, 0]) if len(hit) else None
+            out.append([(int(ends[i] - wide[own[i], 1]), int(ends[i])) for i in hit])
+            at += n + width
+        if len(self.known) > MOST_KNOWN:
+            self._weigh()
+        return out
+
+    def _weigh(self) -> None:
+        f = self.field
+        self.known: dict[tuple[str, str], int] = {}
+        self.gain, self.wide = self._gain(np.zeros((1, 3), np.int64)), np.zeros((1, 2), np.int64)
+        self.top = np.ascontiguousarray(self.gain.max(2).T)
+        none = f.weight[f.features * len(OFFSETS) :, 0].sum(0)  # of the features of numbers, where there is none
+        leave = max(0.0, float((f.step[1:, 0] - f.step[0, 0]).max()))
+        enter = np.maximum(np.where(f.allowed, f.step, NEVER).max(0)[1:] - f.step[0, 0], f.start[1:] - f.start[0])
+        self.bonus = (none[1:] - none[0] + enter + leave + 1e-4).astype(np.float32)
+
+    def _gain(self, x: np.ndarray) -> np.ndarray:
+        """(tokens, offsets, labels): what each label gains over none at each offset from a token."""
+        out = np.zeros((len(x), len(OFFSETS), self.field.labels - 1), np.float32)
+        for j in range(len(OFFSETS)):
+            e = sum(self.field.weight[j * 3 + i, x[:, i]] for i in range(3))
+            out[:, j] = e[:, 1:] - e[:, :1]
+        return out
+
+    def _learn(self) -> None:
+        """The weights of what is known since the last time."""
+        new = list(itertools.islice(self.known, len(self.gain) - 1, None))
+        if new:
+            own = [(*_own(token)[:2], 0 if not gap else 1 if gap == " " else 2) for gap, token in new]
+            x = np.array([(a, b, (a * 3 + g) % (WIDTH - 1) + 1) for a, b, g in own], np.int64)
+            self.gain = np.concatenate([self.gain, self._gain(x)])
+            self.top = np.ascontiguousarray(self.gain.max(2).T)
+            self.wide = np.concatenate([self.wide, np.array([(len(gap) + len(token), len(token)) for gap, token in new], np.int64)])
+
     def train(self, rows: list[tuple[str, list[tuple[int, int, int]]]]) -> None:
         read = [(tokens(t), s) for t, s in rows]
         read = [(p, x, s) for (p, x), s in read if p]
@@ -295,26 +376,28 @@ def _find(batches: Iterator[pa.RecordBatch], keep: list[str], base: str, parts:
         for value in batch.column("text"):
             value = value.as_py() or ""
             spans.append([{"start": a, "kind": k, "end": b} for a, k, b in rule_spans(value)])
-            read.append([{"start": a, "text": value[a:b]} for a, b in stretches(value)])
+            words = plain_words(value)
+            read.append([{"start": a, "text": value[a:b]} for a, b in [*stretches(value), *([words] if words else [])]])
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(spans, _SPAN), pa.array(read, _PART)], [*keep, base, parts])
 
 
 def searched(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, str, str]:
-    """The kept columns, with the rules' spans and the stretches around digits and @; and the names of these two columns."""
+    """The kept columns, with the rules' spans, and the stretches around digits and @ and of plain words; and the names of these two columns."""
     base, parts = unused(docs, "base"), unused(docs, "parts")
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(base, T.DataType.fromDDL(SPANS)), T.StructField(parts, T.DataType.fromDDL(PARTS))])
     return saved(docs.mapInArrow(lambda it: _find(it, keep, base, parts), schema), "personal-data"), base, parts
 
 
 def labelled_table(found: DataFrame, base: str = "base", parts: str = "parts", sample: int = SAMPLE) -> tuple[list[tuple[str, list[tuple[int, int, int]]]], list[str]]:
-    """Of the corpus, stretches with findings, ``sample`` of each kind, and twice as many without, the first by hash of their text."""
+    """Of the corpus, stretches with findings, ``sample`` of each kind, twice as many without, and as many of plain words, the first by hash of their text."""
     flat = found.select(F.explode(parts).alias("p"), F.col(base).alias("s")).select("p.start", "p.text", "s").where(F.length("text") <= LEARNT)
     inside = F.filter("s", lambda s: (s["start"] >= F.col("start")) & (s["end"] <= F.col("start") + F.length("text")))
     own = F.transform(inside, lambda s: F.struct((s["start"] - F.col("start")).alias("start"), s["kind"].alias("kind"), (s["end"] - F.col("start")).alias("end")))
     rows = saved(flat.select("text", own.alias("spans")).distinct(), "personal-data-stretches")
     first = lambda df, n: df.orderBy(F.xxhash64("text"), "text").limit(n).collect()
     picked = {r["text"]: [tuple(s) for s in r["spans"]] for k in range(len(BASE)) for r in first(rows.where(F.exists("spans", lambda s: s["kind"] == k)), sample)}
-    return sorted(picked.items()), [r["text"] for r in first(rows.where(F.size("spans") == 0), 2 * sample)]
+    bare, signal = rows.where(F.size("spans") == 0), F.col("text").rlike("[0-9@]")
+    return sorted(picked.items()), [r["text"] for part, n in ((bare.where(signal), 2 * sample), (bare.where(~signal), sample)) for r in first(part, n)]
 
 
 def fitted(found: DataFrame, base: str = "base", parts: str = "parts", sample: int = SAMPLE, allowed: float = FALSE) -> Tagger | None:
@@ -335,11 +418,12 @@ def fitted(found: DataFrame, base: str = "base", parts: str = "parts", sample: i
     return tagger
 
 
-def _spans(batch: pa.RecordBatch, base: str, parts: str, tagger: Tagger | None) -> list[list[dict]]:
+def _spans(batch: pa.RecordBatch, base: str, tagger: Tagger | None) -> list[list[dict]]:
     """The spans of each row, those that the tagger adds among them, in order."""
     out = batch.column(base).to_pylist()
     if tagger is not None:
-        flat = [(i, p["start"], p["text"]) for i, own in enumerate(batch.column(parts).to_pylist()) for p in own]
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        flat = [(i, a, t[a:b]) for i, (t, own) in enumerate(zip(texts, tagger.signals(texts), strict=True)) for a, b in stretches(t, more=own)]
         for lo in range(0, len(flat), 2_000):
             part = flat[lo : lo + 2_000]
             for (i, at, _), own in zip(part, tagger.found([t for _, _, t in part]), strict=True):
@@ -352,9 +436,9 @@ def _spans(batch: pa.RecordBatch, base: str, parts: str, tagger: Tagger | None)
     return out
 
 
-def _scored(batches: Iterator[pa.RecordBatch], base: str, parts: str, tagger: Tagger | None) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], base: str, tagger: Tagger | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_spans(batch, base, parts, tagger), _SPAN)], ["doc_id", "spans"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_spans(batch, base, tagger), _SPAN)], ["doc_id", "spans"])
 
 
 def personal_spans(docs: DataFrame) -> DataFrame:
@@ -362,21 +446,20 @@ def personal_spans(docs: DataFrame) -> DataFrame:
 
     Null texts count as empty and have no spans.  Repeated rows are each
     searched, long texts whole.  What the field adds never overlaps a rule's
-    span; it looks at what lies within WIDE characters of a digit or ``@``.  A
-    corpus with fewer than eight stretches that hold findings gets the rules
+    span; it looks at every token, whether a digit is near or not.  A corpus with fewer than eight stretches that hold findings gets the rules
     alone.  Columns other than doc_id and text are not looked at.  An empty table
     has no rows.
     """
-    found, base, parts = searched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
+    found, base, parts = searched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id", "text"])
     sent = docs.sparkSession.sparkContext.broadcast(fitted(found, base, parts))
-    return found.mapInArrow(lambda it: _scored(it, base, parts, sent.value), f"doc_id long, spans {SPANS}")
+    return found.mapInArrow(lambda it: _scored(it, base, sent.value), f"doc_id long, spans {SPANS}")
 
 
 def _masked(batches: Iterator[pa.RecordBatch], base: str, parts: str, tagger: Tagger | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = [n for n in batch.schema.names if n not in (base, parts)]
         texts = batch.column("text").to_pylist()
-        for i, spans in enumerate(_spans(batch, base, parts, tagger)):
+        for i, spans in enumerate(_spans(batch, base, tagger)):
             out, at = [], 0
             for s in spans:
                 if s["start"] >= at:

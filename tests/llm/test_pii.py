@@ -114,3 +114,27 @@ def test_operator(spark):
     told = {x.doc_id: x for x in pii.masked(docs).collect() if x.doc_id is not None and x.doc_id < 800}
     assert all(told[i].spans == "x" and f"[{pii.BASE[i % 4].upper()}]" in told[i].text for i in range(600))
     assert pii.personal_spans(docs.limit(0)).collect() == [] and len(pii.personal_spans(docs.where("doc_id = 3")).collect()) == 1
+
+
+def test_every_token_is_looked_at(spark):
+    """Respelt addresses far from any digit and @ are found, and no labelling has a span where no token is a signal."""
+    r = random.Random(10)
+    word = lambda: "".join(r.choice("aeinorstlu") for _ in range(r.randrange(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    name = lambda: f"{r.choice(['ann', 'bo', 'cy'])}.{word()}@{word()}.example.com"
+    rows = [(i, f"{prose(30)} {name() if i % 2 else found_by_hand(r)[i % 4]} {prose(30)}") for i in range(600)]
+    hidden = {}
+    for i in range(600, 640):
+        before, value = prose(40), name().replace("@", "(at)")
+        rows.append((i, f"{before} {value} {prose(40)}"))
+        hidden[i] = (len(before) + 1, 4, len(before) + 1 + len(value))
+    rows += [(i, prose(80)) for i in range(640, 840)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: [tuple(s) for s in x.spans] for x in pii.personal_spans(docs).collect()}
+    assert sum(hidden[i] in got[i] for i in hidden) >= 0.9 * len(hidden)
+    assert sum(bool(got[i]) for i in range(640, 840)) <= 2
+    tagger = pii.fitted(*pii.searched(docs, ["doc_id"]))
+    texts = [t for i, t in rows if i >= 600]
+    for text, own, places in zip(texts, tagger.found(texts), tagger.signals(texts), strict=True):
+        assert all(text[a:b].strip() == text[a:b] for a, b in places)
+        assert all(any(x < b and y > a for x, y in places) for a, _, b, _ in own)
