@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 WHITE = " \t\n\r\x0b\x0c"
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
-DATE_FORMATS = ("yyyy-M-d", "d.M.yyyy", "d/M/yyyy", "yyyyMMdd")
+#: spellings of dates, each with the shape of all texts that it may fit
+DATE_FORMATS = {
+    "yyyy-M-d": "^[+-]?[0-9]+-[+-]?[0-9]+-[+-]?[0-9]+$",
+    "d.M.yyyy": "^[+-]?[0-9]+[.][+-]?[0-9]+[.][+-]?[0-9]+$",
+    "d/M/yyyy": "^[+-]?[0-9]+/[+-]?[0-9]+/[+-]?[0-9]+$",
+    "yyyyMMdd": "^[+-]?[0-9]+$",
+}
 
 # fixed values: texts that count as missing, and code lists
 MISSING = ("", "none", "nan", "nat", "n/a", "na", "not available", "not applicable")
@@ -67,8 +73,13 @@ def is_numeric(c: Column) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """The first of four spellings that fits; missing, impossible and other texts are null."""
-    return F.when(~is_missing(c), F.coalesce(*[F.try_to_timestamp(stripped(c), F.lit(f)) for f in DATE_FORMATS]).cast("date"))
+    """The first of four spellings that fits; missing, impossible and other texts are null.
+
+    Only texts of a spelling's shape are parsed: a text that does not parse costs
+    an exception inside Spark.
+    """
+    parsed = [F.when(stripped(c).rlike(shape), F.try_to_timestamp(stripped(c), F.lit(f))) for f, shape in DATE_FORMATS.items()]
+    return F.when(~is_missing(c), F.coalesce(*parsed).cast("date"))
 
 
 def is_iso_date_text(c: Column) -> Column:

@@ -291,7 +291,7 @@ def codelist_joins(df: DataFrame, fields: Sequence[tuple[str, str]], allowed: Da
     its size.
     """
     cell = lambda rule, f: F.when(~P.is_missing(F.col(f"`{f}`")) & ~P.stripped(F.col(f"`{f}`")).isin(*ALWAYS_ALLOWED), F.struct(F.lit(rule).alias("rule_id"), P.stripped(F.col(f"`{f}`")).alias("value")))
-    cells = df.select(*keys, F.explode(F.array_compact(F.array(*[cell(r, f) for r, f in fields]))).alias("cell")).select(*keys, "cell.*")
+    cells = df.select(*keys, F.explode(F.array(*[cell(r, f) for r, f in fields])).alias("cell")).where("cell is not null").select(*keys, "cell.*")
     values = allowed.where(F.col("rule_id").isin(*[r for r, _ in fields])).select("rule_id", P.stripped(F.col("value")).alias("value")).distinct()
     place = F.row_number().over(W.partitionBy("rule_id").orderBy("value"))
     first = values.withColumn("place", place).where("place <= 11").groupBy("rule_id").agg(F.array_sort(F.collect_list("value")).alias("first"))

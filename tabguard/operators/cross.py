@@ -197,7 +197,7 @@ def first_seen(df: DataFrame, unique: Mapping[str, Sequence[str]], dependent: Ma
     names = {n: unused(df, n) for n in ("cell", "order")}
     if not cells:
         return df.limit(0).select(*keep, *[F.lit("").alias(n) for n in ("rule_id", "key", "value", "first_value")])
-    rows = df.select(*keep, F.struct(*order_by).alias(names["order"]), F.explode(F.array_compact(F.array(*cells))).alias(names["cell"]))
+    rows = df.select(*keep, F.struct(*order_by).alias(names["order"]), F.explode(F.array(*cells)).alias(names["cell"])).where(F.col(f"`{names['cell']}`").isNotNull())
     rule, key, value = (F.col(f"`{names['cell']}`.{n}") for n in ("rule_id", "key", "value"))
     order = F.col(f"`{names['order']}`")
     firsts = rows.groupBy(rule.alias("rule_id"), key.alias("key")).agg(F.count("*").alias("n"), F.min(order).alias("first_at"), F.min_by(value, order).alias("first_value"), F.min(value).alias("low"), F.max(value).alias("high"))

@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tabguard.functions import expressions as E
-from tabguard.functions.predicates import is_finite, is_integer_text
+from tabguard.functions.predicates import DATE_FORMATS, is_finite, is_integer_text, is_missing, parse_date, stripped
 from tabguard.operators import checks as C
 from tabguard.operators import cross as X
 from tabguard.operators import membership as M
@@ -220,3 +220,23 @@ def test_diff_is_one_aggregate(spark):
     diff = report.issue_diff(rows("a", "a", "b", "c"), rows("a", "b", "b", "b"))
     assert sorted((r["rule_id"], r["side"]) for r in diff.collect()) == [("a", "expected"), ("b", "actual"), ("b", "actual"), ("c", "expected")]
     assert diff._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") <= 2 and "Join" not in diff._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_checks_of_rows_are_compiled(spark):
+    """Lists and keys explode in generated code, and only texts in a date's shape are parsed: a failed parse is an exception inside Spark."""
+    df = spark.createDataFrame([(1, "v1", "x"), (2, None, "y"), (3, "v1", "y")], "id long, a string, b string")
+    allowed = spark.createDataFrame([("r", "v1"), ("q", "x")], "rule_id string, value string")
+    of = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    for made in (C.codelist_joins(df, [("r", "a"), ("q", "b")], allowed, ["id"]), X.first_seen(df, {"u": ["a"]}, {"d": ("a", "b")}, ["id"], ["id"])):
+        exploded = [line for line in of(made).split("\n") if "Generate explode(" in line]
+        assert exploded and not any("lambda" in line for line in exploded)
+    plan = of(df.select(parse_date(F.col("a")).alias("day")))
+    assert plan.count("gettimestamp") == plan.count("RLIKE") == len(DATE_FORMATS)
+
+
+def test_shapes_of_dates_leave_no_date_out(spark):
+    parts = ["2024", "+2024", "12024", "+12024", "24", "1", "01", "001", "-1", "+1", "13", "31", "1x", "", "٣"]
+    texts = [f"{a}{s}{b}{s}{c}" for s in "-./" for a in parts for b in parts for c in parts] + ["20240131", "+20240131", "120240131", "+120240131", "-20240131", "2024131", "2024-01-31 ", " 31.1.2024\n", "2024-01-31 12:00:00", "2024-01-31\n1", "1-2/2024"]
+    df = spark.createDataFrame([(t,) for t in texts], "a string")
+    plain = F.when(~is_missing(F.col("a")), F.coalesce(*[F.try_to_timestamp(stripped(F.col("a")), F.lit(f)) for f in DATE_FORMATS]).cast("date"))
+    assert df.where(~parse_date(F.col("a")).eqNullSafe(plain)).collect() == [] and df.where(parse_date(F.col("a")).isNotNull()).count() > 20
