@@ -410,6 +410,29 @@ def test_secret_network():
     assert ((net.probability(x[300:]) >= net.least) == y[300:]).mean() > 0.95
 
 
+def test_secret_windows_are_all_learnt_from(spark, monkeypatch):
+    """Every distinct window is in a shard, also where shards are many and labels few; the logits of all held-out windows are counted."""
+    r = random.Random(5)
+    key = lambda n: "".join(r.choice("0123456789abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(n))
+    lines = [f"token = {key(30)}" for _ in range(40)] + [f"{prose(r, 2)} {key(4)}/{key(6)}/{key(5)}.html" for _ in range(900)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    monkeypatch.setattr(secrets, "SHARD", 250)
+    learnt, counted, dealt, counts = [], [], secrets._dealt, secrets._counted
+    monkeypatch.setattr(secrets, "_dealt", lambda *a: learnt.append((a[-1] is not False, out := dealt(*a))) or out)
+    monkeypatch.setattr(secrets, "_counted", lambda *a: counted.append(out := counts(*a)) or out)
+    found, _, cand = secrets.searched(docs, ["doc_id"])
+    net = secrets.fitted(found, cand)
+    windows = {(bytes(c["part"] or c["window"]), int(c["label"] > 0)) for x in found.collect() for c in x[cand]}
+    trained, likely, judged = ([(bytes(x["window"]), x["y"], x["shard"]) for x in out.collect()] for _, out in learnt)
+    assert {x[:2] for x in trained} | {x[:2] for x in judged} == windows and not {x[:2] for x in trained} & {x[:2] for x in judged}
+    shards = {x[2] for x in trained}
+    assert len(shards) == -(-len(windows) // 250) > 1 and len(judged) == len({x[:2] for x in judged}) and {x[:2] for x in likely} == {x[:2] for x in judged if x[1]}
+    labelled, clean = sum(y for _, y in windows) - sum(x[1] for x in judged), sum(1 - y for _, y in windows) - sum(1 - x[1] for x in judged)
+    assert [sum(x[1] for x in trained if x[2] == k) for k in sorted(shards)] == [labelled] * len(shards) and clean == len({x[0] for x in trained if not x[1]})
+    z, y, n = counted[1]
+    assert n[y == 1].sum() == 2 * sum(x[1] for x in judged) and net.recall >= secrets.RECALL
+
+
 def test_secret_recall_is_kept():
     """Secrets that look like the rest score below 0.5, and are kept all the same."""
     r = np.random.RandomState(11)
